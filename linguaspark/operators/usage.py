@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import count_newlines
-from ..session import checked_broadcast
 
 # Key-call pattern, hook pattern and default file globs.
 T_CALL_RE = "t\\(\\s*['\"]([^'\"]+)['\"]"
@@ -73,9 +72,8 @@ def file_lines(files: DataFrame) -> DataFrame:
 
 
 def _grams(text_col: str, q: int):
-    t = F.col(text_col)
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - q + 1),
-                                        lambda i: F.substring(t, i, q)))
+    """Distinct overlapping q-character substrings (a zero-width lookahead per position)."""
+    return F.array_distinct(F.regexp_extract_all(F.col(text_col), F.lit(f"(?s)(?=(.{{{q}}}))"), 1))
 
 
 def substring_join(needles: DataFrame, hay: DataFrame, needle_col: str = "needle",
@@ -89,24 +87,29 @@ def substring_join(needles: DataFrame, hay: DataFrame, needle_col: str = "needle
     are processed once and joined back to the rows.
     """
     spark = needles.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     nd = needles.select(F.col(needle_col).alias("_n")).where(F.length("_n") > 0).distinct()
-    hd = hay.select(F.col(hay_col).alias("_h")).distinct()
+    # An explicit partition count: the gram explosion happens after this
+    # shuffle, so AQE must not coalesce it into a few tasks by input size.
+    hd = hay.select(F.col(hay_col).alias("_h")).repartition(parts, "_h").dropDuplicates(["_h"])
     L = F.length("_n")
     ngrams = nd.select("_n", F.explode(F.when(L >= q, _grams("_n", q)).otherwise(F.array("_n"))).alias("gram"))
     short_lens = [r[0] for r in nd.where(L < q).select(L.alias("l")).distinct().collect()]
     hay_grams = hd.select("_h", F.explode(_grams("_h", q)).alias("gram"))
     for sl in short_lens:
         hay_grams = hay_grams.unionByName(hd.select("_h", F.explode(_grams("_h", sl)).alias("gram")))
-    gram_set = checked_broadcast(ngrams.select("gram").distinct(), broadcast_rows)
+    # The needle count bounds both small sides (grams per needle are few,
+    # the choice is one row per needle); one cheap action over needles only.
+    small = nd.limit(broadcast_rows + 1).count() <= broadcast_rows
+    hint = F.broadcast if small else (lambda d: d)
+    gram_set = hint(ngrams.select("gram").distinct())
     hg = hay_grams.join(gram_set, "gram", "left_semi")
     freq = hg.groupBy("gram").agg(F.count(F.lit(1)).alias("cnt"))
-    choice = (ngrams.join(freq, "gram", "inner")
-              .groupBy("_n").agg(F.min_by("gram", F.struct("cnt", "gram")).alias("gram")))
-    choice = checked_broadcast(choice, broadcast_rows)
+    choice = hint(ngrams.join(freq, "gram", "inner")
+                  .groupBy("_n").agg(F.min_by("gram", F.struct("cnt", "gram")).alias("gram")))
     pairs = (hg.join(choice, "gram", "inner")
              .where(F.col("_h").contains(F.col("_n")))
              .select("_n", "_h").distinct())
-    del spark
     nrows = needles.withColumnRenamed(needle_col, "_n") if needle_col in needles.columns else needles
     hrows = hay.withColumnRenamed(hay_col, "_h")
     out = pairs.join(nrows, "_n").join(hrows, "_h")
