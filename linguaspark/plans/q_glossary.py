@@ -1 +1,110 @@
-"""Registered queries (q_glossary)."""
+"""Registered glossary queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import glossary as G
+from ..operators import inference as I
+from . import fixtures as fx
+from .registry import register
+from .sql_fixtures import GLOSS_IN, GLOSS_LONG, with_
+
+IMPORT_LANG = "europe"
+
+_UPSERT = with_(ex=GLOSS_LONG, inc=GLOSS_IN) + f"""
+, ok as (select * from inc where coalesce(term, '') <> '' and coalesce(translation, '') <> '')
+, al as (select lower(term) as lt, term, context, notes, seq from ex
+         union all select lower(term), term, nullif(context, ''), nullif(notes, ''), seq from ok)
+, attr as (select lt, arg_max(term, seq) as term,
+                  arg_max(context, seq) filter (where context is not null) as context,
+                  arg_max(notes, seq) filter (where notes is not null) as notes, min(seq) as seq
+           from al group by lt)
+, tr as (select lower(term) as lt, lang, translation, seq from ex
+         union all select lower(term), '{IMPORT_LANG}', translation, seq from ok)
+, trl as (select lt, lang, arg_max(translation, seq) as translation from tr group by lt, lang)
+, g as (select a.term, t.lang, t.translation, a.context, a.notes, a.seq from attr a join trl t on a.lt = t.lt)
+"""
+
+
+def upserted(spark, sf):
+    inc = G.import_records_to_entries(fx.glossary_incoming(spark, sf), IMPORT_LANG)
+    return G.upsert(fx.glossary_existing(spark, sf), inc)
+
+
+def _long(glossary):
+    return glossary.select("term", F.explode("translations").alias("lang", "translation"),
+                           "context", "notes", "seq")
+
+
+@register("glossary_upsert", _UPSERT + "select * from g")
+def glossary_upsert(spark, sf):
+    return _long(upserted(spark, sf))
+
+
+@register("glossary_remove", with_(ex=GLOSS_LONG) + """
+select term, lang, translation, seq from ex
+where lower(term) not in (select lower(n_name) from nation where n_nationkey % 4 = 0)""")
+def glossary_remove(spark, sf):
+    gone = fx.table(spark, sf, "nation").where(F.col("n_nationkey") % 4 == 0).select(F.col("n_name").alias("term"))
+    return _long(G.remove(fx.glossary_existing(spark, sf), gone)).select("term", "lang", "translation", "seq")
+
+
+@register("glossary_for_lang", _UPSERT + """
+select lang, term, arg_max(translation, seq) as translation, min(seq) as seq
+from g where coalesce(translation, '') <> '' group by lang, term""")
+def glossary_for_lang(spark, sf):
+    return G.for_language(upserted(spark, sf))
+
+
+_QUERIES_SQL = """select distinct lower(right(n_name, 2)) as q from nation
+union select distinct unnest(string_split(lower(n_name), ' ')) from nation"""
+
+
+@register("glossary_search", _UPSERT + f"""
+, q as ({_QUERIES_SQL})
+, texts as (select distinct term, lower(term) as text, seq from g
+            union select term, lower(translation), seq from g)
+select distinct q.q as query, t.term, t.seq from q join texts t on contains(t.text, q.q)""")
+def glossary_search(spark, sf):
+    n = fx.table(spark, sf, "nation")
+    qs = (n.select(F.lower(F.substring("n_name", -2, 2)).alias("query"))
+          .unionByName(n.select(F.explode(F.split(F.lower("n_name"), " ")).alias("query"))).distinct())
+    return G.search_many(upserted(spark, sf), qs).select("query", "term", "seq")
+
+
+@register("glossary_prompt_map", _UPSERT + f"""
+, fl as (select lang, term, arg_max(translation, seq) as translation, min(seq) as seq
+         from g where coalesce(translation, '') <> '' group by lang, term)
+select lang, concat('{I.GLOSSARY_HEAD.replace(chr(10), "', chr(10), '")}',
+                    string_agg(concat('- "', term, '" should be translated as "', translation, '"', chr(10)), ''
+                               order by seq), chr(10)) as text
+from fl group by lang""")
+def glossary_prompt_map(spark, sf):
+    lists = G.prompt_lists(upserted(spark, sf))
+    return lists.select("lang", I._glossary_part("glossary").alias("text"))
+
+
+@register("glossary_find", _UPSERT + """
+select lower(n.n_name) as query, g.term, g.lang, g.translation
+from nation n join g on lower(g.term) = lower(n.n_name)""")
+def glossary_find(spark, sf):
+    n = fx.table(spark, sf, "nation").select(F.lower("n_name").alias("query"))
+    found = G.find_term(upserted(spark, sf), n)
+    return found.select("query", "term", F.explode("translations").alias("lang", "translation"))
+
+
+@register("glossary_apply", """
+with terms as (select distinct unnest(string_split(p_name, ' ')) as w from part)
+, t as (select p_partkey as id, concat(p_name, ' ', lower(p_type)) as text from part)
+, x as (select id, text, unnest(string_split(text, ' ')) as w,
+               unnest(generate_series(1, len(string_split(text, ' ')))) as i from t)
+select id, text, string_agg(case when w in (select w from terms) then concat('<', upper(w), '>') else w end, ' '
+                            order by i) as applied
+from x group by id, text""")
+def glossary_apply(spark, sf):
+    p = fx.table(spark, sf, "part")
+    words = fx.part_word_keys(spark, sf).select(
+        F.col("key").alias("term"), F.concat(F.lit("<"), F.upper("key"), F.lit(">")).alias("translation"))
+    texts = p.select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit(" "), F.lower("p_type")).alias("text"))
+    return G.apply_terms(texts, words)
