@@ -12,9 +12,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import col_, falsy, js_trim
 
@@ -49,7 +49,7 @@ def _context_part(context) -> Column:
 
 def _glossary_part(glossary) -> Column:
     """``glossary``: array<struct<term, translation>> in prompt order (may be null)."""
-    g = F.coalesce(col_(glossary), F.array())
+    g = F.coalesce(col_(glossary), F.array().cast("array<struct<term:string,translation:string>>"))
     lines = F.transform(g, lambda x: F.concat(F.lit('- "'), x["term"], F.lit('" should be translated as "'),
                                               x["translation"], F.lit('"\n')))
     return F.when(F.size(g) > 0, F.concat(F.lit(GLOSSARY_HEAD), F.array_join(lines, ""), F.lit("\n"))
@@ -66,7 +66,7 @@ def translation_prompt(text, lang, context=None, similar=None, glossary=None) ->
     if context is not None:
         parts.append(_context_part(context))
     if similar is not None:
-        s = F.coalesce(col_(similar), F.array())
+        s = col_(similar)
         lines = F.transform(s, lambda x: F.concat(F.lit('- "'), x["source"], F.lit('" was translated as "'),
                                                   x["translation"], F.lit('"\n')))
         parts.append(F.when(F.size(s) > 0, F.concat(F.lit(SIMILAR_HEAD), F.array_join(lines, ""), F.lit("\n")))
@@ -126,7 +126,8 @@ def mock_review_reply(current) -> Column:
 
 def _python_call(df: DataFrame, fn: Callable[[list[str]], list[str]], prompt_col: str,
                  out_col: str, max_parallel: int | None) -> DataFrame:
-    schema = df.schema.add(out_col, "string").add("error", "string")
+    schema = T.StructType(list(df.schema.fields) + [T.StructField(out_col, T.StringType()),
+                                                    T.StructField("error", T.StringType())])
     if max_parallel:
         df = df.repartition(max_parallel)
 
@@ -146,8 +147,7 @@ def _python_call(df: DataFrame, fn: Callable[[list[str]], list[str]], prompt_col
                         replies[i] = None if r is None else str(r).strip()
                     except Exception as e:  # noqa: BLE001 - row failure is data
                         errors[i] = f"{type(e).__name__}: {e}"
-            yield pdf.assign(**{out_col: pd.Series(replies, dtype=object),
-                                "error": pd.Series(errors, dtype=object)})
+            yield pdf.assign(**{out_col: replies, "error": errors})
 
     return df.mapInPandas(run, schema)
 
@@ -162,15 +162,35 @@ def call_provider(df: DataFrame, provider, prompt_col: str = "prompt", out_col:
     caps concurrent provider calls (one task per slot).
     """
     if getattr(provider, "expression", False):
-        return df.withColumn(out_col, provider(df)).withColumn("error", F.lit(None).cast("string"))
+        err = provider.error(df) if provider.error else F.lit(None).cast("string")
+        return (df.withColumn("error", err)
+                .withColumn(out_col, F.when(F.col("error").isNull(), provider(df))))
     return _python_call(df, provider, prompt_col, out_col, max_parallel)
 
 
-def expression_provider(fn: Callable[[DataFrame], Column]):
+def expression_provider(fn: Callable[[DataFrame], Column],
+                        error: Callable[[DataFrame], Column] | None = None):
+    """Tag ``fn`` as an expression provider; ``error`` gives a per-row failure message (null = ok)."""
     fn.expression = True
+    fn.error = error
     return fn
 
 
+class MockTranslator:
+    """M4 as a Python batch provider: ``[lang] text`` for every input text."""
+
+    def __init__(self, lang: str, fail_if=None):
+        self.lang, self.fail_if = lang, fail_if
+
+    def __call__(self, texts: list[str]) -> list[str]:
+        out = []
+        for t in texts:
+            if self.fail_if is not None and self.fail_if(t):
+                raise RuntimeError("provider failed")
+            out.append(f"[{self.lang}] {t}")
+        return out
+
+
 def skip_done(todo: DataFrame, done: DataFrame | None, keys: list[str]) -> DataFrame:
     """H8: leave out rows whose result is already stored, so a rerun only does missing work."""
     if done is None:
