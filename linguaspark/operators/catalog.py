@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import falsy, integer_like, json_string_literal
 from ..schemas import ENTRY_KEYS
+from ..session import cut_lineage
 
 # ---------------------------------------------------------------------------
 # A7 last-wins dedupe
@@ -278,7 +279,8 @@ def flatten_catalogs(files: DataFrame, ids=("catalog", "lang"), text_col: str =
     numbers and booleans vanish, arrays give index keys, a ``null`` anywhere
     (or unparseable text) sends the whole document to ``rejects``. ``ord`` is
     a string whose sort order is the document order (index-like names first).
-    The loop runs once per nesting level; each level is cached.
+    The loop runs once per nesting level; each level is checkpointed to the
+    shared folder, which keeps plans small and the loop's emptiness test cheap.
     """
     spark = files.sparkSession
     spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
@@ -293,8 +295,7 @@ def flatten_catalogs(files: DataFrame, ids=("catalog", "lang"), text_col: str =
         F.when(F.col("rt").startswith("OBJECT"), "OBJECT").otherwise("ARRAY").alias("kind"))
     leaves, cached = [], []
     for _ in range(max_depth):
-        m = _members(frontier, ids).persist()
-        cached.append(m)
+        m = cut_lineage(_members(frontier, ids))
         leaves.append(m.where(F.col("kind") == "STRING").select(*ids, "key", F.col("raw").alias("value"), "ord"))
         rejects.append(m.where(F.col("kind") == "NULL").select(*ids, F.lit("null value").alias("reason")))
         frontier = m.where(F.col("kind").isin("OBJECT", "ARRAY")).select(
@@ -333,10 +334,10 @@ def nest_catalogs(entries: DataFrame, ids=("catalog", "lang"), indent: int = 2)
     ``path_conflicts``).
     """
     ids = list(ids)
-    e = (last_wins(entries.select(*ids, "key", "value", "ord"), keys=ids + ["key"],
-                   first_position="pos")
-         .withColumn("parts", F.split(F.col("key"), "\\.", -1))
-         .withColumn("depth", F.size("parts")))
+    e = cut_lineage(last_wins(entries.select(*ids, "key", "value", "ord"), keys=ids + ["key"],
+                              first_position="pos")
+                    .withColumn("parts", F.split(F.col("key"), "\\.", -1))
+                    .withColumn("depth", F.size("parts")))
     max_d = e.agg(F.max("depth")).first()[0]
     sp = lambda d: " " * (indent * d)
     if max_d is None:

@@ -12,6 +12,7 @@ pairs are materialised.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -109,7 +110,7 @@ def embed(df: DataFrame, text_col: str, embedder=None, out: str = "embedding") -
     emb = embedder or HashingEmbedder()
 
     @F.pandas_udf("array<float>")
-    def _embed(batches):
+    def _embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
             m = emb(s.fillna("").tolist())
             yield pd.Series(list(np.asarray(m, dtype=np.float32)))

@@ -1 +1,111 @@
-"""Registered queries (q_jobs)."""
+"""Registered end-to-end jobs over nested catalogs, code, glossary and memory."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import catalog as C
+from ..operators.imports import TRANSLATION_FIELDS, parse_delimited
+from . import fixtures as fx
+from . import jobs as J
+from .q_import import translation_csv_lines
+from .q_inference import ja_glossary
+from .registry import register
+from .sql_fixtures import SRC_DUP, TGT_DUP, TGT_LAST, with_
+
+
+def _as_files(entries):
+    """Entries -> nested JSON documents -> entries again (the catalog file round trip)."""
+    return C.flatten_catalogs(C.nest_catalogs(entries)).entries
+
+
+def _memory(spark, sf):
+    rows, _ = J.build_memory(fx.source_entries_dup(spark, sf), fx.target_entries_dup(spark, sf), ["ja"])
+    return rows
+
+
+@register("job_translate", with_(src=SRC_DUP, tgt=TGT_DUP, tl=TGT_LAST) + """
+, ml as (select catalog, 'ja' as lang, key, arg_max(value, ord) as value from src s
+         where not exists (select 1 from tgt t where t.catalog = s.catalog and t.key = s.key)
+         group by catalog, key)
+select catalog, lang, key, value from tl
+union all
+select catalog, lang, key, concat('[ja] ', value) from ml""")
+def job_translate(spark, sf):
+    src = _as_files(fx.source_entries_dup(spark, sf))
+    tgt = _as_files(fx.target_entries_dup(spark, sf))
+    res = J.translate(src, tgt, ["ja"], glossary=ja_glossary(spark, sf), memory=_memory(spark, sf),
+                      code_files=fx.code_files_from_parts(spark, sf), context=None)
+    return _as_files(res.entries).select("catalog", "lang", "key", "value")
+
+
+def _rule_review_provider():
+    from ..operators import inference as I
+    return I.expression_provider(lambda df: F.concat(
+        F.lit("IMPROVED: "), F.upper(df["target_value"]), F.lit("\nCHANGES: "),
+        F.when(df["target_value"] == F.upper(df["target_value"]), F.lit(I.NO_CHANGES))
+        .otherwise(F.lit("upper-cased"))))
+
+
+@register("job_review", with_(src=SRC_DUP, tgt=TGT_DUP, tl=TGT_LAST) + """
+, od as (select distinct s.catalog, s.key from src s join tl t on t.catalog = s.catalog and t.key = s.key
+         where s.value is distinct from t.value)
+select t.catalog, t.lang, t.key,
+       case when od.key is null then t.value else coalesce(nullif(upper(t.value), ''), t.value) end as value
+from tl t left join od on od.catalog = t.catalog and od.key = t.key""")
+def job_review(spark, sf):
+    src = _as_files(fx.source_entries_dup(spark, sf))
+    tgt = _as_files(fx.target_entries_dup(spark, sf))
+    res = J.review(src, tgt, ["ja"], _rule_review_provider(), glossary=ja_glossary(spark, sf))
+    return _as_files(res.entries).select("catalog", "lang", "key", "value")
+
+
+@register("job_build_search")
+def job_build_search(spark, sf):
+    """Build the TM from the catalogs, then search it with the missing keys' source texts (k=3)."""
+    memory = _memory(spark, sf)
+    m = C.last_wins(C.missing_entries(fx.source_entries_dup(spark, sf), fx.target_entries_dup(spark, sf),
+                                      ["ja"]).select("catalog", "lang", "key", "value", "ord"))
+    queries = m.select(F.col("key").alias("query_id"), "lang", F.col("value").alias("text"))
+    return J.search(memory, queries, k=3).select("query_id", "rank", "hit_id", "similarity", "percent",
+                                                  "source_text", "translation")
+
+
+_IMPORT_LINES = """select 'all' as catalog, 'ja' as lang, key, value, seq from (
+  select p_partkey * 2 as seq,
+    regexp_replace(string_split(line, ',')[1], '^\\s+|\\s+$', '', 'g') as key,
+    regexp_replace(string_split(line, ',')[2], '^\\s+|\\s+$', '', 'g') as value, line
+  from (select p_partkey, concat(case when p_partkey % 13 = 0 then concat('part.', cast(p_partkey as varchar), '.name')
+              when p_partkey % 4 = 0 then concat('part.', cast(p_partkey as varchar), '.name', ',', chr(9), p_name, chr(9))
+              else concat('part.', cast(p_partkey as varchar), '.name', ',', p_name, ',extra') end,
+         case when p_partkey % 3 = 0 then chr(13) else '' end) as line from part))"""
+
+
+@register("job_import", with_(tgt=TGT_DUP, inc=_IMPORT_LINES) + """
+, ex as (select 'all' as catalog, lang, key, value, ord from tgt)
+, acc as (select * from inc where coalesce(key, '') <> '' and coalesce(value, '') <> '')
+, il as (select catalog, lang, key, arg_max(value, seq) as v from acc group by catalog, lang, key)
+, ol as (select catalog, lang, key, arg_max(value, ord) as v from ex group by catalog, lang, key)
+select coalesce(ol.catalog, il.catalog) as catalog, coalesce(ol.lang, il.lang) as lang,
+       coalesce(ol.key, il.key) as key, coalesce(il.v, ol.v) as value, ol.key is null as is_new
+from ol full join il on ol.catalog = il.catalog and ol.lang = il.lang and ol.key = il.key""")
+def job_import(spark, sf):
+    existing = fx.target_entries_dup(spark, sf).withColumn("catalog", F.lit("all"))
+    records = parse_delimited(translation_csv_lines(spark, sf), TRANSLATION_FIELDS)
+    res = J.import_translations(existing, records, catalog="all", lang="ja")
+    return res.entries.select("catalog", "lang", "key", "value", "is_new")
+
+
+@register("job_import_counts", with_(tgt=TGT_DUP, inc=_IMPORT_LINES) + """
+, k as (select distinct key from tgt)
+select 'all' as catalog, 'ja' as lang,
+       count(*) filter (where coalesce(i.key, '') <> '' and coalesce(i.value, '') <> '' and k.key is null) as n_added,
+       count(*) filter (where coalesce(i.key, '') <> '' and coalesce(i.value, '') <> '' and k.key is not null)
+         as n_updated,
+       count(*) filter (where coalesce(i.key, '') = '' or coalesce(i.value, '') = '') as n_skipped
+from inc i left join k on k.key = i.key""")
+def job_import_counts(spark, sf):
+    existing = fx.target_entries_dup(spark, sf).withColumn("catalog", F.lit("all"))
+    records = parse_delimited(translation_csv_lines(spark, sf), TRANSLATION_FIELDS)
+    return J.import_translations(existing, records, catalog="all", lang="ja").counts
+

@@ -88,3 +88,13 @@ def checked_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     """
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` into the shared checkpoint folder and return a frame reading it.
+
+    Used between iterations of driver loops so plans stay small; the data is
+    in reliable storage, so a lost executor does not force recomputation.
+    """
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
