@@ -28,7 +28,7 @@ def register(name: str, sql: str | None = None):
 
 def _load_all() -> None:
     # Importing the modules registers their queries.
-    from . import q_catalog, q_glossary, q_import, q_inference, q_jobs, q_memory, q_usage  # noqa: F401
+    from . import q_catalog, q_glossary, q_import, q_inference, q_jobs, q_memory, q_stream, q_usage  # noqa: F401
 
 
 _load_all()
