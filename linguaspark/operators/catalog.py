@@ -240,30 +240,30 @@ class Flattened:
 
 
 def _members(frontier: DataFrame, ids: list[str]) -> DataFrame:
-    """One row per member of each object/array node in the frontier."""
+    """One row per member of each object/array node in the frontier.
+
+    A single projection for both node kinds (no union), so the partition
+    count stays that of the frontier however deep the loop goes.
+    """
     obj_s = F.map_from_entries(F.map_entries(F.from_json("text", "map<string,string>")))
     obj_v = F.map_from_entries(F.map_entries(F.from_json("text", "map<string,variant>")))
-    objs = (frontier.where(F.col("kind") == "OBJECT")
-            .select(*ids, "prefix", "ord",
-                    F.posexplode(F.arrays_zip(F.map_keys(obj_s).alias("k"),
-                                              F.map_values(obj_s).alias("raw"),
-                                              F.map_values(obj_v).alias("v"))))
-            .select(*ids, "prefix", "ord", "pos", "col.k", "col.raw", "col.v")
-            .withColumn("sortkey", F.when(integer_like("k"), F.col("k").cast("bigint"))
-                        .otherwise(F.lit(_OBJ_BIAS) + F.col("pos"))))
-    arrs = (frontier.where(F.col("kind") == "ARRAY")
-            .select(*ids, "prefix", "ord",
-                    F.posexplode(F.arrays_zip(F.from_json("text", "array<string>").alias("raw"),
-                                              F.from_json("text", "array<variant>").alias("v"))))
-            .select(*ids, "prefix", "ord", "pos", F.col("pos").cast("string").alias("k"),
-                    "col.raw", "col.v")
-            .withColumn("sortkey", F.col("pos").cast("bigint")))
-    m = objs.unionByName(arrs)
+    arr_s = F.from_json("text", "array<string>")
+    arr_v = F.from_json("text", "array<variant>")
+    obj_members = F.arrays_zip(F.map_keys(obj_s).alias("k"), F.map_values(obj_s).alias("raw"),
+                               F.map_values(obj_v).alias("v"))
+    arr_members = F.arrays_zip(F.transform(arr_s, lambda x, i: i.cast("string")).alias("k"),
+                               arr_s.alias("raw"), arr_v.alias("v"))
+    is_obj = F.col("kind") == "OBJECT"
+    m = (frontier.select(*ids, "prefix", "ord", "kind",
+                         F.posexplode(F.when(is_obj, obj_members).otherwise(arr_members)).alias("pos", "m"))
+         .select(*ids, "prefix", "ord", "kind", "pos", "m.k", "m.raw", "m.v"))
+    sortkey = (F.when(is_obj & ~integer_like("k"), F.lit(_OBJ_BIAS) + F.col("pos"))
+               .otherwise(F.col("k").cast("bigint")))
     full_key = F.when(F.col("prefix") == "", F.col("k")).otherwise(
         F.concat(F.col("prefix"), F.lit("."), F.col("k")))
     vtype = F.schema_of_variant(F.col("v"))
     return m.select(*ids, full_key.alias("key"), "raw",
-                    F.concat(F.col("ord"), F.lpad(F.hex(F.col("sortkey")), 12, "0")).alias("ord"),
+                    F.concat(F.col("ord"), F.lpad(F.hex(sortkey), 12, "0")).alias("ord"),
                     F.when(vtype == "STRING", "STRING")
                     .when(vtype.startswith("OBJECT"), "OBJECT")
                     .when(vtype.startswith("ARRAY"), "ARRAY")
