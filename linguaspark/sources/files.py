@@ -51,8 +51,8 @@ def read_whole_files(spark: SparkSession, root: str, required: bool = False) ->
             raise FileNotFoundError(root)
         return _empty(spark, T.StructType([T.StructField("path", T.StringType()),
                                            T.StructField("content", T.StringType())]))
-    df = (spark.read.option("recursiveFileLookup", "true").option("wholetext", "true")
-          .option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").text(root))
+    df = (spark.read.option("recursiveFileLookup", "true")
+          .option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").text(root, wholetext=True))
     return df.select(_rel_path(root).alias("path"), F.col("value").alias("content"))
 
 
@@ -87,7 +87,7 @@ def write_catalogs(entries: DataFrame, root: str, indent: int = 2, check_conflic
 
 def read_written_catalogs(spark: SparkSession, root: str) -> DataFrame:
     """The documents written by ``write_catalogs`` as ``(catalog, lang, json)``."""
-    df = spark.read.option("wholetext", "true").text(root)
+    df = spark.read.text(root, wholetext=True)
     return df.select(F.col("catalog").cast("string"), F.col("lang").cast("string"), F.col("value").alias("json"))
 
 
