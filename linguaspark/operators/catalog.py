@@ -104,19 +104,27 @@ def classify_entries(source: DataFrame, target: DataFrame,
 
 def coverage(source: DataFrame, target: DataFrame,
              langs: list[str] | None = None) -> DataFrame:
-    """A1: per (catalog, lang) counts of source, target, missing, outdated, same and extra keys."""
-    cls = classify_entries(source, target, langs)
-    per_src = cls.groupBy("catalog", "lang").agg(
-        F.count(F.lit(1)).alias("n_source"),
-        F.count_if(F.col("status") == "missing").alias("n_missing"),
-        F.count_if(F.col("status") == "outdated").alias("n_outdated"),
-        F.count_if(F.col("status") == "same").alias("n_same"))
-    per_tgt = target.groupBy("catalog", "lang").agg(F.count(F.lit(1)).alias("n_target"))
-    src_keys = with_target_langs(source.select("catalog", "key"), target, langs)
-    extra = (_target_keys(target).join(src_keys, ENTRY_KEYS, "left_anti")
-             .groupBy("catalog", "lang").agg(F.count(F.lit(1)).alias("n_extra")))
-    out = (per_src.join(per_tgt, ["catalog", "lang"], "full_outer")
-           .join(extra, ["catalog", "lang"], "full_outer"))
+    """A1: per (catalog, lang) counts of source, target, missing, outdated, same and extra keys.
+
+    The target is aggregated once per key (row count and last value); one full
+    outer join with the source rows classifies every source row and finds the
+    extra target keys; one group-by counts. The per-key target aggregate is
+    reused for ``n_target``.
+    """
+    src = with_target_langs(source, target, langs).select(*ENTRY_KEYS, "value", F.lit(True).alias("_s"))
+    tk = target.groupBy(*ENTRY_KEYS).agg(F.count(F.lit(1)).alias("_n"),
+                                        F.max_by("value", "ord").alias("_tv"))
+    j = src.join(tk, ENTRY_KEYS, "full_outer")
+    has_s, has_t = F.col("_s").isNotNull(), F.col("_n").isNotNull()
+    same = F.col("value").eqNullSafe(F.col("_tv"))
+    per = j.groupBy("catalog", "lang").agg(
+        F.count_if(has_s).alias("n_source"),
+        F.count_if(has_s & ~has_t).alias("n_missing"),
+        F.count_if(has_s & has_t & ~same).alias("n_outdated"),
+        F.count_if(has_s & has_t & same).alias("n_same"),
+        F.count_if(~has_s).alias("n_extra"))
+    per_tgt = tk.groupBy("catalog", "lang").agg(F.sum("_n").alias("n_target"))
+    out = per.join(per_tgt, ["catalog", "lang"], "full_outer")
     counts = ["n_source", "n_target", "n_missing", "n_outdated", "n_same", "n_extra"]
     return out.select("catalog", "lang",
                       *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) for c in counts])
@@ -213,10 +221,12 @@ def import_counts(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def key_difference(a: DataFrame, b: DataFrame, keys=ENTRY_KEYS) -> DataFrame:
-    return a.select(*keys).exceptAll(b.select(*keys)).distinct()
+    """Keys of ``a`` not in ``b`` (EXCEPT DISTINCT, planned as an anti join)."""
+    return a.select(*keys).subtract(b.select(*keys))
 
 
 def key_intersection(a: DataFrame, b: DataFrame, keys=ENTRY_KEYS) -> DataFrame:
+    """Keys in both (INTERSECT DISTINCT, planned as a semi join)."""
     return a.select(*keys).intersect(b.select(*keys))
 
 

@@ -200,3 +200,41 @@ def catalog_path_conflicts(spark, sf):
         "catalog", F.lit("ja").alias("lang"), F.lit("part").alias("key"),
         F.lit("all parts").alias("value"), F.lit(0).cast("bigint").alias("ord"))
     return C.path_conflicts(fx.target_entries_dup(spark, sf).unionByName(extra).unionByName(root))
+
+
+# --- key set operations and the rolled-up coverage -------------------------------
+
+
+def _src_as_ja(spark, sf):
+    return C.with_target_langs(fx.source_entries_dup(spark, sf), langs=LANGS)
+
+
+@register("catalog_key_difference", with_(src=SRC_DUP, tgt=TGT_DUP) + """
+select distinct catalog, 'ja' as lang, key from src
+except
+select catalog, lang, key from tgt""")
+def catalog_key_difference(spark, sf):
+    return C.key_difference(_src_as_ja(spark, sf), fx.target_entries_dup(spark, sf))
+
+
+@register("catalog_key_intersection", with_(src=SRC_DUP, tgt=TGT_DUP) + """
+select distinct catalog, 'ja' as lang, key from src
+intersect
+select catalog, lang, key from tgt""")
+def catalog_key_intersection(spark, sf):
+    return C.key_intersection(_src_as_ja(spark, sf), fx.target_entries_dup(spark, sf))
+
+
+@register("catalog_coverage_rollup", with_(src=SRC_DUP, tgt=TGT_DUP, tl=TGT_LAST) + """
+, cls as (
+  select s.catalog, 'ja' as lang,
+         case when t.key is null then 'missing' when s.value is not distinct from t.value then 'same'
+              else 'outdated' end as status
+  from src s left join tl t on t.catalog = s.catalog and t.key = s.key)
+select lang, catalog, count(*) as n_source,
+       count(*) filter (where status = 'missing') as n_missing,
+       count(*) filter (where status = 'outdated') as n_outdated,
+       count(*) filter (where status = 'same') as n_same
+from cls group by rollup (lang, catalog)""")
+def catalog_coverage_rollup(spark, sf):
+    return C.coverage_rollup(fx.source_entries_dup(spark, sf), fx.target_entries_dup(spark, sf), LANGS)

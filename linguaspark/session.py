@@ -97,4 +97,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     in reliable storage, so a lost executor does not force recomputation.
     """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    # Persist first: the checkpoint write then reads the cached blocks
+    # instead of computing the plan a second time.
+    cached = df.persist()
+    out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out
