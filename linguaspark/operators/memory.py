@@ -130,41 +130,88 @@ def _top_block(k: int, exclude_self: bool):
             return pd.DataFrame({c: [] for c in cols})
         Q = np.stack(qdf["vec"].to_numpy()).astype(np.float64)
         M = np.stack(mdf["vec"].to_numpy()).astype(np.float64)
-        qn, mn = np.linalg.norm(Q, axis=1), np.linalg.norm(M, axis=1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            S = (Q @ M.T) / np.outer(qn, mn)
-        S = np.nan_to_num(np.round(S, 6), nan=0.0)
-        qids, mids = qdf["qid"].to_numpy(), mdf["mid"].to_numpy()
-        if exclude_self:
-            S[qids[:, None] == mids[None, :]] = -np.inf
-        kk = min(k, S.shape[1])
-        parts, qo, ho, so = [], [], [], []
-        for i in range(S.shape[0]):
-            row = S[i]
-            kth = np.partition(row, -kk)[-kk]
-            idx = np.nonzero(row >= kth)[0]          # every tie at the k-th value
-            idx = idx[np.isfinite(row[idx])]
-            order = np.lexsort((mids[idx], -row[idx]))[:kk]
-            sel = idx[order]
-            qo.extend([qids[i]] * len(sel)); ho.extend(mids[sel]); so.extend(row[sel])
-        parts = [qdf["part"].iloc[0]] * len(qo)
-        return pd.DataFrame({"part": parts, "query_id": qo, "hit_id": ho, "similarity": so})
+        top = _batch_topk(qdf["qid"].to_numpy(), Q, np.linalg.norm(Q, axis=1), mdf["mid"].to_numpy(), M,
+                          k, exclude_self)
+        return top.assign(part=qdf["part"].iloc[0])[cols]
     return score
 
 
+def _batch_topk(qids, Q, qn, mids, M, k: int, exclude_self: bool) -> pd.DataFrame:
+    """Top-k (ties at the k-th value kept) of every query over one memory batch."""
+    mn = np.linalg.norm(M, axis=1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        S = (Q @ M.T) / np.outer(qn, mn)
+    S = np.nan_to_num(np.round(S, 6), nan=0.0)
+    if exclude_self:
+        S[qids[:, None] == mids[None, :]] = -np.inf
+    kk = min(k, S.shape[1])
+    kth = np.partition(S, -kk, axis=1)[:, -kk]
+    r, c = np.nonzero((S >= kth[:, None]) & np.isfinite(S))
+    out = pd.DataFrame({"query_id": qids[r], "hit_id": mids[c], "similarity": S[r, c]})
+    return out.sort_values(["query_id", "similarity", "hit_id"], ascending=[True, False, True]).groupby(
+        "query_id", sort=False).head(k)
+
+
 def knn(queries: DataFrame, memory: DataFrame, k: int, part_col: str = "lang",
         query_id: str = "query_id", memory_id: str = "id", vec_col: str = "embedding",
-        block: int = 1024, exclude_self: bool = False) -> DataFrame:
+        block: int = 4096, exclude_self: bool = False, broadcast_rows: int = 200_000) -> DataFrame:
     """For each query the k most similar memory rows of the same ``part_col``.
 
     Output ``(part, query_id, rank, hit_id, similarity)``; similarity is
-    cosine rounded to 6 places, ties broken by hit id. Blocks hold at most
-    ``block`` rows, so no task ever holds more than two blocks.
+    cosine rounded to 6 places, ties broken by hit id.
+
+    Two exact plans:
+
+    * the query set has at most ``broadcast_rows`` rows (checked with one
+      bounded count): it is broadcast and the memory is scanned in place, no
+      shuffle of memory rows; each task keeps a local top-k per query;
+    * otherwise queries and memory are cut into hash blocks of about
+      ``block`` rows per language and every (query block, memory block) pair
+      is scored in ``cogroup().applyInPandas``.
+
+    Either way a final ``row_number() <= k`` (a partial window group limit)
+    picks the result from at most (tasks x k) candidates per query.
     """
     q = queries.select(F.col(part_col).cast("string").alias("part"), F.col(query_id).alias("qid"),
                        F.col(vec_col).alias("vec"))
     m = memory.select(F.col(part_col).cast("string").alias("part"), F.col(memory_id).alias("mid"),
                       F.col(vec_col).alias("vec"))
+    qid_t = dict(queries.select(query_id).dtypes)[query_id]
+    mid_t = dict(memory.select(memory_id).dtypes)[memory_id]
+    schema = f"part string, query_id {qid_t}, hit_id {mid_t}, similarity double"
+    if q.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        cand = _knn_broadcast(q, m, k, exclude_self, schema)
+    else:
+        cand = _knn_blocks(q, m, k, exclude_self, schema, block)
+    w = Window.partitionBy("part", "query_id").orderBy(F.desc("similarity"), F.asc("hit_id"))
+    return (cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+            .select("part", "query_id", "rank", "hit_id", "similarity"))
+
+
+def _knn_broadcast(q: DataFrame, m: DataFrame, k: int, exclude_self: bool, schema: str) -> DataFrame:
+    spark = m.sparkSession
+    local = q.toPandas()  # bounded by the caller's count check
+    payload = {}
+    for part, g in local.groupby("part"):
+        Q = np.stack(g["vec"].to_numpy()).astype(np.float64)
+        payload[part] = (g["qid"].to_numpy(), Q, np.linalg.norm(Q, axis=1))
+    bc = spark.sparkContext.broadcast(payload)
+
+    def run(batches):
+        qs = bc.value
+        for pdf in batches:
+            for part, g in pdf.groupby("part"):
+                if part not in qs or g.empty:
+                    continue
+                qids, Q, qn = qs[part]
+                M = np.stack(g["vec"].to_numpy()).astype(np.float64)
+                top = _batch_topk(qids, Q, qn, g["mid"].to_numpy(), M, k, exclude_self)
+                yield top.assign(part=part)[["part", "query_id", "hit_id", "similarity"]]
+
+    return m.mapInPandas(run, schema)
+
+
+def _knn_blocks(q: DataFrame, m: DataFrame, k: int, exclude_self: bool, schema: str, block: int) -> DataFrame:
     nq = q.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / block).alias("nqb"))
     nm = m.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / block).alias("nmb"))
     nb = nq.join(nm, "part")
@@ -175,15 +222,9 @@ def knn(queries: DataFrame, memory: DataFrame, k: int, part_col: str = "lang",
           .withColumn("mb", F.pmod(F.xxhash64("mid"), F.col("nmb")))
           .withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("nqb") - 1))))
     keys = ["part", "qb", "mb"]
-    qid_t = dict(queries.select(query_id).dtypes)[query_id]
-    mid_t = dict(memory.select(memory_id).dtypes)[memory_id]
-    schema = f"part string, query_id {qid_t}, hit_id {mid_t}, similarity double"
-    cand = (qb.select(*keys, "qid", "vec").groupBy(*keys)
+    return (qb.select(*keys, "qid", "vec").groupBy(*keys)
             .cogroup(mb.select(*keys, "mid", "vec").groupBy(*keys))
             .applyInPandas(_top_block(k, exclude_self), schema))
-    w = Window.partitionBy("part", "query_id").orderBy(F.desc("similarity"), F.asc("hit_id"))
-    return (cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-            .select("part", "query_id", "rank", "hit_id", "similarity"))
 
 
 def similarity_percent(col):

@@ -26,8 +26,11 @@ def test_knn_matches_brute_force_with_ties(spark):
     parts = rng.integers(0, 3, size=300)
     data = [(int(i), str(parts[i]), [float(x) for x in vecs[i]]) for i in range(300)]
     df = spark.createDataFrame(data, "id long, lang string, embedding array<float>")
-    got = rows(M.knn(df, df, 4, query_id="id", memory_id="id", block=40, exclude_self=True),
+    got = rows(M.knn(df, df, 4, query_id="id", memory_id="id", block=40, exclude_self=True, broadcast_rows=0),
                "query_id", "rank", "hit_id", "similarity")
+    got_bc = rows(M.knn(df, df, 4, query_id="id", memory_id="id", exclude_self=True),
+                  "query_id", "rank", "hit_id", "similarity")
+    assert got_bc == got
     v = np.array([d[2] for d in data], dtype=np.float32).astype(np.float64)
     want = []
     for i in range(300):
