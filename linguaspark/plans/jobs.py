@@ -47,13 +47,17 @@ class TranslateResult:
 def translate(source: DataFrame, target: DataFrame, langs: list[str] | None = None, provider=None, *,
               glossary: DataFrame | None = None, memory: DataFrame | None = None, embedder=None,
               code_files: DataFrame | None = None, context: str | None = None, k_similar: int = 3,
-              batch_size: int = 5, max_parallel: int | None = None) -> TranslateResult:
+              batch_size: int = 5, max_parallel: int | None = None, rounds: int = 1) -> TranslateResult:
     """Translate the keys missing from the target catalogs.
 
     Context per key: ``context`` if given (even empty), else the entry's own;
     with ``code_files`` the key's usage description is appended (per key,
     not per run). Similar translations come from ``memory`` (k-NN in the
     same language), the glossary list of the language goes into every prompt.
+
+    ``rounds`` > 1 feeds the memory between rounds (H2): batches are split
+    into ``rounds`` contiguous groups per catalog, and each round's lookups
+    see the translations of the earlier rounds. Lineage is cut per round.
     """
     provider = provider or mock_translation_provider()
     missing = C.missing_entries(source, target, langs)
@@ -71,24 +75,49 @@ def translate(source: DataFrame, target: DataFrame, langs: list[str] | None = No
         todo = (todo.join(texts, "key", "left")
                 .withColumn("context", U.combine_context(F.col("context"), F.col("text"))).drop("text"))
     todo = todo.withColumn("_qid", _entry_id(todo))
-    if memory is not None:
-        q = M.embed(todo.select("_qid", "lang", "value"), "value", embedder)
-        hits = M.knn(q, memory, k_similar, part_col="lang", query_id="_qid", memory_id="id")
-        todo = M.attach_similar(todo, hits, memory, entry_id="_qid")
-    else:
-        todo = todo.withColumn("similar", F.array().cast(SIMILAR_T))
     if glossary is not None:
         todo = todo.join(G.prompt_lists(glossary, langs), "lang", "left")
     else:
         todo = todo.withColumn("glossary", F.lit(None).cast("array<struct<term:string,translation:string>>"))
-    todo = todo.withColumn("prompt", I.translation_prompt("value", "lang", "context", "similar", "glossary"))
     todo = batch_numbers(todo, ["catalog", "lang"], "ord", batch_size)
-    results = cut_lineage(I.call_provider(todo, provider, out_col="translated", max_parallel=max_parallel))
+    if rounds > 1:
+        nb = todo.groupBy("catalog", "lang").agg(F.max("batch_id").alias("_nb"))
+        todo = cut_lineage(todo.join(nb, ["catalog", "lang"]).withColumn(
+            "_round", F.floor((F.col("batch_id") - 1) * rounds / F.col("_nb")).cast("int")).drop("_nb"), "todo")
+    else:
+        todo = todo.withColumn("_round", F.lit(0))
+    parts = []
+    for r in range(rounds):
+        part = todo.where(F.col("_round") == r)
+        if memory is not None:
+            q = M.embed(part.select("_qid", "lang", "value"), "value", embedder)
+            hits = M.knn(q, memory, k_similar, part_col="lang", query_id="_qid", memory_id="id")
+            part = M.attach_similar(part, hits, memory, entry_id="_qid")
+        else:
+            part = part.withColumn("similar", F.array().cast(SIMILAR_T))
+        part = part.withColumn("prompt", I.translation_prompt("value", "lang", "context", "similar", "glossary"))
+        res = cut_lineage(I.call_provider(part, provider, out_col="translated", max_parallel=max_parallel),
+                          "results")
+        parts.append(res)
+        if memory is not None and r < rounds - 1:
+            fresh = M.embed(_memory_rows(res, r).drop("embedding"), "source_text", embedder)
+            memory = cut_lineage(M.upsert_latest(memory.unionByName(fresh, allowMissingColumns=True)
+                                                 .select(*memory.columns)), "memory")
+    results = parts[0]
+    for p_ in parts[1:]:
+        results = results.unionByName(p_)
     merged = C.merge_translations(target, missing, results.select(*ENTRY_KEYS, "translated", "error"))
+    return TranslateResult(merged, results.drop("_qid", "_round"), _memory_rows(results, F.col("_round")))
+
+
+def _memory_rows(results: DataFrame, round_no) -> DataFrame:
+    """TM rows for successful results; ``seq`` = job time (us) + round, so they win over older writes."""
     ok = results.where(F.col("error").isNull())
-    mem_rows = M.tm_rows(ok.select("lang", F.col("value").alias("source_text"),
-                                   F.col("translated").alias("translation"), "context"))
-    return TranslateResult(merged, results.drop("_qid"), mem_rows)
+    seq = F.unix_micros(F.current_timestamp()) + F.lit(round_no) if isinstance(round_no, int) else \
+        F.unix_micros(F.current_timestamp()) + round_no
+    return M.tm_rows(ok.select("lang", F.col("value").alias("source_text"),
+                               F.col("translated").alias("translation"), "context",
+                               seq.cast("bigint").alias("seq")), seq="seq")
 
 
 @dataclass

@@ -90,16 +90,14 @@ def checked_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if n <= max_rows else df
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` into the shared checkpoint folder and return a frame reading it.
+def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Materialise ``df`` as a Parquet table in the shared folder and return a frame reading it.
 
-    Used between iterations of driver loops so plans stay small; the data is
-    in reliable storage, so a lost executor does not force recomputation.
+    Used between iterations of driver loops and after expensive steps, so
+    plans stay small and a lost executor never forces recomputation. One
+    write job; the read back is lazy and columnar.
     """
-    shared_dir(df.sparkSession)
-    # Persist first: the checkpoint write then reads the cached blocks
-    # instead of computing the plan a second time.
-    cached = df.persist()
-    out = cached.checkpoint(eager=True)
-    cached.unpersist()
-    return out
+    spark = df.sparkSession
+    path = new_work_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
