@@ -6,7 +6,7 @@ entry order a list would have. Every function takes and returns DataFrames.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -241,12 +241,6 @@ _OBJ_BIAS = 4294967296  # non-index member names sort after all index-like ones
 class Flattened:
     entries: DataFrame
     rejects: DataFrame
-    _cached: list = field(default_factory=list)
-
-    def release(self) -> None:
-        for df in self._cached:
-            df.unpersist()
-        self._cached.clear()
 
 
 def _members(frontier: DataFrame, ids: list[str]) -> DataFrame:
@@ -303,7 +297,7 @@ def flatten_catalogs(files: DataFrame, ids=("catalog", "lang"), text_col: str =
     frontier = roots.where(F.col("rt").startswith("OBJECT") | F.col("rt").startswith("ARRAY")).select(
         *ids, F.lit("").alias("prefix"), F.lit("").alias("ord"), "text",
         F.when(F.col("rt").startswith("OBJECT"), "OBJECT").otherwise("ARRAY").alias("kind"))
-    leaves, cached = [], []
+    leaves = []
     for _ in range(max_depth):
         m = cut_lineage(_members(frontier, ids))
         leaves.append(m.where(F.col("kind") == "STRING").select(*ids, "key", F.col("raw").alias("value"), "ord"))
@@ -321,7 +315,7 @@ def flatten_catalogs(files: DataFrame, ids=("catalog", "lang"), text_col: str =
     for r in rejects[1:]:
         all_rej = all_rej.unionByName(r)
     bad = all_rej.select(*ids).distinct()
-    return Flattened(all_leaves.join(bad, ids, "left_anti"), all_rej, cached)
+    return Flattened(all_leaves.join(bad, ids, "left_anti"), all_rej)
 
 
 # ---------------------------------------------------------------------------

@@ -1,4 +1,4 @@
-"""Session helpers: building a session, shared work folders, checked broadcast."""
+"""Session helpers: building a session, shared work folders, lineage cuts."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # Session settings the library relies on.
 DEFAULT_CONF = {
@@ -79,17 +78,6 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
-def checked_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast-hint ``df`` only when it has at most ``max_rows`` rows.
-
-    One bounded action (``limit(max_rows + 1).count()``) proves the bound;
-    beyond it the frame is returned as is and the join stays a shuffle join
-    (AQE may still switch it at runtime from measured sizes).
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Materialise ``df`` as a Parquet table in the shared folder and return a frame reading it.
 
