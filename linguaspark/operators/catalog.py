@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import falsy, integer_like, json_string_literal
 from ..schemas import ENTRY_KEYS
-from ..session import cut_lineage
+from ..session import materialize_with_metrics
 
 # ---------------------------------------------------------------------------
 # A7 last-wins dedupe
@@ -283,8 +283,9 @@ def flatten_catalogs(files: DataFrame, ids=("catalog", "lang"), text_col: str =
     numbers and booleans vanish, arrays give index keys, a ``null`` anywhere
     (or unparseable text) sends the whole document to ``rejects``. ``ord`` is
     a string whose sort order is the document order (index-like names first).
-    The loop runs once per nesting level; each level is checkpointed to the
-    shared folder, which keeps plans small and the loop's emptiness test cheap.
+    The loop runs once per nesting level; each level is written to the
+    shared folder (small plans, nothing recomputed), and the write itself
+    counts the nested members that decide whether another level is needed.
     """
     spark = files.sparkSession
     spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
@@ -298,13 +299,14 @@ def flatten_catalogs(files: DataFrame, ids=("catalog", "lang"), text_col: str =
         *ids, F.lit("").alias("prefix"), F.lit("").alias("ord"), "text",
         F.when(F.col("rt").startswith("OBJECT"), "OBJECT").otherwise("ARRAY").alias("kind"))
     leaves = []
-    for _ in range(max_depth):
-        m = cut_lineage(_members(frontier, ids))
+    for level in range(max_depth):
+        m, seen = materialize_with_metrics(_members(frontier, ids), f"flatten-level{level}",
+                                           nested=F.count_if(F.col("kind").isin("OBJECT", "ARRAY")))
         leaves.append(m.where(F.col("kind") == "STRING").select(*ids, "key", F.col("raw").alias("value"), "ord"))
         rejects.append(m.where(F.col("kind") == "NULL").select(*ids, F.lit("null value").alias("reason")))
         frontier = m.where(F.col("kind").isin("OBJECT", "ARRAY")).select(
             *ids, F.col("key").alias("prefix"), "ord", F.col("raw").alias("text"), "kind")
-        if frontier.isEmpty():
+        if not seen["nested"]:
             break
     else:
         raise ValueError(f"catalog nesting deeper than max_depth={max_depth}")
@@ -338,11 +340,11 @@ def nest_catalogs(entries: DataFrame, ids=("catalog", "lang"), indent: int = 2)
     ``path_conflicts``).
     """
     ids = list(ids)
-    e = cut_lineage(last_wins(entries.select(*ids, "key", "value", "ord"), keys=ids + ["key"],
-                              first_position="pos")
-                    .withColumn("parts", F.split(F.col("key"), "\\.", -1))
-                    .withColumn("depth", F.size("parts")))
-    max_d = e.agg(F.max("depth")).first()[0]
+    e, seen = materialize_with_metrics(
+        last_wins(entries.select(*ids, "key", "value", "ord"), keys=ids + ["key"], first_position="pos")
+        .withColumn("parts", F.split(F.col("key"), "\\.", -1))
+        .withColumn("depth", F.size("parts")), "nest-input", max_depth=F.max("depth"))
+    max_d = seen["max_depth"]
     sp = lambda d: " " * (indent * d)
     if max_d is None:
         return entries.sparkSession.createDataFrame([], ", ".join(f"{c} string" for c in ids) + ", json string")

@@ -89,3 +89,19 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     path = new_work_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def materialize_with_metrics(df: DataFrame, name: str, **metrics) -> tuple[DataFrame, dict]:
+    """``cut_lineage`` that also returns aggregate metrics gathered during the same write.
+
+    ``metrics`` are aggregate Columns (e.g. ``n=F.count_if(...)``); Spark's
+    ``Observation`` collects them as the write job runs, so a driver loop
+    can decide what to do next without a second job.
+    """
+    from pyspark.sql import Observation
+    spark = df.sparkSession
+    obs = Observation(name)
+    observed = df.observe(obs, *[c.alias(k) for k, c in metrics.items()])
+    path = new_work_path(spark, name)
+    observed.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path), dict(obs.get)
