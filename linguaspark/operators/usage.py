@@ -80,40 +80,46 @@ def substring_join(needles: DataFrame, hay: DataFrame, needle_col: str = "needle
                    hay_col: str = "text", q: int = 3, broadcast_rows: int = 2_000_000) -> DataFrame:
     """All (needle row, hay row) pairs with ``contains(hay, needle)``, exactly.
 
-    Needles of length >= q are probed by their rarest q-gram (frequency
-    counted over the distinct hay texts); shorter needles by the needle
-    itself against hay substrings of the same length. Candidates are
-    verified with ``contains``. Empty needles are dropped. Distinct texts
-    are processed once and joined back to the rows.
+    Needles of length >= q are probed by their rarest q-gram; shorter needles
+    by the needle itself against hay substrings of the same length.
+    Candidates are verified with ``contains``; empty needles are dropped.
+
+    With at most ``broadcast_rows`` distinct needles (one bounded count) the
+    needle side is broadcast and the hay is never shuffled: grams are
+    exploded, filtered against the needles' grams and verified inside the
+    scan tasks, carrying the hay row along. Only the per-gram frequency
+    counts (partial aggregates) cross the network. Above the bound the same
+    plan runs with shuffle joins.
     """
     spark = needles.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     nd = needles.select(F.col(needle_col).alias("_n")).where(F.length("_n") > 0).distinct()
-    # An explicit partition count: the gram explosion happens after this
-    # shuffle, so AQE must not coalesce it into a few tasks by input size.
-    hd = hay.select(F.col(hay_col).alias("_h")).repartition(parts, "_h").dropDuplicates(["_h"])
     L = F.length("_n")
     ngrams = nd.select("_n", F.explode(F.when(L >= q, _grams("_n", q)).otherwise(F.array("_n"))).alias("gram"))
     short_lens = [r[0] for r in nd.where(L < q).select(L.alias("l")).distinct().collect()]
-    hay_grams = hd.select("_h", F.explode(_grams("_h", q)).alias("gram"))
-    for sl in short_lens:
-        hay_grams = hay_grams.unionByName(hd.select("_h", F.explode(_grams("_h", sl)).alias("gram")))
-    # The needle count bounds both small sides (grams per needle are few,
-    # the choice is one row per needle); one cheap action over needles only.
     small = nd.limit(broadcast_rows + 1).count() <= broadcast_rows
     hint = F.broadcast if small else (lambda d: d)
+    # One task per core at least: the explosion runs in the scan stage.
+    cores = spark.sparkContext.defaultParallelism
+    h = hay if hay.rdd.getNumPartitions() >= cores else hay.repartition(cores)
+
+    def exploded(df):
+        grams = _grams(hay_col, q)
+        for sl in short_lens:
+            grams = F.concat(grams, _grams(hay_col, sl))
+        return df.select("*", F.explode(grams).alias("gram"))
+
     gram_set = hint(ngrams.select("gram").distinct())
-    hg = hay_grams.join(gram_set, "gram", "left_semi")
-    freq = hg.groupBy("gram").agg(F.count(F.lit(1)).alias("cnt"))
+    freq = (exploded(h.select(hay_col)).join(gram_set, "gram", "left_semi")
+            .groupBy("gram").agg(F.count(F.lit(1)).alias("cnt")))
     choice = hint(ngrams.join(freq, "gram", "inner")
                   .groupBy("_n").agg(F.min_by("gram", F.struct("cnt", "gram")).alias("gram")))
-    pairs = (hg.join(choice, "gram", "inner")
-             .where(F.col("_h").contains(F.col("_n")))
-             .select("_n", "_h").distinct())
-    nrows = needles.withColumnRenamed(needle_col, "_n") if needle_col in needles.columns else needles
-    hrows = hay.withColumnRenamed(hay_col, "_h")
-    out = pairs.join(nrows, "_n").join(hrows, "_h")
-    return out.withColumnRenamed("_n", needle_col).withColumnRenamed("_h", hay_col)
+    pairs = (exploded(h).join(choice, "gram", "inner")
+             .where(F.col(hay_col).contains(F.col("_n"))).drop("gram"))
+    nrows = needles.withColumnRenamed(needle_col, "_n")
+    extra = [c for c in nrows.columns if c != "_n"]
+    if extra:
+        pairs = pairs.join(hint(nrows), "_n")
+    return pairs.withColumnRenamed("_n", needle_col)
 
 
 # ---------------------------------------------------------------------------
