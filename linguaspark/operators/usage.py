@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import count_newlines
+from ..session import cut_lineage
 
 # Key-call pattern, hook pattern and default file globs.
 T_CALL_RE = "t\\(\\s*['\"]([^'\"]+)['\"]"
@@ -134,16 +135,23 @@ def key_usages(keys: DataFrame, files: DataFrame, q: int = 3) -> DataFrame:
         "key", "file", "line_no")
 
 
-def attach_context(usages: DataFrame, files: DataFrame, n: int = CONTEXT_LINES) -> DataFrame:
+def attach_context(usages: DataFrame, files: DataFrame, n: int = CONTEXT_LINES,
+                   broadcast_rows: int = 5_000_000) -> DataFrame:
     """The lines ``line_no-n .. line_no+n`` of the file, clipped, joined by newlines.
 
-    Each usage asks for its 2n+1 neighbour line numbers; an equi-join on
-    (file, line_no) fetches them, so a hot file never lands in one task.
+    Each usage asks for its 2n+1 neighbour line numbers, fetched by an
+    equi-join on (file, line_no), so a hot file never lands in one task. The
+    usages are materialised once; when the wanted lines are proven few (one
+    count) they are broadcast and the code lines are filtered inside the scan,
+    never shuffled.
     """
-    lines = file_lines(files)
-    want = usages.select("key", "file", "line_no",
-                         F.explode(F.sequence(F.col("line_no") - n, F.col("line_no") + n)).alias("want"))
-    got = want.join(lines.select("file", F.col("line_no").alias("want"), "line"), ["file", "want"])
+    u = cut_lineage(usages.select("key", "file", "line_no"), "usages")
+    want = u.select("key", "file", "line_no",
+                    F.explode(F.sequence(F.col("line_no") - n, F.col("line_no") + n)).alias("want"))
+    if u.limit(broadcast_rows + 1).count() * (2 * n + 1) <= broadcast_rows:
+        want = F.broadcast(want)
+    lines = file_lines(files).select("file", F.col("line_no").alias("want"), "line")
+    got = lines.join(want, ["file", "want"])
     return (got.groupBy("key", "file", "line_no")
             .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("want", "line"))),
                                           lambda x: x["line"]), "\n").alias("context")))
