@@ -180,7 +180,7 @@ def knn(queries: DataFrame, memory: DataFrame, k: int, part_col: str = "lang",
     mid_t = dict(memory.select(memory_id).dtypes)[memory_id]
     schema = f"part string, query_id {qid_t}, hit_id {mid_t}, similarity double"
     if q.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        cand = _knn_broadcast(q, m, k, exclude_self, schema)
+        cand = _knn_broadcast(q.toPandas(), m, k, exclude_self, schema)
     else:
         cand = _knn_blocks(q, m, k, exclude_self, schema, block)
     w = Window.partitionBy("part", "query_id").orderBy(F.desc("similarity"), F.asc("hit_id"))
@@ -188,9 +188,8 @@ def knn(queries: DataFrame, memory: DataFrame, k: int, part_col: str = "lang",
             .select("part", "query_id", "rank", "hit_id", "similarity"))
 
 
-def _knn_broadcast(q: DataFrame, m: DataFrame, k: int, exclude_self: bool, schema: str) -> DataFrame:
+def _knn_broadcast(local: pd.DataFrame, m: DataFrame, k: int, exclude_self: bool, schema: str) -> DataFrame:
     spark = m.sparkSession
-    local = q.toPandas()  # bounded by the caller's count check
     payload = {}
     for part, g in local.groupby("part"):
         Q = np.stack(g["vec"].to_numpy()).astype(np.float64)

@@ -96,8 +96,14 @@ def substring_join(needles: DataFrame, hay: DataFrame, needle_col: str = "needle
     nd = needles.select(F.col(needle_col).alias("_n")).where(F.length("_n") > 0).distinct()
     L = F.length("_n")
     ngrams = nd.select("_n", F.explode(F.when(L >= q, _grams("_n", q)).otherwise(F.array("_n"))).alias("gram"))
-    short_lens = [r[0] for r in nd.where(L < q).select(L.alias("l")).distinct().collect()]
-    small = nd.limit(broadcast_rows + 1).count() <= broadcast_rows
+    # One bounded job: the needle count (the broadcast bound) and the short-needle lengths.
+    stats = nd.limit(broadcast_rows + 1).agg(
+        F.count(F.lit(1)).alias("n"), F.collect_set(F.when(L < q, L)).alias("short")).first()
+    small = stats["n"] <= broadcast_rows
+    if small:
+        short_lens = sorted(stats["short"])
+    else:  # the limited pass saw only some needles: take the short lengths from all of them
+        short_lens = sorted(r[0] for r in nd.where(L < q).select(L.alias("l")).distinct().collect())
     hint = F.broadcast if small else (lambda d: d)
     # One task per core at least: the explosion runs in the scan stage.
     cores = spark.sparkContext.defaultParallelism

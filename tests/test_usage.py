@@ -71,3 +71,10 @@ def test_path_filter(spark):
                                 ("d.bin",), ("vendor/v.go",)], "p string")
     keep = rows(df.where(U.path_filter("p", U.CONTEXT_EXTENSIONS, U.CONTEXT_EXCLUDES)))
     assert keep == [("c.py",), ("src/a.ts",)]
+
+
+def test_substring_join_above_broadcast_bound(spark):
+    hay = spark.createDataFrame([(1, "ab.cde"), (2, "xyz"), (3, "a")], "hid int, text string")
+    n = spark.createDataFrame([("a",), ("cd",), ("xyz",), ("q",)], "needle string")
+    got = rows(U.substring_join(n, hay, broadcast_rows=1).select("needle", "hid"))
+    assert got == [("a", 1), ("a", 3), ("cd", 1), ("xyz", 2)]
