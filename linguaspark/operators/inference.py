@@ -5,7 +5,9 @@ Prompts are built with Spark expressions. A provider is either
 * an *expression provider*: a function of columns returning a reply column
   (deterministic, runs JVM-side; the mock providers are of this kind), or
 * a *Python provider*: a picklable callable ``f(list[str]) -> list[str]``
-  called inside ``mapInPandas`` with per-row failure isolation.
+  called inside ``mapInPandas`` with per-row failure isolation. Its module
+  must be importable on the executors (or registered with
+  ``cloudpickle.register_pickle_by_value``), as for any Spark Python code.
 """
 
 from __future__ import annotations

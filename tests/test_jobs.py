@@ -40,3 +40,36 @@ def test_review_all_mode_and_import_glossary(spark):
     merged, counts = J.import_glossary(g, recs, "ja")
     assert rows(merged, "term") == [("API",)]
     assert tuple(counts.collect()[0]) == (1, 1)
+
+
+import sys  # noqa: E402
+
+from pyspark import cloudpickle  # noqa: E402
+
+# Providers defined in this test module must reach the Python workers by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+class _Reviewer:
+    """A Python batch provider: upper-cases the current translation; fails on one key's prompt."""
+
+    def __call__(self, prompts):
+        out = []
+        for p in prompts:
+            if "Original (English): Boom" in p:
+                raise RuntimeError("model error")
+            cur = p.split("Current translation (ja): ", 1)[1].split("\n", 1)[0]
+            out.append(f"IMPROVED: {cur.upper()}\nCHANGES: upper-cased")
+        return out
+
+
+def test_review_python_provider_isolates_failures(spark):
+    src = spark.createDataFrame([("app", "en", "a", "Hi", 1), ("app", "en", "b", "Boom", 2),
+                                 ("app", "en", "c", "Ok", 3)], E)
+    tgt = spark.createDataFrame([("app", "ja", "a", "hi-ja", 1), ("app", "ja", "b", "boom-ja", 2),
+                                 ("app", "ja", "c", "Ok", 3)], E)
+    res = J.review(src, tgt, ["ja"], _Reviewer(), max_parallel=2)
+    assert rows(res.entries, "key", "value") == [("a", "HI-JA"), ("b", "boom-ja"), ("c", "Ok")]
+    errs = {r.key: r.error for r in res.results.collect()}
+    assert errs["a"] is None and "model error" in errs["b"]
+    assert rows(res.memory_rows, "source_text", "translation") == [("Hi", "HI-JA")]
