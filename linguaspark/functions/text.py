@@ -55,8 +55,9 @@ def json_string_literal(c) -> Column:
 
 
 def _strip_brackets(j: Column) -> Column:
-    # to_json(array(s)) is '["..."]'; drop the surrounding brackets.
-    return F.regexp_extract(j, "^\\[(.*)\\]$", 1)
+    # to_json(array(s)) is '["..."]'; drop the surrounding brackets. Not a
+    # regex: '.' would stop at line terminators such as U+0085 in the value.
+    return F.substring(j, F.lit(2), F.length(j) - F.lit(2))
 
 
 def integer_like(c) -> Column:

@@ -64,7 +64,7 @@ def read_catalog_files(spark: SparkSession, root: str, required: bool = False) -
     f = read_whole_files(spark, root, required)
     f = f.where(F.col("path").endswith(".json"))
     lang = F.regexp_extract("path", "([^/]+)\\.json$", 1)
-    catalog = F.regexp_replace(F.regexp_extract("path", "^(.*)/[^/]+$", 1), "^$", ".")
+    catalog = F.regexp_replace(F.regexp_extract("path", "(?s)^(.*)/[^/]+$", 1), "^$", ".")
     out = f.select(catalog.alias("catalog"), lang.alias("lang"), F.col("content").alias("json"))
     return out if out.columns else _empty(spark, CATALOG_FILE)
 

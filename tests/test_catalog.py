@@ -139,3 +139,10 @@ def test_events_props_flatten_to_nothing(spark):
     assert f.entries.count() == 0
     assert f.rejects.count() == 0
     assert F is not None
+
+
+def test_nest_flatten_control_and_line_separator_characters(spark):
+    vals = ["a\u0085b", "c d", "\x1d\x93e", "tab\tnl\ncr\r", 'q"uote\\']
+    e = entries(spark, [(f"k{i}", v) for i, v in enumerate(vals)])
+    back = C.flatten_catalogs(C.nest_catalogs(e)).entries
+    assert rows(back, "key", "value") == sorted((f"k{i}", v) for i, v in enumerate(vals))
