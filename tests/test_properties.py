@@ -60,3 +60,35 @@ def test_knn_prefix_property(spark, n, k, seed):
     b = rows(M.knn(df, df, k + 1, query_id="id", memory_id="id", exclude_self=True, broadcast_rows=0, block=16),
              "query_id", "rank", "hit_id")
     assert a == [r for r in b if r[1] <= k]
+
+
+import re  # noqa: E402
+
+from linguaspark.operators import usage as U  # noqa: E402
+
+text_chars = st.sampled_from(list("ab.c") + ["\u0085", " ", "\n", "é", "\U0001F600", " "])
+
+
+@SETTINGS
+@given(st.lists(st.text(alphabet=text_chars, max_size=20), min_size=1, max_size=25),
+       st.lists(st.text(alphabet=text_chars, min_size=1, max_size=5), min_size=1, max_size=12, unique=True),
+       st.integers(0, 3))
+def test_substring_join_matches_python(spark, hay, needles, bound):
+    h = spark.createDataFrame([(i, t) for i, t in enumerate(hay)], "hid int, text string")
+    n = spark.createDataFrame([(x,) for x in needles], "needle string")
+    got = rows(U.substring_join(n, h, broadcast_rows=bound).select("needle", "hid"))
+    assert got == sorted((x, i) for x in needles for i, t in enumerate(hay) if x in t)
+
+
+code_text = st.lists(st.sampled_from(list("t('\"ab.) \n") + ["t(", "t('", "alert(\""]), max_size=30).map("".join)
+T_CALL = re.compile(r"""t\(\s*['"]([^'"]+)['"]""")
+
+
+@SETTINGS
+@given(st.lists(code_text, min_size=1, max_size=6))
+def test_extract_keys_matches_python_regex(spark, contents):
+    files = spark.createDataFrame([(f"f{i}.js", c) for i, c in enumerate(contents)], "file string, content string")
+    got = rows(U.extract_keys(files), "key", "file", "line")
+    want = sorted((m.group(1), f"f{i}.js", c[:m.start()].count("\n") + 1)
+                  for i, c in enumerate(contents) for m in T_CALL.finditer(c))
+    assert got == want
