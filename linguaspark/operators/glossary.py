@@ -130,3 +130,22 @@ def apply_terms(texts: DataFrame, glossary_long: DataFrame, text_col: str = "tex
         lambda acc, x: F.regexp_replace(acc, F.concat(F.lit("(?i)\\b\\Q"), x["needle"], F.lit("\\E\\b")),
                                         F.regexp_replace(x["translation"], "([\\\\$])", "\\\\$1")))
     return j.select(id_col, text_col, folded.alias("applied"))
+
+
+def relevant_lists(texts: DataFrame, glossary: DataFrame, id_col: str = "_qid", text_col: str = "value") -> DataFrame:
+    """J12 option: per text, only the glossary terms of its language that occur in it (case-insensitive).
+
+    ``texts``: ``(id, lang, text)``. Found by the exact substring join (no
+    cross join); each list is bounded by what one text contains. Prompt
+    order as in ``prompt_lists``. Texts without a term get no row.
+    """
+    fl = for_language(glossary).select("lang", "term", "translation", "seq",
+                                       F.lower("term").alias("needle"))
+    t = texts.select(id_col, F.col("lang").alias("_tlang"), F.lower(text_col).alias("_low"))
+    hits = (substring_join(fl, t, needle_col="needle", hay_col="_low")
+            .where(F.col("lang") == F.col("_tlang")))
+    order = F.struct((~integer_like("term")).alias("a"),
+                     F.when(integer_like("term"), F.col("term").cast("bigint")).alias("b"), F.col("seq").alias("c"))
+    return hits.groupBy(id_col).agg(F.transform(
+        F.array_sort(F.collect_list(F.struct(order.alias("o"), "term", "translation"))),
+        lambda x: F.struct(x["term"].alias("term"), x["translation"].alias("translation"))).alias("glossary"))

@@ -47,7 +47,8 @@ class TranslateResult:
 def translate(source: DataFrame, target: DataFrame, langs: list[str] | None = None, provider=None, *,
               glossary: DataFrame | None = None, memory: DataFrame | None = None, embedder=None,
               code_files: DataFrame | None = None, context: str | None = None, k_similar: int = 3,
-              batch_size: int = 5, max_parallel: int | None = None, rounds: int = 1) -> TranslateResult:
+              batch_size: int = 5, max_parallel: int | None = None, rounds: int = 1,
+              glossary_scope: str = "all") -> TranslateResult:
     """Translate the keys missing from the target catalogs.
 
     Context per key: ``context`` if given (even empty), else the entry's own;
@@ -55,6 +56,9 @@ def translate(source: DataFrame, target: DataFrame, langs: list[str] | None = No
     not per run). Similar translations come from ``memory`` (k-NN in the
     same language), the glossary list of the language goes into every prompt.
 
+    ``glossary_scope="relevant"`` puts into each prompt only the terms its
+    text contains (bounded per row) instead of the language's whole glossary.
+
     ``rounds`` > 1 feeds the memory between rounds (H2): batches are split
     into ``rounds`` contiguous groups per catalog, and each round's lookups
     see the translations of the earlier rounds. Lineage is cut per round.
@@ -75,7 +79,9 @@ def translate(source: DataFrame, target: DataFrame, langs: list[str] | None = No
         todo = (todo.join(texts, "key", "left")
                 .withColumn("context", U.combine_context(F.col("context"), F.col("text"))).drop("text"))
     todo = todo.withColumn("_qid", _entry_id(todo))
-    if glossary is not None:
+    if glossary is not None and glossary_scope == "relevant":
+        todo = todo.join(G.relevant_lists(todo.select("_qid", "lang", "value"), glossary), "_qid", "left")
+    elif glossary is not None:
         todo = todo.join(G.prompt_lists(glossary, langs), "lang", "left")
     else:
         todo = todo.withColumn("glossary", F.lit(None).cast("array<struct<term:string,translation:string>>"))
@@ -130,7 +136,7 @@ class ReviewResult:
 
 def review(source: DataFrame, target: DataFrame, langs: list[str] | None = None, provider=None, *,
            glossary: DataFrame | None = None, context: str | None = None, all_keys: bool = False,
-           max_parallel: int | None = None) -> ReviewResult:
+           max_parallel: int | None = None, glossary_scope: str = "all") -> ReviewResult:
     """Review outdated keys (or every key present in both with ``all_keys``) and merge improvements."""
     provider = provider or mock_review_provider()
     if all_keys:
@@ -145,7 +151,11 @@ def review(source: DataFrame, target: DataFrame, langs: list[str] | None = None,
                                     F.col("source_ord").alias("ord")))
     ctx = F.lit(context) if context is not None else F.lit(None).cast("string")
     todo = todo.withColumn("context", ctx)
-    if glossary is not None:
+    if glossary is not None and glossary_scope == "relevant":
+        todo = todo.withColumn("_qid", _entry_id(todo))
+        todo = todo.join(G.relevant_lists(todo.select("_qid", "lang", "source_value"), glossary,
+                                          text_col="source_value"), "_qid", "left").drop("_qid")
+    elif glossary is not None:
         todo = todo.join(G.prompt_lists(glossary, langs), "lang", "left")
     else:
         todo = todo.withColumn("glossary", F.lit(None).cast("array<struct<term:string,translation:string>>"))

@@ -73,3 +73,27 @@ def test_review_python_provider_isolates_failures(spark):
     errs = {r.key: r.error for r in res.results.collect()}
     assert errs["a"] is None and "model error" in errs["b"]
     assert rows(res.memory_rows, "source_text", "translation") == [("Hi", "HI-JA")]
+
+
+def test_translate_relevant_glossary_scope(spark):
+    src = spark.createDataFrame([("app", "en", "a", "Open the File menu", 1), ("app", "en", "b", "Close", 2)], E)
+    tgt = spark.createDataFrame([], E)
+    g = spark.createDataFrame([("file", {"ja": "ファイル"}, None, None, 1), ("menu", {"ja": "メニュー"}, None, None, 2),
+                               ("save", {"ja": "保存"}, None, None, 3), ("close", {"fr": "fermer"}, None, None, 4)],
+                              "term string, translations map<string,string>, context string, notes string, seq bigint")
+    res = J.translate(src, tgt, ["ja"], glossary=g, glossary_scope="relevant")
+    p = {r.key: r.prompt for r in res.results.collect()}
+    assert '- "file" should be translated as "ファイル"\n- "menu" should be translated as "メニュー"\n' in p["a"]
+    assert "save" not in p["a"]
+    assert "glossary" not in p["b"]  # 'close' has no ja translation
+    full = {r.key: r.prompt for r in J.translate(src, tgt, ["ja"], glossary=g).results.collect()}
+    assert '"save" should be translated as "保存"' in full["b"]
+
+
+def test_review_relevant_glossary_scope(spark):
+    src = spark.createDataFrame([("app", "en", "a", "Open file", 1)], E)
+    tgt = spark.createDataFrame([("app", "ja", "a", "開く", 1)], E)
+    g = spark.createDataFrame([("file", {"ja": "ファイル"}, None, None, 1), ("menu", {"ja": "メニュー"}, None, None, 2)],
+                              "term string, translations map<string,string>, context string, notes string, seq bigint")
+    p = J.review(src, tgt, ["ja"], glossary=g, glossary_scope="relevant").results.collect()[0].prompt
+    assert '"file" should be translated as "ファイル"' in p and "menu" not in p
