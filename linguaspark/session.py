@@ -56,9 +56,33 @@ def shared_dir(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
+_STAGE_PATHS: list[str] = []
+
+
 def new_work_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique path under the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh, unique path under the shared folder (remembered for ``drop_stage_tables``)."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    _STAGE_PATHS.append(path)
+    return path
+
+
+def drop_stage_tables(spark: SparkSession) -> int:
+    """Delete the stage tables this process wrote to the shared folder; returns how many.
+
+    Call after the job's results are written: DataFrames still reading a
+    stage table fail once it is gone. Uses the Hadoop FileSystem API, so it
+    works on any shared store.
+    """
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    n = 0
+    while _STAGE_PATHS:
+        p = jvm.org.apache.hadoop.fs.Path(_STAGE_PATHS.pop())
+        fs = p.getFileSystem(conf)
+        if fs.exists(p):
+            fs.delete(p, True)
+            n += 1
+    return n
 
 
 def is_local_path(path: str) -> bool:

@@ -64,3 +64,11 @@ def test_glossary_file_missing_is_empty(spark, tmp_dir):
     write(f"{tmp_dir}/g.json", json.dumps([{"term": "API", "translations": {"ja": "API"}, "context": "tech"}]))
     g = S.read_glossary(spark, f"{tmp_dir}/g.json").collect()
     assert g[0].term == "API" and g[0].translations == {"ja": "API"}
+
+
+def test_drop_stage_tables(spark):
+    from linguaspark.session import cut_lineage, drop_stage_tables
+    df = cut_lineage(spark.range(10), "probe")
+    assert df.count() == 10
+    assert drop_stage_tables(spark) >= 1
+    assert drop_stage_tables(spark) == 0
