@@ -106,22 +106,26 @@ def coverage(source: DataFrame, target: DataFrame,
              langs: list[str] | None = None) -> DataFrame:
     """A1: per (catalog, lang) counts of source, target, missing, outdated, same and extra keys.
 
-    The target is aggregated once per key (row count and last value); one full
-    outer join with the source rows classifies every source row and finds the
-    extra target keys; one group-by counts. The per-key target aggregate is
-    reused for ``n_target``.
+    The target is aggregated once per key (row count and last value), the
+    source once per (key, value) with its row count; one full outer join
+    classifies the source rows and finds the extra target keys; one group-by
+    counts. The per-key target aggregate is reused for ``n_target``.
     """
-    src = with_target_langs(source, target, langs).select(*ENTRY_KEYS, "value", F.lit(True).alias("_s"))
+    # Duplicates of a key are counted map-side first: the full outer join (which
+    # AQE cannot split when skewed) then sees one row per distinct (key, value).
+    src = (with_target_langs(source, target, langs)
+           .groupBy(*ENTRY_KEYS, "value").agg(F.count(F.lit(1)).alias("_c")))
     tk = target.groupBy(*ENTRY_KEYS).agg(F.count(F.lit(1)).alias("_n"),
                                         F.max_by("value", "ord").alias("_tv"))
     j = src.join(tk, ENTRY_KEYS, "full_outer")
-    has_s, has_t = F.col("_s").isNotNull(), F.col("_n").isNotNull()
+    has_s, has_t = F.col("_c").isNotNull(), F.col("_n").isNotNull()
     same = F.col("value").eqNullSafe(F.col("_tv"))
+    rows_if = lambda cond: F.sum(F.when(cond, F.col("_c")))
     per = j.groupBy("catalog", "lang").agg(
-        F.count_if(has_s).alias("n_source"),
-        F.count_if(has_s & ~has_t).alias("n_missing"),
-        F.count_if(has_s & has_t & ~same).alias("n_outdated"),
-        F.count_if(has_s & has_t & same).alias("n_same"),
+        rows_if(has_s).alias("n_source"),
+        rows_if(has_s & ~has_t).alias("n_missing"),
+        rows_if(has_s & has_t & ~same).alias("n_outdated"),
+        rows_if(has_s & has_t & same).alias("n_same"),
         F.count_if(~has_s).alias("n_extra"))
     per_tgt = tk.groupBy("catalog", "lang").agg(F.sum("_n").alias("n_target"))
     out = per.join(per_tgt, ["catalog", "lang"], "full_outer")
