@@ -68,3 +68,17 @@ def land_in_files(df: DataFrame, path: str, n_files: int, order_col: str | None
     out = df.repartitionByRange(n_files, order_col) if order_col else df.repartition(n_files)
     out.write.mode("overwrite").parquet(path)
 
+
+
+def compact_memory(spark: SparkSession, table_path: str, out_path: str) -> None:
+    """Fold every ingested batch into a ``lang``-partitioned TM table (latest write per id).
+
+    Run on a schedule: readers of ``out_path`` then scan one row per id and
+    can prune by language instead of aggregating every batch.
+    """
+    from ..sources.memory_store import write_memory
+    settled = read_memory(spark, table_path)
+    if "embedding" not in settled.columns:
+        from pyspark.sql import functions as F
+        settled = settled.withColumn("embedding", F.lit(None).cast("array<float>"))
+    write_memory(settled, out_path, mode="upsert")

@@ -32,3 +32,15 @@ def test_missing_stream(spark, tmp_dir):
     tgt = spark.createDataFrame([("app", "ja", "a", "x", 1)], E)
     stream_missing(spark, src, tgt, out, ckpt, spark.read.parquet(src).schema, ["ja", "fr"])
     assert rows(read_missing(spark, out), "lang", "key") == [("fr", "a"), ("fr", "b"), ("ja", "b")]
+
+
+def test_compact_memory(spark, tmp_dir):
+    from linguaspark.sources.memory_store import read_memory as read_table
+    from linguaspark.streaming.incremental import compact_memory
+    src, table, ckpt = f"{tmp_dir}/in", f"{tmp_dir}/tm", f"{tmp_dir}/ckpt"
+    land(spark, src, [("ja_a", "a", "A1", "ja", "unknown", 1), ("fr_b", "b", "B", "fr", "unknown", 1)], TM)
+    land(spark, src, [("ja_a", "a", "A2", "ja", "unknown", 2)], TM)
+    ingest_memory(spark, src, table, ckpt, spark.read.parquet(src).schema)
+    compact_memory(spark, table, f"{tmp_dir}/compact")
+    assert rows(read_table(spark, f"{tmp_dir}/compact", ["ja"]), "id", "translation") == [("ja_a", "A2")]
+    assert {"lang=fr", "lang=ja"} <= set(os.listdir(f"{tmp_dir}/compact"))
