@@ -87,11 +87,11 @@ sizes AS (SELECT id, count(*) AS n FROM shingles GROUP BY id)"""
 
 ORACLE = {
     "op7_ngram_join": "WITH RECURSIVE " + _SHINGLES.format(id="doc_id", table="documents", k=3) + """,
-overlaps AS (
+common AS (
     SELECT a.id AS a, b.id AS b, count(*) AS o FROM shingles a JOIN shingles b ON a.s = b.s AND a.id <> b.id
     GROUP BY a.id, b.id),
 links AS (
-    SELECT a, b FROM overlaps JOIN sizes x ON x.id = a JOIN sizes y ON y.id = b
+    SELECT a, b FROM common JOIN sizes x ON x.id = a JOIN sizes y ON y.id = b
     WHERE 100 * o >= 90 * (x.n + y.n - o)),
 reach(id, other) AS (
     SELECT doc_id, doc_id FROM documents
