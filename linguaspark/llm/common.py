@@ -158,14 +158,12 @@ def maybe_in(table, bits: int = BITS):
 
 
 def texts_by_hash(d: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(th, text) once for each wanted hash; ``d`` has text and th.
+    """(th, text) once for each wanted hash, and perhaps for a few others; ``d`` has text and th.
 
-    A bit table drops nearly all other texts before anything is shuffled,
-    an equi-join the rest.
+    A bit table drops nearly all other texts before anything is shuffled.
     """
     hit = maybe_in(bit_table(d.sparkSession, wanted, "th"))
-    return (d.where("th is not null").where(hit("th")).select("th", "text").join(wanted, "th", "left_semi")
-            .groupBy("th").agg(F.min("text").alias("text")))
+    return d.where("th is not null").where(hit("th")).groupBy("th").agg(F.min("text").alias("text"))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "cc") -> DataFrame:

@@ -14,7 +14,7 @@ put in one global order: rare ones first, frequent ones last, each by hash.
   tokens each two neighbouring frequent tokens are indexed as a combination.
 
 Both together lose no pair, whichever tokens count as frequent; which do is
-counted over all documents (see ``frequent_bits``).
+counted over all documents (see ``frequent_tokens``).
 
 Keys are joined in two rounds. First every set meets the least-ranked set
 of each of its keys only, a number of pairs in proportion to the keys,
@@ -42,11 +42,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linguaspark.llm.common import (U64, bit_table, components, cut_lineage, in_bits, maybe_in, mix, pick, shingle_set,
-                                    texts_by_hash, with_text_hash)
+                                    with_text_hash)
 
 FREQUENT = 64      # documents from which a token counts as frequent
 LOCAL_LEAST = 4    # occurrences within one chunk of a task below which a token is not reported
-CHUNK = 4_000_000  # tokens counted at once
+CHUNK = 1_000_000  # tokens counted at once
+CROWDED = 512      # sets from which a single key is found to be frequent after all
+ROUNDS = 4         # passes at most over the texts to move such tokens to the end of the order
+KEY_BITS = 26      # bit table of shared keys: 8 MB, whatever the input
 
 
 def set_id(s: np.ndarray) -> int:
@@ -93,14 +96,14 @@ def set_table(d: DataFrame, k: int) -> DataFrame:
     return cut_lineage(src.mapInPandas(sets, "id long, th long, n long, sid long"), "ngram-sets")
 
 
-def frequent_bits(spark: SparkSession, table: DataFrame, least: int = FREQUENT):
-    """Bit table of the tokens that occur in about ``least`` documents or more.
+def frequent_tokens(table: DataFrame, least: int = FREQUENT) -> DataFrame:
+    """The tokens (sid) that are seen to occur in about ``least`` documents or more.
 
-    Tasks report only tokens repeated within them, so this undercounts
-    tokens spread thinly; it decides efficiency, not results.
+    Tasks report only tokens repeated within them. Tokens spread thinly are
+    found later, by the number of sets under their key; which tokens count
+    as frequent decides efficiency, not results.
     """
-    tokens = (table.where("th is null").groupBy("sid").agg(F.sum("n").alias("n")).where(F.col("n") >= least))
-    return bit_table(spark, tokens, "sid")
+    return (table.where("th is null").groupBy("sid").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("sid"))
 
 
 def prefix_keys(s: np.ndarray, frequent: np.ndarray, num: int, den: int) -> tuple[np.ndarray, ...]:
@@ -161,36 +164,68 @@ def may_link(a: str, b: str, num: int, den: int) -> Column:
     return sizes & after & (close | ~F.col(f"{a}.combo"))
 
 
-def set_vectors(d: DataFrame, table: DataFrame, sids: DataFrame, k: int) -> DataFrame:
-    """(sid, s) for the wanted sets, written; s holds the sorted hashes.
+def sketch(s: np.ndarray) -> bytes:
+    """A bitmap of a set: the leading bits of its hashes, about two bits of room for each."""
+    bits = max(6, int(2 * len(s) - 1).bit_length())
+    out = np.zeros(1 << bits, bool)
+    out[(s >> U64(64 - bits)).astype(np.int64)] = True
+    return np.packbits(out).tobytes()
 
-    A wanted set is read from one text that has it.
+
+def most_shared(na: int, a: bytes, nb: int, b: bytes) -> int:
+    """An upper bound of the common tokens of two sets from their sketches: a bit in one only is a token in one only."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    x, y = np.unpackbits(x).view(bool), np.unpackbits(y).view(bool)
+    size = min(len(x), len(y))  # both lengths are powers of two: fold the finer one
+    x, y = x.reshape(size, -1).any(1), y.reshape(size, -1).any(1)
+    both = np.count_nonzero(x & y)
+    return min(na - (np.count_nonzero(x) - both), nb - (np.count_nonzero(y) - both))
+
+
+def set_vectors(d: DataFrame, table: DataFrame, pairs: DataFrame, k: int, of) -> DataFrame:
+    """(sid, n, data) for the sets of the pairs, written; data is ``of`` a set's sorted hashes.
+
+    A set is read from one text that has it, where the text lies: a bit table
+    of text hashes drops nearly all other texts, and only data is shuffled.
     """
-    chosen = (table.where("th is not null").join(sids, "sid", "left_semi").groupBy("sid").agg(F.min("th").alias("th")))
-    texts = texts_by_hash(d, cut_lineage(chosen, "ngram-wanted").select("th"))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    chosen = cut_lineage(table.where("th is not null").join(ends, "sid", "left_semi")
+                         .groupBy("sid").agg(F.min("th").alias("th")), "ngram-wanted")
+    hit = maybe_in(bit_table(d.sparkSession, chosen, "th"))
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             ss = [shingle_set(t, k) for t in b["text"]]
-            yield pd.DataFrame({"sid": [set_id(s) for s in ss], "s": [s.tobytes() for s in ss]})
+            yield pd.DataFrame({"sid": [set_id(s) for s in ss], "n": [len(s) for s in ss], "data": [of(s) for s in ss]})
+
+    found = d.where("th is not null").where(hit("th")).select("text").mapInPandas(sets, "sid long, n long, data binary")
+    return cut_lineage(found.groupBy("sid").agg(F.min("n").alias("n"), F.min("data").alias("data")), "ngram-vectors")
 
-    return cut_lineage(texts.select("text").mapInPandas(sets, "sid long, s binary"), "ngram-vectors")
 
+def verified(pairs: DataFrame, d: DataFrame, table: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose sets reach the threshold exactly; pairs that the sketches rule out never meet as sets."""
+    def reaches(both: int, na: int, nb: int) -> bool:
+        return den * both >= num * (na + nb - both)
 
-def verified(pairs: DataFrame, vectors: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold exactly."""
     @F.pandas_udf("boolean")
-    def similar(a: pd.Series, b: pd.Series) -> pd.Series:
+    def possible(na: pd.Series, a: pd.Series, nb: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([reaches(most_shared(m, x, n, y), m, n) for m, x, n, y in zip(na, a, nb, b, strict=True)], dtype=bool)
+
+    @F.pandas_udf("boolean")
+    def similar(na: pd.Series, a: pd.Series, nb: pd.Series, b: pd.Series) -> pd.Series:
         out = np.zeros(len(a), bool)
-        for i, (x, y) in enumerate(zip(a, b, strict=True)):
-            x, y = np.frombuffer(x, U64), np.frombuffer(y, U64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            out[i] = den * both >= num * (len(x) + len(y) - both)
+        for i, (m, x, n, y) in enumerate(zip(na, a, nb, b, strict=True)):
+            both = np.intersect1d(np.frombuffer(x, U64), np.frombuffer(y, U64), assume_unique=True)
+            out[i] = reaches(len(both), m, n)
         return pd.Series(out)
 
-    va = vectors.select(F.col("sid").alias("a"), F.col("s").alias("sa"))
-    vb = vectors.select(F.col("sid").alias("b"), F.col("s").alias("sb"))
-    return pairs.join(vb, "b").join(va, "a").where(similar("sa", "sb")).select("a", "b")
+    def meet(pairs: DataFrame, vectors: DataFrame, test) -> DataFrame:
+        for x in ("b", "a"):
+            pairs = pairs.join(vectors.select(F.col("sid").alias(x), F.col("n").alias("n" + x), F.col("data").alias("d" + x)), x)
+        return pairs.where(test("na", "da", "nb", "db")).select("a", "b")
+
+    near = cut_lineage(meet(pairs, set_vectors(d, table, pairs, k, sketch), possible), "ngram-possible")
+    return meet(near, set_vectors(d, table, near, k, lambda s: s.tobytes()), similar)
 
 
 def _ordered(a: Column, b: Column) -> list[Column]:
@@ -211,24 +246,33 @@ def join(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = 3, nu
     d = with_text_hash(pick(docs, id=id, text=text))
     table = set_table(d, k)
     rows = table.where("th is not null")
-    keys = key_table(d, frequent_bits(spark, table), k, num, den)
-
-    shared = (keys.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"),
-                                      F.min(F.struct("lead", "rank", "n", "sid", "combo")).alias("star"))
-              .where("lo <> hi").select("key", "star"))
-    met = cut_lineage(keys.join(shared, "key").distinct(), "ngram-met")
+    tokens = frequent_tokens(table)
+    for turn in range(ROUNDS):
+        keys = key_table(d, bit_table(spark, tokens, "sid"), k, num, den)
+        # keys that two different sets have
+        shared = cut_lineage(keys.groupBy("key", "combo").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"),
+                                                              F.count(F.lit(1)).alias("n")).where("lo <> hi"), "ngram-shared")
+        crowded = shared.where(~F.col("combo") & (F.col("n") > CROWDED)).select(F.col("key").alias("sid"))
+        if turn == ROUNDS - 1 or crowded.isEmpty():
+            break
+        tokens = tokens.union(crowded)
+    shared = shared.select("key").distinct()
+
+    # a bit table drops nearly all other keys in the scan
+    hit = maybe_in(bit_table(spark, shared, "key", KEY_BITS), KEY_BITS)
+    met = cut_lineage(keys.where(hit("key")).join(shared, "key", "left_semi").distinct(), "ngram-met")
+    stars = met.groupBy("key").agg(F.min(F.struct("lead", "rank", "n", "sid", "combo")).alias("star"))
 
     # round one: each set with the first set of each of its keys
-    first = (met.alias("m").where("sid <> star.sid").select("m.*", F.struct("lead", "rank", "n", "sid", "combo").alias("own"))
+    first = (met.join(stars, "key").where("sid <> star.sid").select("star", "sid", F.struct("lead", "rank", "n", "sid", "combo").alias("own"))
              .where(may_link("own", "star", num, den))
              .select(*_ordered(F.col("sid"), F.col("star.sid"))).distinct())
     first = cut_lineage(first, "ngram-pairs")
-    ends = first.select(F.col("a").alias("sid")).union(first.select(F.col("b").alias("sid"))).distinct()
-    links = cut_lineage(verified(first, set_vectors(d, table, ends, k), num, den), "ngram-links")
+    links = cut_lineage(verified(first, d, table, k, num, den), "ngram-links")
     groups = cut_lineage(components(links, name="ngram-components"), "ngram-components")
 
     # round two: pairs under one key whose components still differ
-    at = (met.drop("star").join(groups.withColumnRenamed("node", "sid"), "sid", "left")
+    at = (met.join(groups.withColumnRenamed("node", "sid"), "sid", "left")
           .withColumn("root", F.coalesce("root", "sid")))
     at = cut_lineage(at, "ngram-at")
     torn = at.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
@@ -237,8 +281,7 @@ def join(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = 3, nu
                                & may_link("x", "y", num, den))
             .select(*_ordered(F.col("x.sid"), F.col("y.sid"))).distinct().join(first, ["a", "b"], "left_anti"))
     rest = cut_lineage(rest, "ngram-pairs")
-    ends = rest.select(F.col("a").alias("sid")).union(rest.select(F.col("b").alias("sid"))).distinct()
-    more = cut_lineage(verified(rest, set_vectors(d, table, ends, k), num, den), "ngram-links")
+    more = cut_lineage(verified(rest, d, table, k, num, den), "ngram-links")
     if not more.isEmpty():
         groups = cut_lineage(components(links.union(more), name="ngram-components"), "ngram-components")
 
