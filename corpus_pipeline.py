@@ -17,12 +17,13 @@ from pyspark.sql import functions as F
 
 from linguaspark.llm import decontaminate, ngram_join, pieces, quality, secrets
 from linguaspark.llm.common import cut_lineage
-from linguaspark.llm.queries import QUERIES, split_pattern, tokenizer
+from linguaspark.llm.queries import BATCH_ROWS, QUERIES, split_pattern, table, tokenizer
 from linguaspark.llm.queries import ORACLE as QUERY_ORACLE
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     scored = quality.score(docs, keep={c: c for c in docs.columns}).withColumnRenamed("accepted", "__accepted")
     return scored.where("__accepted").select(*docs.columns)
 
@@ -34,7 +35,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item."""
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    items = table(spark, sf_dir, "benchmark")
     return decontaminate.drop_contaminated(docs, items).select(*docs.columns)
 
 
@@ -49,8 +50,8 @@ def redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Tokens of every document: counts, digests of the ids and of the decoded text, and the ids."""
-    return pieces.encode(docs, tokenizer("piece_bpe_32k.model"), with_text=False)
+    """Tokens of every document: their number, and digests of the ids and of the decoded text."""
+    return pieces.encode(docs, tokenizer("piece_bpe_32k.model"), with_ids=False, with_text=False)
 
 
 STAGES = [("quality", quality_filter), ("near_duplicates", near_duplicates), ("decontamination", decontamination),
@@ -58,7 +59,7 @@ STAGES = [("quality", quality_filter), ("near_duplicates", near_duplicates), ("d
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = cut_lineage(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linguaspark.llm.common import cut_lineage, pick
+from linguaspark.llm.common import cut_lineage, pick, returning
 
 SAMPLE_ROWS, SAMPLE_BYTES = 20_000, 64 << 20  # fit on at most so much
 MAX_LEAVES, LEAF_ROWS, BRANCH = 4096, 256, 16
@@ -192,6 +192,7 @@ def search(df: DataFrame, queries: Column, id: str = "vec_id", vector: str = "em
     tree = fit_tree(sample, leaf_rows * len(sample) / total)
     shared = spark.sparkContext.broadcast(tree)  # at most MAX_LEAVES * 17 / 16 centres
 
+    @returning
     def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield b.assign(leaf=shared.value.assign(_matrix(b["v"], dim)))
@@ -202,6 +203,7 @@ def search(df: DataFrame, queries: Column, id: str = "vec_id", vector: str = "em
     # blocks: a leaf's members and its visiting queries, both bounded
     q = index.where(queries).groupBy("id").agg(F.min("v").alias("v"))
 
+    @returning
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for at in range(0, len(b), 512):
@@ -234,6 +236,7 @@ def calibrate(index: DataFrame, tree: Tree, dim: int, k: int, recall: float, n:
     probes = index.orderBy(F.xxhash64(F.lit(4), "id", "v"), "id").limit(n).select("id", "v").toPandas()
     p_id, p = probes["id"].to_numpy(), _matrix(probes["v"], dim)
 
+    @returning
     def brute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             ids, leaf = b["id"].to_numpy(), b["leaf"].to_numpy()

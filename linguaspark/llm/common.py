@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
+import gc
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +18,24 @@ U64 = np.uint64
 BITS = 24  # size of the bit tables: 2^24 bits, 2 MB, whatever the input
 
 
+def returning(f):
+    """For functions over batches in Python workers: memory goes back to the system when a task ends.
+
+    Spark uses a worker again for the tasks of other stages; without this,
+    each keeps the most that any of them ever took.
+    """
+    @functools.wraps(f)
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # glibc only
+                ctypes.CDLL(None).malloc_trim(0)
+    return run
+
+
 def pick(df: DataFrame, **cols: str) -> DataFrame:
     """``df`` reduced to the named columns, ``pick(df, id="doc_id")`` selects doc_id as id.
 
@@ -128,13 +151,16 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
     return np.unique(shingle_hashes(word_hashes(text)[0], k))
 
 
+def bit_words(keys: DataFrame, key: str, bits: int = BITS) -> DataFrame:
+    """The leading bits of every key as a bit array: (w, b), the number of a 64-bit word and its value."""
+    return (keys.select(F.shiftrightunsigned(key, 64 - bits).alias("c")).groupBy(F.shiftright("c", 6).alias("w"))
+            .agg(F.bit_or(F.expr("shiftleft(1L, cast(c & 63 as int))")).alias("b")))
+
+
 def bit_table(spark: SparkSession, keys: DataFrame, key: str, bits: int = BITS):
     """A broadcast bit array of 2^bits bits with the leading bits of every key set."""
-    cell = F.shiftrightunsigned(key, 64 - bits)
-    words = (keys.select(cell.alias("c")).groupBy(F.shiftright("c", 6).alias("w"))
-             .agg(F.bit_or(F.expr("shiftleft(1L, cast(c & 63 as int))")).alias("b")))
     table = np.zeros(1 << (bits - 6), np.int64)
-    got = words.toPandas()  # at most 2^(bits - 6) rows
+    got = bit_words(keys, key, bits).toPandas()  # at most 2^(bits - 6) rows
     table[got["w"].to_numpy()] = got["b"].to_numpy()
     return spark.sparkContext.broadcast(table)
 
@@ -149,12 +175,18 @@ def with_text_hash(d: DataFrame) -> DataFrame:
     return d.withColumn("th", F.when(F.col("text").isNotNull(), F.xxhash64("text")))
 
 
-def maybe_in(table, bits: int = BITS):
-    """A column function: whether a 64-bit key may be in the bit table (only the key column goes to Python)."""
-    @F.pandas_udf("boolean")
-    def hit(keys: pd.Series) -> pd.Series:
-        return pd.Series(in_bits(table.value, keys.to_numpy(), bits))
-    return hit
+def may_be(df: DataFrame, key: str, keys: DataFrame, of: str, keep: bool = True, bits: int = BITS) -> DataFrame:
+    """Rows of ``df`` whose 64-bit ``key`` may be among ``keys`` (or, without ``keep``, surely is not).
+
+    The bit table of the keys is joined as a broadcast of at most
+    2^(bits - 6) rows, so this is a filter in the scan, without a shuffle.
+    A null key is in no table.
+    """
+    words = bit_words(keys, of, bits).select(F.col("w").alias("__w"), F.col("b").alias("__b"))
+    cell = F.shiftrightunsigned(key, 64 - bits)
+    at = df.withColumn("__at", F.shiftright(cell, 6)).join(F.broadcast(words), F.col("__at") == F.col("__w"), "inner" if keep else "left")
+    hit = F.coalesce(F.expr(f"shiftrightunsigned(__b, cast(shiftrightunsigned({key}, {64 - bits}) & 63 as int)) & 1"), F.lit(0)) == 1
+    return at.where(hit if keep else ~hit).drop("__at", "__w", "__b")
 
 
 def texts_by_hash(d: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -162,8 +194,7 @@ def texts_by_hash(d: DataFrame, wanted: DataFrame) -> DataFrame:
 
     A bit table drops nearly all other texts before anything is shuffled.
     """
-    hit = maybe_in(bit_table(d.sparkSession, wanted, "th"))
-    return d.where("th is not null").where(hit("th")).groupBy("th").agg(F.min("text").alias("text"))
+    return may_be(d, "th", wanted, "th").groupBy("th").agg(F.min("text").alias("text"))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "cc") -> DataFrame:
@@ -198,6 +229,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "cc") -
     return root.union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-__all__ = ["BITS", "BYTE_VALUE", "Spans", "U64", "bit_table", "components", "cut_lineage", "in_bits", "maybe_in", "mix",
-           "pick", "shingle_hashes", "shingle_set", "text_bytes", "texts_by_hash", "with_text_hash", "word_bounds",
+__all__ = ["BITS", "BYTE_VALUE", "Spans", "U64", "bit_table", "bit_words", "components", "cut_lineage", "in_bits", "may_be", "mix",
+           "pick", "returning", "shingle_hashes", "shingle_set", "text_bytes", "texts_by_hash", "with_text_hash", "word_bounds",
            "word_hashes"]

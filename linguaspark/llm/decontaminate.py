@@ -29,8 +29,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linguaspark.llm.common import (U64, bit_table, cut_lineage, in_bits, maybe_in, mix, pick, shingle_hashes, shingle_set,
-                                    texts_by_hash, with_text_hash, word_hashes)
+from linguaspark.llm.common import (U64, bit_table, cut_lineage, in_bits, may_be, mix, pick,
+                                    returning, shingle_hashes, shingle_set, texts_by_hash, with_text_hash, word_hashes)
 
 GROWTH = 1.5
 BANDS = 48
@@ -88,6 +88,7 @@ def contained(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str =
     d = with_text_hash(pick(docs, doc_id=id, text=text))
     tests = pick(items, item_id=item_id, text=item_text)
 
+    @returning
     def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for i, t in zip(b["item_id"], b["text"], strict=True):
@@ -103,6 +104,7 @@ def contained(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str =
     classes = sorted(r["c"] for r in index.select("c").distinct().collect())  # a few: sizes grow by half
     bits = bit_table(spark, index, "key")
 
+    @returning
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             ths, keys = [], []
@@ -121,6 +123,7 @@ def contained(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str =
     pairs = cut_lineage(pairs, "decontaminate-pairs")
     texts = texts_by_hash(d, pairs.select("th").distinct())
 
+    @returning
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"th": b["th"], "own": [shingle_set(t, k).tobytes() for t in b["text"]]})
@@ -149,9 +152,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", **o
     """``docs`` without the documents that contain an item; only documents that may contain one are shuffled."""
     _, found = contained(docs, items, text=text, **options)
     bad = cut_lineage(found.select("th").distinct(), "decontaminate-bad")
-    hit = maybe_in(bit_table(docs.sparkSession, bad, "th"))
-    keyed = docs.withColumn("__th", F.xxhash64(text))
-    apart = keyed.where(F.col(text).isNull() | ~hit("__th")).drop("__th")
-    met = (keyed.where(F.col(text).isNotNull() & hit("__th"))
-           .join(bad.withColumnRenamed("th", "__th"), "__th", "left_anti").drop("__th"))
+    keyed = docs.withColumn("__th", F.when(F.col(text).isNotNull(), F.xxhash64(text)))
+    apart = may_be(keyed, "__th", bad, "th", keep=False).drop("__th")
+    met = may_be(keyed, "__th", bad, "th").join(bad.withColumnRenamed("th", "__th"), "__th", "left_anti").drop("__th")
     return apart.unionByName(met)

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linguaspark.llm.common import pick, word_hashes
+from linguaspark.llm.common import pick, returning, word_hashes
 
 # HTML element classes.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q ruby rb rp rt s "
@@ -406,6 +406,7 @@ def extract(df: DataFrame, html: str = "html", keep: dict[str, str] | None = Non
     shared = df.sparkSession.sparkContext.broadcast(train(sample.tolist()))  # 0.1 MB
 
     @F.pandas_udf("text string, n_chars long")
+    @returning
     def extracted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for pages in batches:
             texts: list[str] = []

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linguaspark.llm.common import cut_lineage, pick
+from linguaspark.llm.common import cut_lineage, pick, returning
 
 GRAMS = (1, 2, 3, 4)
 CELLS = 1 << 13
@@ -121,6 +121,7 @@ def train(df: DataFrame, learn: Column, per_lang: int = 300, max_rows: int = 240
     chosen = cut_lineage(learning_rows(df, learn, per_lang, max_rows), "langid-sample")
 
     @F.pandas_udf("binary")
+    @returning
     def row_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([np.packbits(presence([t])[0]).tobytes() for t in texts])
@@ -144,6 +145,7 @@ def predict(df: DataFrame, model: Model | None, text: str = "text", keep: dict[s
     shared = df.sparkSession.sparkContext.broadcast(model)  # cells x landmarks floats: 4 MB
 
     @F.pandas_udf("lang_pred string, score double")
+    @returning
     def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = shared.value
         for texts in batches:

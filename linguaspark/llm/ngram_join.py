@@ -38,18 +38,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linguaspark.llm.common import (U64, bit_table, components, cut_lineage, in_bits, maybe_in, mix, pick, shingle_set,
-                                    with_text_hash)
+from linguaspark.llm.common import (U64, bit_table, components, cut_lineage, in_bits, may_be,
+                                    mix, pick, returning, shingle_set, with_text_hash)
 
 FREQUENT = 64      # documents from which a token counts as frequent
 LOCAL_LEAST = 4    # occurrences within one chunk of a task below which a token is not reported
 CHUNK = 1_000_000  # tokens counted at once
 CROWDED = 512      # sets from which a single key is found to be frequent after all
 ROUNDS = 4         # passes at most over the texts to move such tokens to the end of the order
-KEY_BITS = 26      # bit table of shared keys: 8 MB, whatever the input
 
 
 def set_id(s: np.ndarray) -> int:
@@ -67,6 +66,7 @@ def set_table(d: DataFrame, k: int) -> DataFrame:
     ``th`` is a hash of the text, ``sid`` of its shingle set. Token rows
     (``th`` null) hold a token in ``sid`` and its count in ``n``.
     """
+    @returning
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[np.ndarray] = []
         size = 0
@@ -128,6 +128,7 @@ def prefix_keys(s: np.ndarray, frequent: np.ndarray, num: int, den: int) -> tupl
 
 def key_table(d: DataFrame, bits, k: int, num: int, den: int) -> DataFrame:
     """Second pass over the texts, written: the prefix keys (key, rank, lead, combo, n, sid) of every set."""
+    @returning
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out: list[tuple] = []
@@ -191,14 +192,14 @@ def set_vectors(d: DataFrame, table: DataFrame, pairs: DataFrame, k: int, of) ->
     ends = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
     chosen = cut_lineage(table.where("th is not null").join(ends, "sid", "left_semi")
                          .groupBy("sid").agg(F.min("th").alias("th")), "ngram-wanted")
-    hit = maybe_in(bit_table(d.sparkSession, chosen, "th"))
 
+    @returning
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             ss = [shingle_set(t, k) for t in b["text"]]
             yield pd.DataFrame({"sid": [set_id(s) for s in ss], "n": [len(s) for s in ss], "data": [of(s) for s in ss]})
 
-    found = d.where("th is not null").where(hit("th")).select("text").mapInPandas(sets, "sid long, n long, data binary")
+    found = may_be(d, "th", chosen, "th").select("text").mapInPandas(sets, "sid long, n long, data binary")
     return cut_lineage(found.groupBy("sid").agg(F.min("n").alias("n"), F.min("data").alias("data")), "ngram-vectors")
 
 
@@ -259,8 +260,7 @@ def join(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = 3, nu
     shared = shared.select("key").distinct()
 
     # a bit table drops nearly all other keys in the scan
-    hit = maybe_in(bit_table(spark, shared, "key", KEY_BITS), KEY_BITS)
-    met = cut_lineage(keys.where(hit("key")).join(shared, "key", "left_semi").distinct(), "ngram-met")
+    met = cut_lineage(may_be(keys, "key", shared, "key").join(shared, "key", "left_semi").distinct(), "ngram-met")
     stars = met.groupBy("key").agg(F.min(F.struct("lead", "rank", "n", "sid", "combo")).alias("star"))
 
     # round one: each set with the first set of each of its keys
@@ -303,18 +303,15 @@ def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = 5
     document. Only documents of components with several members are
     shuffled; a bit table lets the others pass in the scan.
     """
-    spark = docs.sparkSession
     rows = cut_lineage(join(docs, id, text, k, num, den), "ngram-rows").where("group is not null")
     place = F.struct(F.col("id").isNull().alias("u"), "id", "th")
     best = rows.groupBy("group").agg(F.count(F.lit(1)).alias("c"), F.min(place).alias("best")).where("c > 1")
     members = (rows.join(best.select("group", "best"), "group")
                .groupBy(F.xxhash64("id", "th").alias("hk")).agg(F.max(place == F.col("best")).alias("stays")))
     members = cut_lineage(members, "ngram-members")
-    hit = maybe_in(bit_table(spark, members, "hk"))
-    given = docs.select(*[F.col(c) for c in docs.columns])
-    keyed = given.withColumn("__hk", F.xxhash64(F.col(id).cast("long"), F.xxhash64(text)))
-    apart = keyed.where(F.col(text).isNull() | ~hit("__hk")).drop("__hk")
-    met = (keyed.where(F.col(text).isNotNull() & hit("__hk"))
+    keyed = docs.withColumn("__hk", F.when(F.col(text).isNotNull(), F.xxhash64(F.col(id).cast("long"), F.xxhash64(text))))
+    apart = may_be(keyed, "__hk", members, "hk", keep=False).drop("__hk")
+    met = (may_be(keyed, "__hk", members, "hk")
            .join(members.withColumnRenamed("hk", "__hk").withColumnRenamed("stays", "__stays"), "__hk", "left"))
     lone = met.where("__stays is null").drop("__hk", "__stays")
     chosen = met.where("__stays").dropDuplicates(["__hk"]).drop("__hk", "__stays")

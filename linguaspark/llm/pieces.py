@@ -11,7 +11,7 @@ is never entered again, so the work is linear in the text.
 
 Texts are cut first where no piece of the vocabulary spans two neighbouring
 characters (so no merge can cross), and the resulting units, words mostly,
-are kept in a bounded dictionary per Python worker.
+are kept in a bounded dictionary per task.
 
 Runs of the space mark are pieces of one equal and least score, so they merge
 after everything else; ``_spaces`` merges them plainly.
@@ -34,10 +34,23 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linguaspark.llm.common import pick
+from linguaspark.llm.common import pick, returning
 
 SPACE = "▁"
-REMEMBERED = 500_000  # units kept per worker (about 100 MB)
+REMEMBERED = 150_000  # units and piece pairs kept in a task (about 40 and 30 MB)
+
+
+class _Known(dict):
+    """Ids of the units met so far, up to a number."""
+
+    def __init__(self, pieces: Pieces):
+        self.pieces = pieces
+
+    def __missing__(self, unit: str) -> bytes:
+        got = self.pieces.ids(unit)
+        if len(self) < REMEMBERED:
+            self[unit] = got
+        return got
 
 
 class Pieces:
@@ -57,8 +70,8 @@ class Pieces:
         self.bytes_of = [b"" if lib.is_control(i) else " ⁇ ".encode() if i == self.unknown
                          else bytes([int(names[i][3:-1], 16)]) if lib.is_byte(i)
                          else names[i].replace(SPACE, " ").encode() for i in range(n)]
-        self.apart: dict[tuple[str, str], bool] = {}
-        self.known: dict[str, bytes] = {}
+        self.apart: dict[str, bool] = {}
+        self.known = _Known(self)
         # reachable pieces: those that re-merging their own text gives back
         # (pieces are searched from the right, so one pass tells the longest that starts at each place)
         self.finder = ahocorasick.Automaton()
@@ -111,11 +124,12 @@ class Pieces:
 
     def stay_apart(self, a: str, b: str) -> bool:
         """Whether re-merging the joined text of two pieces gives the two again."""
-        got = self.apart.get((a, b))
+        pair = f"{a}\n{b}"
+        got = self.apart.get(pair)
         if got is None:
             got = self.merge(a + b) == [a, b]
-            if len(self.apart) < 4 * REMEMBERED:
-                self.apart[a, b] = got
+            if len(self.apart) < REMEMBERED:
+                self.apart[pair] = got
         return got
 
     def backtrack(self, unit: str) -> list[str]:
@@ -136,7 +150,7 @@ class Pieces:
         while True:
             while piece:
                 to = at + len(piece)
-                if not failed[to >> 3] >> (to & 7) & 1 and (not last or (ok := apart.get((last, piece))) or
+                if not failed[to >> 3] >> (to & 7) & 1 and (not last or (ok := apart.get(f"{last}\n{piece}")) or
                                              ok is None and self.stay_apart(last, piece)):
                     break
                 piece = shorter.get(piece, "")
@@ -166,25 +180,20 @@ class Pieces:
 
     def ids(self, unit: str) -> bytes:
         """Ids of a unit as little-endian unsigned 32-bit integers."""
-        got = self.known.get(unit)
-        if got is None:
-            out: list[int] = []
-            for p in self._spaces(unit) if unit.startswith(SPACE * 2) else self.backtrack(unit):
-                i = self.id.get(p)
-                if i is not None:
-                    out.append(i)
-                else:
-                    out += [self.byte_id[b] for b in p.encode()] if self.byte_id else [self.unknown]
-            got = struct.pack(f"<{len(out)}I", *out)
-            if len(self.known) < REMEMBERED:
-                self.known[unit] = got
-        return got
+        out: list[int] = []
+        for p in self._spaces(unit) if unit.startswith(SPACE * 2) else self.backtrack(unit):
+            i = self.id.get(p)
+            if i is not None:
+                out.append(i)
+            else:
+                out += [self.byte_id[b] for b in p.encode()] if self.byte_id else [self.unknown]
+        return struct.pack(f"<{len(out)}I", *out)
 
     def encode(self, text: str | None) -> bytes:
         """Begin id, ids of the text, end id."""
         body = b""
         if text:
-            body = b"".join(map(self.ids, self.units.findall(SPACE + text.replace(" ", SPACE))))
+            body = b"".join(map(self.known.__getitem__, self.units.findall(SPACE + text.replace(" ", SPACE))))
         return struct.pack("<I", self.begin) + body + struct.pack("<I", self.end)
 
     def decode(self, ids: list[int]) -> str:
@@ -229,6 +238,7 @@ def encode(df: DataFrame, model: str, text: str = "text", keep: dict[str, str] |
              ", ids binary" * with_ids + ", decoded string" * with_text
 
     @F.pandas_udf(schema)
+    @returning
     def coded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         pieces = _pieces(shared.value)
         for texts in batches:
@@ -240,6 +250,7 @@ def encode(df: DataFrame, model: str, text: str = "text", keep: dict[str, str] |
                              hashlib.sha256(back.encode()).hexdigest(),
                              *([ids] if with_ids else []), *([back] if with_text else [])))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+        _pieces.cache_clear()  # workers are used again by other stages
 
     d = pick(df, **{f"k_{c}": src for c, src in keep.items()}, text=text).withColumn("r", coded("text"))
     return d.select(*[F.col(f"k_{c}").alias(c) for c in keep], "r.*")

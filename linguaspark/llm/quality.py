@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linguaspark.llm.common import _LOWER, Spans, cut_lineage, pick, text_bytes, word_bounds
+from linguaspark.llm.common import _LOWER, Spans, cut_lineage, pick, returning, text_bytes, word_bounds
 
 CELLS = 1 << 12
 _SYMBOL = np.zeros(256, bool)
@@ -212,6 +212,7 @@ def score(df: DataFrame, text: str = "text", keep: dict[str, str] | None = None,
     shared = df.sparkSession.sparkContext.broadcast(train(pick(df, text=text), sample))
 
     @F.pandas_udf("double")
+    @returning
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             out = np.zeros(len(texts))

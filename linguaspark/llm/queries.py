@@ -12,7 +12,14 @@ from pyspark.sql import functions as F
 from linguaspark.llm import ann, decontaminate, html, langid, ngram_join, pieces, quality, secrets, sharding, suffixes
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+BATCH_ROWS = 500  # rows handed to Python at once; texts may be long, and the default of 10,000 is meant for short rows
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder; the session hands at most ``BATCH_ROWS`` rows to Python at once from here on."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -28,49 +35,49 @@ def split_pattern() -> str:
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = sharding.shuffle_shards(_table(spark, sf_dir, "documents"), 16)
+    out = sharding.shuffle_shards(table(spark, sf_dir, "documents"), 16)
     return out.select("doc_id", sharding.record_size(F.col("text")).alias("size"),
                       F.crc32(F.coalesce("text", F.lit("")).cast("binary")).cast("long").alias("text_crc32"),
                       F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = secrets.scan(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"), split_pattern())
+    out = secrets.scan(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"), split_pattern())
     return out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.extract(_table(spark, sf_dir, "pages"))
+    return html.extract(table(spark, sf_dir, "pages"))
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.dedup(_table(spark, sf_dir, "documents")).drop("kept")
+    return suffixes.dedup(table(spark, sf_dir, "documents")).drop("kept")
 
 
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encode(_table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"),
+    return pieces.encode(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"),
                          with_ids=False, with_text=False)
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = ngram_join.join(_table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+    out = ngram_join.join(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
     return out.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.score(_table(spark, sf_dir, "documents"))
+    return quality.score(table(spark, sf_dir, "documents"))
 
 
 def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ann.search(_table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
 
 
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.identify(_table(spark, sf_dir, "documents"))
+    return langid.identify(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (op1_sharding, op2_secrets, op3_decontamination, op4_html, op5_suffix_dedup, op6_pieces,

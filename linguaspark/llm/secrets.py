@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linguaspark.llm.common import pick
+from linguaspark.llm.common import pick, returning
 
 # The patterns and least lengths of the base kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -105,6 +105,7 @@ def scan(df: DataFrame, ranks: str, pattern: str, text: str = "text", keep: dict
         shared = sc.broadcast(f.read())
 
     @F.pandas_udf(SCHEMA)
+    @returning
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         encoder = _encoder(shared.value, pattern)
         for texts in batches:
@@ -121,6 +122,7 @@ def scan(df: DataFrame, ranks: str, pattern: str, text: str = "text", keep: dict
                              cover(t, every, mask) if redact and given is not None else None))
             yield pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "n_random",
                                               "base_sha256", "spans", "redacted"])
+        _encoder.cache_clear()  # workers are used again by other stages
 
     d = pick(df, **{f"k_{c}": src for c, src in keep.items()}, text=text)
     d = d.withColumn("r", found("text"))

@@ -37,12 +37,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linguaspark.llm.common import U64, Spans, bit_table, cut_lineage, maybe_in, mix, pick, text_bytes, texts_by_hash, with_text_hash
+from linguaspark.llm.common import (U64, Spans, cut_lineage, may_be, mix, pick,
+                                    returning, text_bytes, texts_by_hash, with_text_hash)
 
 ANCHOR = 48
 BLOCK_BYTES = 2 << 20
 HOT = 2000  # distinct segments of an anchor from which its windows are grouped by content
-ANCHOR_BITS = 26  # 8 MB, whatever the input
 
 
 def _sliding(x: np.ndarray, size: int, op) -> np.ndarray:
@@ -195,10 +195,10 @@ def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int =
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and ``kept`` (the bytes left) of every row."""
     if length < ANCHOR + 8:
         raise ValueError(f"strings must have at least {ANCHOR + 8} bytes")
-    spark = docs.sparkSession
     d = with_text_hash(pick(docs, doc_id=id, text=text))
     long_enough = d.where(F.octet_length("text") >= length)
 
+    @returning
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
@@ -216,8 +216,7 @@ def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int =
     # anchors seen more than once
     shared = found.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.max("twice").alias("twice")).where("n > 1 or twice")
     shared = cut_lineage(shared.select("v"), "suffix-anchors")
-    hit = maybe_in(bit_table(spark, shared, "v", ANCHOR_BITS), ANCHOR_BITS)
-    distinct = (found.where(hit("v")).join(shared, "v", "left_semi").groupBy("v", "sh")
+    distinct = (may_be(found, "v", shared, "v").join(shared, "v", "left_semi").groupBy("v", "sh")
                 .agg(F.count(F.lit(1)).alias("n"), F.max("twice").alias("twice"), F.min(F.struct("th", "p", "c")).alias("at")))
     distinct = cut_lineage(distinct, "suffix-distinct")
     groups = distinct.groupBy("v").agg(F.count(F.lit(1)).alias("m"), F.max("twice").alias("any_twice"))
@@ -228,8 +227,7 @@ def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int =
     # spans of repeated positions per text: whole segments, and parts of the others
     whole = distinct.where("n > 1").select("v", "sh", F.lit(None).cast("array<int>").alias("runs"))
     marked = cut_lineage(whole.unionByName(partly.join(whole, ["v", "sh"], "left_anti")), "suffix-marked")
-    hit2 = maybe_in(bit_table(spark, marked, "v", ANCHOR_BITS), ANCHOR_BITS)
-    spans = (found.where(hit2("v")).join(marked, ["v", "sh"]).select("th", "p", "c", "runs").distinct()
+    spans = (may_be(found, "v", marked, "v").join(marked, ["v", "sh"]).select("th", "p", "c", "runs").distinct()
              .groupBy("th").agg(F.collect_list(F.struct("p", "c", "runs")).alias("spans")))
     spans = cut_lineage(spans, "suffix-spans")
 
@@ -248,13 +246,12 @@ def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int =
             out.append((int(gone.sum()), len(_runs(gone)) // 2, buf[~gone].tobytes()))
         return pd.DataFrame(out, columns=["n_removed", "n_spans", "kept"])
 
-    maybe = maybe_in(bit_table(spark, spans, "th"))
     n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
     clean = F.coalesce("text", F.lit("")).cast("binary")
-    quiet = d.where("th is null").unionByName(d.where("th is not null").where(~maybe("th")))
+    quiet = may_be(d, "th", spans, "th", keep=False)
     quiet = quiet.select("doc_id", n_bytes, F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"),
                          F.sha2(clean, 256).alias("kept_sha256"), clean.alias("kept"))
-    touched = (d.where("th is not null").where(maybe("th")).join(spans, "th", "left")
+    touched = (may_be(d, "th", spans, "th").join(spans, "th", "left")
                .select("doc_id", n_bytes, kept("text", "spans").alias("r"))
                .select("doc_id", "n_bytes", "r.n_removed", "r.n_spans", F.sha2("r.kept", 256).alias("kept_sha256"), "r.kept"))
     return quiet.unionByName(touched)
@@ -262,10 +259,10 @@ def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int =
 
 def repeated_segments(d: DataFrame, mixed: DataFrame, length: int) -> DataFrame:
     """(v, sh, runs): the repeated positions within each distinct segment, as flattened (start, end) runs."""
-    spark = d.sparkSession
     places = mixed.groupBy("th").agg(F.collect_list(F.struct("v", "sh", "m", "p", "c")).alias("at"))  # bounded by a text
     texts = texts_by_hash(d, mixed.select("th").distinct()).join(places, "th").select("text", "at")
 
+    @returning
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for at in range(0, len(b), 64):
@@ -290,6 +287,7 @@ def repeated_segments(d: DataFrame, mixed: DataFrame, length: int) -> DataFrame:
                .applyInPandas(sort_block, "v long, sh long, runs array<int>"))
 
     # very common anchors: windows by content
+    @returning
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for v, sh, s in zip(b["v"], b["sh"], b["s"], strict=True):
