@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import falsy, integer_like, json_string_literal
+from ..functions.text import falsy, integer_like, json_string_literal, order_text
 from ..schemas import ENTRY_KEYS
 from ..session import materialize_with_metrics
 
@@ -189,7 +189,9 @@ def upsert_entries(existing: DataFrame, incoming: DataFrame, seq: str = "seq") -
     """The catalog after an import, one row per key.
 
     Existing keys take the last incoming value and keep their place; new keys
-    are appended (``is_new``). Invalid incoming rows are ignored.
+    are appended (``is_new``). Invalid incoming rows are ignored. Orders of
+    the two sides are never compared; ``ord`` of the result is a string that
+    puts new keys last.
     """
     acc, _ = split_valid_records(incoming)
     inc = last_wins(acc.select(*ENTRY_KEYS, "value", F.col(seq).alias("_seq")),
@@ -197,11 +199,14 @@ def upsert_entries(existing: DataFrame, incoming: DataFrame, seq: str = "seq") -
         *ENTRY_KEYS, F.col("value").alias("_new"), "_first")
     old = last_wins(existing.select(*ENTRY_KEYS, "value", "ord"), first_position="_pos").select(
         *ENTRY_KEYS, F.col("value").alias("_old"), "_pos")
+    old = old.withColumn("_there", F.lit(True))
     j = old.join(inc, ENTRY_KEYS, "full_outer")
+    is_new = F.col("_there").isNull()
+    first = F.concat(F.lit("1"), order_text(F.col("_first"), j.schema["_first"].dataType))
+    place = F.concat(F.lit("0"), order_text(F.col("_pos"), j.schema["_pos"].dataType))
     return j.select(*ENTRY_KEYS,
                     F.coalesce(F.col("_new"), F.col("_old")).alias("value"),
-                    F.col("_old").isNull().alias("is_new"),
-                    F.when(F.col("_old").isNull(), F.col("_first")).otherwise(F.col("_pos")).alias("ord"))
+                    is_new.alias("is_new"), F.when(is_new, first).otherwise(place).alias("ord"))
 
 
 def import_counts(existing: DataFrame, incoming: DataFrame) -> DataFrame:

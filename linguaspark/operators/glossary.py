@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import falsy, integer_like
+from ..functions.text import falsy, integer_like, order_text
 from .usage import substring_join
 
 
@@ -32,14 +32,20 @@ def import_records_to_entries(records: DataFrame, lang: str) -> DataFrame:
 
 
 def upsert(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Merge entries case-insensitively on the term, incoming (higher seq) wins.
+    """Merge entries case-insensitively on the term, incoming always wins.
 
     The term takes the latest spelling, translations merge per language with
     the latest winning, context and notes change only when supplied, and the
-    merged entry keeps the position of its first occurrence.
+    merged entry keeps the position of its first occurrence; new terms come
+    last. ``seq`` orders rows within its own side only, so the two sides may
+    number alike or with different types; the result's ``seq`` is a string
+    that sorts by side, then by the side's own order.
     """
-    both = existing.select("term", "translations", "context", "notes", "seq").unionByName(
-        incoming.select("term", "translations", "context", "notes", "seq"))
+    def side(df: DataFrame, no: str) -> DataFrame:
+        seq = F.concat(F.lit(no), order_text(F.col("seq"), df.schema["seq"].dataType))
+        return df.select("term", "translations", "context", "notes", seq.alias("seq"))
+
+    both = side(existing, "0").unionByName(side(incoming, "1"))
     both = both.withColumn("lterm", F.lower("term"))
     attrs = both.groupBy("lterm").agg(
         F.max_by("term", "seq").alias("term"),

@@ -141,7 +141,7 @@ def _batch_topk(qids, Q, qn, mids, M, k: int, exclude_self: bool) -> pd.DataFram
     mn = np.linalg.norm(M, axis=1)
     with np.errstate(divide="ignore", invalid="ignore"):
         S = (Q @ M.T) / np.outer(qn, mn)
-    S = np.nan_to_num(np.round(S, 6), nan=0.0)
+    S = np.nan_to_num(S, nan=0.0)
     if exclude_self:
         S[qids[:, None] == mids[None, :]] = -np.inf
     kk = min(k, S.shape[1])
@@ -158,7 +158,8 @@ def knn(queries: DataFrame, memory: DataFrame, k: int, part_col: str = "lang",
     """For each query the k most similar memory rows of the same ``part_col``.
 
     Output ``(part, query_id, rank, hit_id, similarity)``; similarity is
-    cosine rounded to 6 places, ties broken by hit id.
+    cosine, rounded to 6 places after ranking, ties broken by hit id. Rows
+    without a vector on either side are no hit and have none.
 
     Two exact plans:
 
@@ -178,6 +179,7 @@ def knn(queries: DataFrame, memory: DataFrame, k: int, part_col: str = "lang",
                       F.col(vec_col).alias("vec"))
     qid_t = dict(queries.select(query_id).dtypes)[query_id]
     mid_t = dict(memory.select(memory_id).dtypes)[memory_id]
+    q, m = q.where("vec is not null"), m.where("vec is not null")
     schema = f"part string, query_id {qid_t}, hit_id {mid_t}, similarity double"
     if q.limit(broadcast_rows + 1).count() <= broadcast_rows:
         cand = _knn_broadcast(q.toPandas(), m, k, exclude_self, schema)
@@ -185,7 +187,7 @@ def knn(queries: DataFrame, memory: DataFrame, k: int, part_col: str = "lang",
         cand = _knn_blocks(q, m, k, exclude_self, schema, block)
     w = Window.partitionBy("part", "query_id").orderBy(F.desc("similarity"), F.asc("hit_id"))
     return (cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-            .select("part", "query_id", "rank", "hit_id", "similarity"))
+            .select("part", "query_id", "rank", "hit_id", F.round("similarity", 6).alias("similarity")))
 
 
 def _knn_broadcast(local: pd.DataFrame, m: DataFrame, k: int, exclude_self: bool, schema: str) -> DataFrame:

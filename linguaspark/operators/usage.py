@@ -174,16 +174,13 @@ def first_contexts(contexts: DataFrame, k: int = MAX_CONTEXTS_PER_KEY) -> DataFr
     return contexts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def contexts_per_key(keys: DataFrame, contexts: DataFrame, k: int = MAX_CONTEXTS_PER_KEY) -> DataFrame:
-    """Every asked key with its first k contexts in (file, line) order; keys without
-    usage keep one row with null file.
+def contexts_per_key(keys: DataFrame, contexts: DataFrame) -> DataFrame:
+    """Every asked key with all its contexts; keys without usage keep one row with null file.
 
-    Long form ``(key, file, line_no, context, rank)``: a key's full list can be
+    Long form ``(key, file, line_no, context)``: a key's full list can be
     as large as its usages, so it is never gathered into one row.
     """
-    top = first_contexts(contexts, k)
-    return keys.select("key").distinct().join(top, "key", "left").select(
-        "key", "file", "line_no", "context", "rank")
+    return keys.select("key").distinct().join(contexts, "key", "left").select("key", "file", "line_no", "context")
 
 
 # Context text layout.

@@ -166,7 +166,8 @@ def review(source: DataFrame, target: DataFrame, langs: list[str] | None = None,
     merged = C.merge_reviews(target, results.select(*ENTRY_KEYS, "translated", "error"))
     changed = results.where(F.col("error").isNull() & (F.col("translated") != F.col("target_value")))
     mem_rows = M.tm_rows(changed.select("lang", F.col("source_value").alias("source_text"),
-                                        F.col("translated").alias("translation"), "context"))
+                                        F.col("translated").alias("translation"), "context",
+                                        F.unix_micros(F.current_timestamp()).alias("seq")), seq="seq")
     return ReviewResult(merged, results, I.review_change_counts(results), mem_rows)
 
 
@@ -203,9 +204,11 @@ def build_memory(source: DataFrame, target: DataFrame, langs: list[str] | None =
     plus per-batch success counts."""
     pairs = M.paired_entries(source, target, langs)
     pairs = batch_numbers(pairs, ["catalog", "lang"], "ord", batch_size)
-    rows = M.tm_rows(pairs.select("lang", "source_text", "translation", "ord",
-                                  *([F.lit(context).alias("context")] if context else [])), seq="ord")
-    rows = M.embed(M.upsert_latest(rows.drop("embedding")), "source_text", embedder)
+    # the last pair of a text wins here; against other writes the time of this job counts
+    last = pairs.groupBy("lang", "source_text").agg(F.max_by("translation", F.struct("ord", "catalog", "key")).alias("translation"))
+    rows = M.tm_rows(last.select("*", F.unix_micros(F.current_timestamp()).alias("seq"),
+                                 *([F.lit(context).alias("context")] if context else [])), seq="seq")
+    rows = M.embed(rows.drop("embedding"), "source_text", embedder)
     stats = pairs.withColumn("error", F.lit(None).cast("string"))
     return rows, I.batch_stats(stats)
 

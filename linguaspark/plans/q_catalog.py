@@ -138,7 +138,8 @@ select coalesce(ol.catalog, il.catalog) as catalog, coalesce(ol.lang, il.lang) a
        case when ol.key is null then il.f else ol.p end as ord
 from ol full join il on ol.catalog = il.catalog and ol.lang = il.lang and ol.key = il.key""")
 def import_upsert(spark, sf):
-    return C.upsert_entries(fx.target_entries_dup(spark, sf), fx.incoming_translations(spark, sf))
+    out = C.upsert_entries(fx.target_entries_dup(spark, sf), fx.incoming_translations(spark, sf))
+    return out.withColumn("ord", F.expr("cast(substring(ord, 2) as bigint)"))  # the side's own order
 
 
 @register("import_counts", with_(tgt=TGT_DUP, inc=INCOMING) + """

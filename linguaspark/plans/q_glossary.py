@@ -39,7 +39,8 @@ def _long(glossary):
 
 @register("glossary_upsert", _UPSERT + "select * from g")
 def glossary_upsert(spark, sf):
-    return _long(upserted(spark, sf))
+    # the side's own order
+    return _long(upserted(spark, sf).withColumn("seq", F.expr("cast(substring(seq, 2) as bigint)")))
 
 
 @register("glossary_remove", with_(ex=GLOSS_LONG) + """

@@ -154,3 +154,14 @@ def review_stats(spark, sf):
     from .q_catalog import review_results
     od = C.outdated_pairs(fx.source_entries_dup(spark, sf), fx.target_entries_dup(spark, sf), ["ja"])
     return I.review_change_counts(review_results(od))
+
+
+@register("batch_numbers_lineitem", """
+select l_returnflag, l_orderkey, l_linenumber,
+       cast(floor((row_number() over (partition by l_returnflag order by l_orderkey, l_linenumber) - 1) / 50) + 1 as bigint)
+           as batch_id
+from lineitem""")
+def batch_numbers_lineitem(spark, sf):
+    li = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_returnflag", "l_orderkey", "l_linenumber")
+    li = li.withColumn("o", F.struct("l_orderkey", "l_linenumber"))
+    return batch_numbers(li, ["l_returnflag"], "o", 50).drop("o")

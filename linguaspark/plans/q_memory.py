@@ -73,10 +73,10 @@ def tm_inconsistent(spark, sf):
 _KNN_SQL = """
 with e as (select vec_id, label, embedding from embeddings)
 , p as (select cast(a.label as varchar) as part, a.vec_id as query_id, b.vec_id as hit_id,
-               round(list_cosine_similarity(cast(a.embedding as double[]), cast(b.embedding as double[])), 6)
-                 as similarity
+               list_cosine_similarity(cast(a.embedding as double[]), cast(b.embedding as double[])) as exact
         from {q} a join e b on a.label = b.label and a.vec_id <> b.vec_id)
-, r as (select *, row_number() over (partition by query_id order by similarity desc, hit_id) as rn from p)
+, r as (select *, row_number() over (partition by query_id order by exact desc, hit_id) as rn,
+              round(exact, 6) as similarity from p)
 """
 
 

@@ -105,8 +105,8 @@ def usage_status(spark, sf):
 
 @register("usage_contexts_per_key", with_(cf=_CODE_FILES, ln=_LINES, ctx=_CTX, keys=_CODE_KEYS) + _TOP + """
 , allk as (select key from keys union select 'no.such.key')
-select a.key, t.file, t.line_no, t.context, t.rank
-from allk a left join (select * from top where rank <= 3) t on t.key = a.key""")
+select a.key, t.file, t.line_no, t.context
+from allk a left join top t on t.key = a.key""")
 def usage_contexts_per_key(spark, sf):
     keys = _code_keys(spark, sf)
     asked = keys.unionByName(spark.range(1).select(F.lit("no.such.key").alias("key")))

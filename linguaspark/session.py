@@ -41,13 +41,16 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster-wide folder for written intermediate tables.
 
     Read from ``spark.checkpoint.dir`` (or the context's checkpoint dir). Only
-    when neither is set (local tests) a folder of our own is created and
-    registered as the checkpoint dir.
+    when neither is set and Spark runs in this one process (local tests) a
+    folder of our own is created and registered; on a cluster that raises.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="linguaspark-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
         spark.sparkContext.setCheckpointDir(d)

@@ -78,11 +78,14 @@ def write_catalogs(entries: DataFrame, root: str, indent: int = 2, check_conflic
     """One pretty-printed nested JSON document per (lang, catalog).
 
     Written with ``partitionBy('lang', 'catalog')`` (folders ``lang=../catalog=..``).
-    Refuses catalogs with path conflicts (P3): one bounded action.
+    Only the written catalogs' folders are replaced; other languages and
+    catalogs under ``root`` stay. Refuses catalogs with path conflicts (P3):
+    one bounded action.
     """
     if check_conflicts and path_conflicts(entries).limit(1).count() > 0:
         raise ValueError("catalog has path conflicts (a key is also a prefix of another key)")
-    nest_catalogs(entries, indent=indent).write.mode("overwrite").partitionBy("lang", "catalog").text(root)
+    (nest_catalogs(entries, indent=indent).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("lang", "catalog").text(root))
 
 
 def read_written_catalogs(spark: SparkSession, root: str) -> DataFrame:

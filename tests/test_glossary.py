@@ -47,3 +47,13 @@ def test_apply_terms_longest_first_word_bounded(spark):
     t = spark.createDataFrame([(1, "New York and york, or more"), (2, "yorkshire")], "id int, text string")
     got = dict(rows(G.apply_terms(t, g), "id", "applied"))
     assert got == {1: "NY and Y, OR more", 2: "yorkshire"}
+
+
+def test_upsert_incoming_wins_with_colliding_seq(spark):
+    cols = "term string, translations map<string,string>, context string, notes string, seq long"
+    old = spark.createDataFrame([("A", {"fr": "a-old"}, None, None, 0), ("B", {"fr": "b-old"}, None, None, 1)], cols)
+    new = spark.createDataFrame([("b", {"fr": "b-new"}, None, None, 0), ("c", {"fr": "c"}, None, None, 1)], cols)
+    out = G.upsert(old, new).orderBy("seq").collect()
+    assert [(r.term, r.translations["fr"]) for r in out] == [("A", "a-old"), ("b", "b-new"), ("c", "c")]
+    split = new.selectExpr("term", "translations", "context", "notes", "struct(0L as blk, seq as mid) as seq")
+    assert [r.term for r in G.upsert(old, split).orderBy("seq").collect()] == ["A", "b", "c"]

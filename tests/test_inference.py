@@ -75,3 +75,14 @@ def test_row_numbers_match_window(spark):
     assert got == want
     b = batch_numbers(df, ["g"], "o", 5).groupBy("g", "batch_id").count()
     assert b.agg(F.max("count")).collect()[0][0] == 5
+
+
+def test_row_numbers_beyond_the_range_sample(spark):
+    # 400,000 rows in 5,000 groups over many partitions, a wide column, null groups kept
+    df = spark.range(0, 400_000, 1, 12).select(
+        F.when(F.col("id") % 5000 != 7, F.col("id") % 5000).alias("g"), F.col("id").alias("o"),
+        F.repeat(F.lit("x"), 60).alias("wide"))
+    got = row_numbers(df, ["g"], "o", num_partitions=16)
+    bad = got.where(F.col("rn") != F.floor(F.col("o") / 5000) + 1).count()
+    assert (got.count(), bad) == (400_000, 0)
+    assert got.where("g is null").count() == 80

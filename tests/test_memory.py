@@ -60,3 +60,10 @@ def test_inconsistent(spark):
     df = spark.createDataFrame([("ja", "a", "x"), ("ja", "a", "y"), ("ja", "b", "z"), ("fr", "a", "x")],
                                "lang string, source_text string, translation string")
     assert rows(M.inconsistent_translations(df)) == [("ja", "a", 2)]
+
+
+def test_knn_ranks_before_rounding_and_skips_null_vectors(spark):
+    df = spark.createDataFrame([("q", "x", [1.0, 0.0]), ("a", "x", [1.0, 0.0004]), ("b", "x", [1.0, 0.0]), ("n", "x", None)],
+                               "id string, lang string, embedding array<double>")
+    got = M.knn(df.where("id = 'q'").withColumnRenamed("id", "query_id"), df, 3, exclude_self=True)
+    assert [r.hit_id for r in got.orderBy("rank").collect()] == ["b", "a"]

@@ -72,3 +72,11 @@ def test_drop_stage_tables(spark):
     assert df.count() == 10
     assert drop_stage_tables(spark) >= 1
     assert drop_stage_tables(spark) == 0
+
+
+def test_writing_one_language_leaves_the_others(spark, tmp_dir):
+    from linguaspark.sources import files
+    row = lambda lang: spark.createDataFrame([("app", lang, "a.b", lang, 0)], "catalog string, lang string, key string, value string, ord long")
+    files.write_catalogs(row("ja"), f"{tmp_dir}/out")
+    files.write_catalogs(row("fr"), f"{tmp_dir}/out")
+    assert {r.lang for r in files.read_written_catalogs(spark, f"{tmp_dir}/out").collect()} == {"ja", "fr"}
