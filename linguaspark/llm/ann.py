@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linguaspark.llm.common import cut_lineage, pick, returning
+from linguaspark.llm.common import cut_lineage, hash_sample, pick, returning
 
 SAMPLE_ROWS, SAMPLE_BYTES = 20_000, 64 << 20  # fit on at most so much
 MAX_LEAVES, LEAF_ROWS, BRANCH = 4096, 256, 16
@@ -186,8 +186,7 @@ def search(df: DataFrame, queries: Column, id: str = "vec_id", vector: str = "em
         return spark.createDataFrame([], schema)
     rows = rows.withColumn("id", F.col("id").cast("long"))
     n_sample = max(1, min(SAMPLE_ROWS, SAMPLE_BYTES // (8 * dim)))
-    by_hash = F.xxhash64(F.lit(3), "id", "v")
-    sample = _matrix(rows.orderBy(by_hash, "id").limit(n_sample).select("v").toPandas()["v"], dim)
+    sample = _matrix(hash_sample(rows, ["id", "v"], n_sample).select("v").toPandas()["v"], dim)
     total = rows.count() if len(sample) == n_sample else len(sample)
     tree = fit_tree(sample, leaf_rows * len(sample) / total)
     shared = spark.sparkContext.broadcast(tree)  # at most MAX_LEAVES * 17 / 16 centres
@@ -233,7 +232,7 @@ def search(df: DataFrame, queries: Column, id: str = "vec_id", vector: str = "em
 
 def calibrate(index: DataFrame, tree: Tree, dim: int, k: int, recall: float, n: int) -> int:
     """Leaf visits needed so that ``recall`` of the true neighbours of ``n`` hashed rows lie in visited leaves."""
-    probes = index.orderBy(F.xxhash64(F.lit(4), "id", "v"), "id").limit(n).select("id", "v").toPandas()
+    probes = hash_sample(index.select("id", "v"), ["id", "v"], n).toPandas()
     p_id, p = probes["id"].to_numpy(), _matrix(probes["v"], dim)
 
     @returning

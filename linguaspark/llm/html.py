@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linguaspark.llm.common import pick, returning, word_hashes
+from linguaspark.llm.common import hash_sample, pick, returning, word_hashes
 
 # HTML element classes.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q ruby rb rp rt s "
@@ -401,8 +401,8 @@ def extract(df: DataFrame, html: str = "html", keep: dict[str, str] | None = Non
     """
     keep = keep if keep is not None else {"page_id": "page_id", "url": "url"}
     d = pick(df, **{f"k_{c}": src for c, src in keep.items()}, html=html)
-    sample = (d.where((F.octet_length("html") <= sample_bytes) & (F.octet_length("html") > 0)).select("html")
-              .orderBy(F.xxhash64(F.lit(1), "html"), "html").limit(sample_pages).toPandas()["html"])
+    fit = d.where((F.octet_length("html") <= sample_bytes) & (F.octet_length("html") > 0)).select("html")
+    sample = hash_sample(fit, ["html"], sample_pages).toPandas()["html"]
     shared = df.sparkSession.sparkContext.broadcast(train(sample.tolist()))  # 0.1 MB
 
     @F.pandas_udf("text string, n_chars long")
