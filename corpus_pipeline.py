@@ -17,13 +17,13 @@ from pyspark.sql import functions as F
 
 from linguaspark.llm import decontaminate, ngram_join, pieces, quality, secrets
 from linguaspark.llm.common import cut_lineage
-from linguaspark.llm.queries import BATCH_ROWS, QUERIES, split_pattern, table, tokenizer
+from linguaspark.llm.queries import QUERIES, small_batches, split_pattern, table, tokenizer
 from linguaspark.llm.queries import ORACLE as QUERY_ORACLE
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    small_batches(spark)
     scored = quality.score(docs, keep={c: c for c in docs.columns}).withColumnRenamed("accepted", "__accepted")
     return scored.where("__accepted").select(*docs.columns)
 

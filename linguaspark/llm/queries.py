@@ -12,14 +12,19 @@ from pyspark.sql import functions as F
 from linguaspark.llm import ann, decontaminate, html, langid, ngram_join, pieces, quality, secrets, sharding, suffixes
 
 
-BATCH_ROWS = 500  # rows handed to Python at once; texts may be long, and the default of 10,000 is meant for short rows
+# Handed to Python at once; texts may be long, and the defaults (10,000 rows, 64 MB) are meant for short rows.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From here on the session hands at most ``BATCH`` rows and bytes (or one row) to Python at once."""
+    for key, value in BATCH.items():
+        spark.conf.set(key, value)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the folder; the session hands at most ``BATCH_ROWS`` rows to Python at once from here on."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > BATCH_ROWS:
-        spark.conf.set(key, BATCH_ROWS)
+    """A table of the folder; also sets ``small_batches``."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
