@@ -64,13 +64,19 @@ class Tree:
             todo += [(k, rows[near == i]) for i, k in enumerate(kids) if (near == i).any()]
         return out
 
-    def visits(self, q: np.ndarray, limit: int) -> list[int]:
-        """The first ``limit`` leaves in best-bin-first order."""
+    def visits(self, q: np.ndarray, limit: int, least: int = 0, held: np.ndarray | None = None,
+               own: dict[int, int] | None = None) -> list[int]:
+        """The first ``limit`` leaves in best-bin-first order, and more until they hold ``least`` rows.
+
+        ``held`` has the row count of each leaf, ``own`` the rows among them that do not count.
+        """
         heap, out = [(0.0, 0)], []
-        while heap and len(out) < limit:
+        while heap and (len(out) < limit or least > 0):
             _, node = heapq.heappop(heap)
             if self.leaf[node] >= 0:
                 out.append(int(self.leaf[node]))
+                if held is not None:
+                    least -= int(held[out[-1]]) - (own or {}).get(out[-1], 0)
                 continue
             kids = self.kids[node]
             diff = self.centers[kids] - q
@@ -200,15 +206,21 @@ def search(df: DataFrame, queries: Column, id: str = "vec_id", vector: str = "em
     visits = calibrate(index, tree, dim, k, recall, calibration)
 
     # blocks: a leaf's members and its visiting queries, both bounded
-    q = index.where(queries).groupBy("id").agg(F.min("v").alias("v"))
+    q = (index.where(queries).groupBy("id", "leaf").agg(F.min("v").alias("v"), F.count(F.lit(1)).alias("n"))
+         .groupBy("id").agg(F.min("v").alias("v"), F.map_from_entries(F.collect_list(F.struct("leaf", "n"))).alias("own")))
+    count = index.groupBy("leaf").count().toPandas()  # one row per leaf, MAX_LEAVES at most
+    held = np.zeros(tree.n_leaves, np.int64)
+    held[count["leaf"].to_numpy()] = count["count"].to_numpy()
+    shared_held = spark.sparkContext.broadcast(held)
 
     @returning
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for at in range(0, len(b), 512):
                 part = b.iloc[at:at + 512]
-                leaves = [shared.value.visits(v, visits) for v in _matrix(part["v"], dim)]
-                yield part.assign(leaf=leaves).explode("leaf").astype({"leaf": "int64"})
+                leaves = [shared.value.visits(v, visits, k, shared_held.value, own)
+                          for v, own in zip(_matrix(part["v"], dim), part["own"], strict=True)]
+                yield part[["id", "v"]].assign(leaf=leaves).explode("leaf").astype({"leaf": "int64"})
 
     walked = cut_lineage(q.mapInPandas(walk, "id long, v array<double>, leaf long"), "ann-visits")
     sizes = (index.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("mb"))

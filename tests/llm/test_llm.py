@@ -276,6 +276,24 @@ def test_neighbours_recall_and_odd_rows(spark):
     assert ann.search(df.where("vec_id in (0, 1)"), F.col("id") % 100 == 0).count() == 1
 
 
+def test_neighbours_small_outlier_groups(spark):
+    """Most rows equal, the rest far groups of four: every query gets its ten, also one whose id stands on many rows."""
+    rng = np.random.default_rng(4)
+    hot = np.tile(rng.normal(size=(1, 8)), (4000, 1))
+    far = np.repeat(rng.normal(size=(60, 8)) * 50, 4, axis=0) + rng.normal(size=(240, 8)) * 0.01
+    x = np.concatenate((hot, far))
+    ids = list(range(len(x))) + [4000] * 30  # 30 more rows with a query's id
+    df = spark.createDataFrame([(i, x[i].tolist()) for i in ids], "vec_id long, embedding array<double>")
+    got = ann.search(df, F.col("id") >= 4000, leaf_rows=16).collect()
+    mine = {}
+    for r in got:
+        mine.setdefault(r.query_id, []).append(r["rank"])
+    assert {q: sorted(v) for q, v in mine.items()} == {q: list(range(1, 11)) for q in range(4000, 4240)}
+    assert all(r.query_id != r.vec_id for r in got)
+    few = df.where("vec_id in (4000, 4001, 4005)")
+    assert Counter(r.query_id for r in ann.search(few, F.col("id") >= 4000).collect()) == {4000: 2, 4001: 10, 4005: 10}
+
+
 # ------------------------------------------------------------------ language
 
 def test_langid_held_out(spark):
