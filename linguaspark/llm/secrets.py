@@ -2,9 +2,10 @@
 
 A subword vocabulary spells ordinary text in few tokens. Random keys share
 no longer pieces with it, so their characters-per-token ratio is low. Every
-long unbroken run of key characters is encoded with a tiktoken vocabulary;
-runs below a ratio are reported, after known digests and identifiers are
-set aside.
+long unbroken run of key characters is cut at the spans of the fixed
+patterns, and every piece left is encoded with a tiktoken vocabulary; pieces
+below a ratio are reported, after known digests and identifiers are set
+aside.
 
 Defined cases: null or empty text has no span; a text of any length is
 scanned whole; repeated rows are scanned like any other; a result has one
@@ -33,7 +34,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # a maximal run of [0-9a-f] of 24 or more
 KINDS = ("assign", "access", "hex", "random")
 
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+LEAST = 20
+RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
 DIGEST_LENGTHS = {32, 40, 56, 64, 96, 128}
 DIGEST = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 IDENTIFIER = re.compile(
@@ -51,9 +53,12 @@ def _encoder(ranks_file: bytes, pattern: str):
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+def n_tokens(run: str, encoder) -> int:
+    return sum(len(encoder.encode_ordinary(run[i:i + WINDOW])) for i in range(0, len(run), WINDOW))
+
+
 def chars_per_token(run: str, encoder) -> float:
-    n = sum(len(encoder.encode_ordinary(run[i:i + WINDOW])) for i in range(0, len(run), WINDOW))
-    return len(run) / n
+    return len(run) / n_tokens(run, encoder)
 
 
 def is_known(run: str) -> bool:
@@ -69,16 +74,35 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def is_random(run: str, encoder, max_ratio: float) -> bool:
+    return len(run) >= LEAST and not is_known(run) and chars_per_token(run, encoder) < max_ratio
+
+
+def random_parts(run: str, encoder, max_ratio: float, cut: bool = False) -> list[tuple[int, int]]:
+    """(start, end) of what is random in a run.
+
+    A piece that was ``cut`` from a run may be known but for the separators at its ends.
+    """
+    known = cut and is_known(run.strip("+/_=-"))
+    return [(0, len(run))] if is_random(run, encoder, max_ratio) and not known else []
+
+
 def random_spans(text: str, encoder, max_ratio: float, base=()) -> list[tuple[int, int, int]]:
-    """Runs of key characters with few characters per token, outside the base spans."""
-    out, taken = [], sorted((s, e) for s, _, e in base)
+    """Runs of key characters, or parts of them, with few characters per token, outside the base spans."""
+    out, taken, first = [], sorted((s, e) for s, _, e in base), 0
     for m in RUN.finditer(text):
-        s, e = m.span()
-        if any(a < e and s < b for a, b in taken):
-            continue
-        run = m[0]
-        if not is_known(run) and chars_per_token(run, encoder) < max_ratio:
-            out.append((s, 3, e))
+        at, end = m.span()
+        while first < len(taken) and taken[first][1] <= at:
+            first += 1
+        pieces, i = [], first
+        while i < len(taken) and taken[i][0] < end:
+            pieces.append((at, taken[i][0]))
+            at = max(at, taken[i][1])
+            i += 1
+        pieces.append((at, end))
+        for s, e in pieces:
+            if e - s >= LEAST:
+                out += [(s + a, 3, s + b) for a, b in random_parts(text[s:e], encoder, max_ratio, (s, e) != m.span())]
     return out
 
 

@@ -109,6 +109,20 @@ def test_secrets_base_and_random(spark):
     assert [r.n_random for r in got] == [0, 0, 0, 1, 0, 0, 0, 0, 0] and got[8].redacted is None
 
 
+def test_secrets_key_beside_base_spans(spark):
+    """What a base span does not cover of a run is still judged."""
+    key, digest, access = "q7Zp2XvL9mK4tR8wYc3NbH6sJd1F", "d41d8cd98f00b204e9800998ecf8427e", "AKIA" + "A1" * 8
+    texts = [f"/files/{digest}/{key} x", f"{access}/{key}", f"{digest}-{key}", f"{key}={digest}", f"{key}/{access}/{key}",
+             f"{digest}/550e8400-e29b-41d4-a716-446655440000", f"{digest}/some_long_identifier_name"]
+    got = scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), redact=True).orderBy("doc_id").collect()
+    for r, t in zip(got, texts):
+        assert r.base_sha256 == hashlib.sha256(secrets.spell(brute_spans(t)).encode()).hexdigest()
+        assert key not in r.redacted and digest not in r.redacted and access not in r.redacted
+    assert [r.n_random for r in got] == [1, 1, 1, 1, 2, 0, 0]
+    assert got[0].redacted.startswith("/files/[SECRET]") and got[0].redacted.endswith(" x")
+    assert got[5].redacted == f"[SECRET]{texts[5][32:]}" and got[6].redacted == f"[SECRET]{texts[6][32:]}"
+
+
 def test_secrets_odd_rows(odd):
     assert {r.spans for r in scan(odd).collect()} == {""}
     assert scan(odd.limit(0)).count() == 0
