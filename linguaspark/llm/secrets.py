@@ -5,7 +5,12 @@ no longer pieces with it, so their characters-per-token ratio is low. Every
 long unbroken run of key characters is cut at the spans of the fixed
 patterns, and every piece left is encoded with a tiktoken vocabulary; pieces
 below a ratio are reported, after known digests and identifiers are set
-aside.
+aside. Ordinary text joined to a key lifts the ratio of the whole, so of a
+piece that is not reported the parts between '/', '_', '=', '+' and '-' are
+judged: the neighbouring parts that together lie furthest below the ratio,
+however long the piece is. A part of under 20 characters, and a key that no
+separator parts from ordinary letters which lift it over the ratio, are not
+reported.
 
 Defined cases: null or empty text has no span; a text of any length is
 scanned whole; repeated rows are scanned like any other; a result has one
@@ -36,6 +41,7 @@ KINDS = ("assign", "access", "hex", "random")
 
 LEAST = 20
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
+UNIT = re.compile(r"[A-Za-z0-9]+|[+/_=-]+")
 DIGEST_LENGTHS = {32, 40, 56, 64, 96, 128}
 DIGEST = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 IDENTIFIER = re.compile(
@@ -43,6 +49,9 @@ IDENTIFIER = re.compile(
     r"|[0-9_+/=-]+"                                                                  # numbers, dates, rules
     r"|(?:[A-Za-z]+[0-9]{0,4}[_/=+-]+)+[A-Za-z]*[0-9]{0,4}"                          # words_joined-like/this
     r"|[A-Z]+[0-9]{0,4}")                                                            # constants in capitals
+# UUIDs and digests between separators: parts on either side are judged without them
+SET_ASIDE = re.compile(r"(?<![A-Za-z0-9])(?:[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}"
+                       + "".join(f"|[0-9a-f]{{{n}}}|[0-9A-F]{{{n}}}" for n in sorted(DIGEST_LENGTHS)) + ")(?![A-Za-z0-9])")
 WINDOW = 512  # longer runs are encoded in windows of this many characters
 
 
@@ -78,13 +87,52 @@ def is_random(run: str, encoder, max_ratio: float) -> bool:
     return len(run) >= LEAST and not is_known(run) and chars_per_token(run, encoder) < max_ratio
 
 
+def best_parts(scores: list[float]) -> list[tuple[int, int]]:
+    """All maximal scoring stretches (Ruzzo and Tompa), as index ranges in order; linear time."""
+    found: list[tuple[float, float, int, int, int]] = []  # sum before, sum after, first, end, nearest entry of a lesser sum before
+    total = 0.0
+    for i, score in enumerate(scores):
+        before, total = total, total + score
+        if score <= 0:
+            continue
+        first = i
+        j = len(found) - 1
+        while True:
+            while j >= 0 and found[j][0] >= before:
+                j = found[j][4]
+            if j < 0 or found[j][1] >= total:
+                break
+            before, _, first, _, link = found[j]
+            del found[j:]
+            j = link
+        found.append((before, total, first, i + 1, j))
+    return [(first, end) for _, _, first, end, _ in found]
+
+
 def random_parts(run: str, encoder, max_ratio: float, cut: bool = False) -> list[tuple[int, int]]:
-    """(start, end) of what is random in a run.
+    """(start, end) of what is random in a run: all of it, or else parts between separators.
 
     A piece that was ``cut`` from a run may be known but for the separators at its ends.
     """
-    known = cut and is_known(run.strip("+/_=-"))
-    return [(0, len(run))] if is_random(run, encoder, max_ratio) and not known else []
+    if is_random(run, encoder, max_ratio) and not (cut and is_known(run.strip("+/_=-"))):
+        return [(0, len(run))]
+    out, at = [], 0
+    for a, b in [*(m.span() for m in SET_ASIDE.finditer(run)), (len(run), len(run))]:
+        units = [m.span() for m in UNIT.finditer(run, at, a)] if a - at >= LEAST else []
+        at = b
+        scores = [max_ratio * n_tokens(run[s:e], encoder) - (e - s) for s, e in units]
+        for first, end in best_parts(scores):
+            words = [i for i in range(first, end) if run[units[i][0]].isalnum()]
+            if not words:
+                continue
+            s, e = units[words[0]][0], units[words[-1]][1]
+            while e < a and run[e] == "=" and e - units[words[-1]][1] < 2:  # padding
+                e += 1
+            if is_random(run[s:e], encoder, max_ratio):
+                out.append((s, e))
+            else:  # too short, or known as a whole: a random word in it still counts
+                out += [units[i] for i in words if is_random(run[slice(*units[i])], encoder, max_ratio)]
+    return out
 
 
 def random_spans(text: str, encoder, max_ratio: float, base=()) -> list[tuple[int, int, int]]:

@@ -123,6 +123,39 @@ def test_secrets_key_beside_base_spans(spark):
     assert got[5].redacted == f"[SECRET]{texts[5][32:]}" and got[6].redacted == f"[SECRET]{texts[6][32:]}"
 
 
+def test_secrets_key_in_long_runs(spark):
+    """Ordinary text joined to a key does not hide it, however long the run."""
+    key, second = "q7Zp2XvL9mK4tR8wYc3NbH6sJd1F", "mX4/vQ9z+T7kLw2/Rb8Yp3Hs=="
+    path = "application/components/configuration/documentation/development/"
+    chain = "request_handler_configuration_manager_"
+    texts = [path * 2 + key, path * 40 + key + "/" + path * 40, chain * 50 + key, path * 2 + second, path * 3 + key + "=" + path + second,
+             path * 2 + "qZpXvLmKtRwYcNbHsJdFgWxQ", path * 60, chain * 60, path * 2 + "550e8400-e29b-41d4-a716-446655440000/" + path,
+             path + "D41D8CD98F00B204E9800998ECF8427E/" + path, path + "2021/03/04/12345678901234567890/" + path]
+    got = scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), redact=True).orderBy("doc_id").collect()
+    at = len(path) * 40
+    assert got[0].redacted == path * 2 + "[SECRET]"
+    assert got[1].spans == f"random:{at}:{at + len(key)}" and got[2].redacted == chain * 50 + "[SECRET]"
+    assert got[3].redacted == path * 2 + "[SECRET]" and key not in got[4].redacted and second not in got[4].redacted
+    assert got[5].redacted == path * 2 + "[SECRET]"
+    assert [r.n_random for r in got[6:]] == [0] * 5
+
+
+def test_best_parts_equal_brute_force():
+    rng = random.Random(6)
+    for _ in range(300):
+        x = [rng.randint(-4, 4) for _ in range(rng.randint(0, 12))]
+        want, todo = [], [(0, len(x))]
+        while todo:  # by definition: the best stretch (the shortest of equal sums, then the first), then both sides
+            a, b = todo.pop()
+            best = max(((sum(x[i:j]), i - j, -i, i, j) for i in range(a, b) for j in range(i + 1, b + 1)), default=(0,))
+            if best[0] > 0:
+                want.append(best[3:])
+                todo += [(a, best[3]), (best[4], b)]
+        got = secrets.best_parts(x)
+        assert sum(sum(x[i:j]) for i, j in got) == sum(sum(x[i:j]) for i, j in want)
+        assert {i for i, v in enumerate(x) if v > 0} <= {i for a, b in got for i in range(a, b)}
+
+
 def test_secrets_odd_rows(odd):
     assert {r.spans for r in scan(odd).collect()} == {""}
     assert scan(odd.limit(0)).count() == 0
