@@ -40,19 +40,21 @@ def _re_escape(s: str) -> str:
     return re.escape(s)
 
 
-def read_whole_files(spark: SparkSession, root: str, required: bool = False) -> DataFrame:
+def read_whole_files(spark: SparkSession, root: str, required: bool = False, skip_unreadable: bool = False) -> DataFrame:
     """``(path, content)`` for every file under ``root`` (recursive, one row per file).
 
-    Unreadable files are skipped (S4). Note Spark's file sources ignore names
-    starting with '_' or '.'.
+    A file that cannot be read fails the query, or is skipped if
+    ``skip_unreadable`` (S4), whatever the session's settings. Note Spark's
+    file sources ignore names starting with '_' or '.'.
     """
     if not path_exists(spark, root):
         if required:
             raise FileNotFoundError(root)
         return _empty(spark, T.StructType([T.StructField("path", T.StringType()),
                                            T.StructField("content", T.StringType())]))
+    skip = str(skip_unreadable).lower()
     df = (spark.read.option("recursiveFileLookup", "true")
-          .option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").text(root, wholetext=True))
+          .option("ignoreCorruptFiles", skip).option("ignoreMissingFiles", skip).text(root, wholetext=True))
     return df.select(_rel_path(root).alias("path"), F.col("value").alias("content"))
 
 
@@ -101,8 +103,11 @@ def write_entries(entries: DataFrame, path: str, mode: str = "overwrite") -> Non
 
 
 def read_code_files(spark: SparkSession, root: str, extensions=None, excludes=None) -> DataFrame:
-    """Code files ``(file, content)`` under ``root`` filtered by extension and excluded folders."""
-    f = read_whole_files(spark, root)
+    """Code files ``(file, content)`` under ``root`` filtered by extension and excluded folders.
+
+    Unreadable files are skipped (S4).
+    """
+    f = read_whole_files(spark, root, skip_unreadable=True)
     if not f.columns:
         return _empty(spark, CODE_FILE)
     keep = path_filter("path", extensions or CONTEXT_EXTENSIONS, excludes or CONTEXT_EXCLUDES)

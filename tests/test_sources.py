@@ -47,6 +47,33 @@ def test_code_files_filter(spark, tmp_dir):
     assert got == [("src/a.tsx",)]
 
 
+@pytest.mark.parametrize("kind", ["missing", "corrupt"])
+def test_unreadable_files_fail_catalogs_and_imports_but_not_code(spark, tmp_dir, kind):
+    def frame(name, ext, read):
+        root = f"{tmp_dir}/{name}"
+        for n in ("a", "b"):
+            write(f"{root}/{n}.{ext}", '{"k": "v"}')
+        if kind == "corrupt":
+            write(f"{root}/c.{ext}.gz", "no gzip")  # fails when read
+        df = read(root)
+        if kind == "missing":
+            os.remove(f"{root}/b.{ext}")  # listed, then gone
+        return df
+
+    with pytest.raises(Exception, match="(?i)not exist|gzip|FAILED_READ_FILE"):
+        frame("cat", "json", lambda r: S.read_whole_files(spark, r)).collect()
+    catalogs = frame("cat2", "json", lambda r: S.read_catalog_files(spark, r))
+    if kind == "missing":
+        with pytest.raises(Exception, match="(?i)not exist|FAILED_READ_FILE"):
+            catalogs.collect()
+    else:  # c.json.gz is no catalog file
+        assert rows(catalogs, "lang") == [("a",), ("b",)]
+    with pytest.raises(Exception, match="(?i)not exist|gzip|FAILED_READ_FILE"):
+        frame("imp", "json", lambda r: S.read_translation_import(spark, r)).collect()
+    code = frame("code", "ts", lambda r: S.read_code_files(spark, r, extensions=["ts", "gz"]))
+    assert rows(code, "file") == ([("a.ts",)] if kind == "missing" else [("a.ts",), ("b.ts",)])
+
+
 def test_csv_and_json_imports(spark, tmp_dir):
     write(f"{tmp_dir}/t.csv", "hello,hola,extra\n\n  \ngoodbye , adiós\r\nonlykey\n")
     got = rows(S.read_translation_import(spark, f"{tmp_dir}/t.csv", "csv"), "key", "value")
