@@ -366,3 +366,18 @@ def test_pipeline_stages(spark, docs):
         ids.append({r.doc_id for r in d.collect()})
     assert ids[0] >= ids[1] >= ids[2] == ids[3]
     assert {r.doc_id for r in P.run(spark, SF).collect()} == ids[3]
+
+
+def test_pipeline_stages_with_clashing_names(spark, odd):
+    import corpus_pipeline as P
+    key = "q7Zp2XvL9mK4tR8wYc3NbH6sJd1F"
+    df = odd.union(spark.createDataFrame([(90, f"id {key} end", None, "s", 1, key, 9)], DOC))
+    assert P.quality_filter(spark, df, SF).columns == df.columns
+    d = df
+    for _, stage in P.STAGES[1:-1]:
+        d = stage(spark, d, SF)
+        assert d.columns == df.columns
+    got = {r[0]: tuple(r) for r in d.collect()}
+    assert got[90] == (90, "id [SECRET] end", None, "s", 15, key, 9)
+    assert sorted(i or 0 for i in got) == [0, 1, 2, 3, 4, 7, 90]
+    assert P.tokens(spark, d, SF).count() == len(got)
