@@ -15,7 +15,9 @@ the rest meets the items in an equi-join. No document text is shuffled
 except those of candidates.
 
 Defined cases: null and empty texts and items have no shingles and match
-nothing; with fewer than k words the whole sequence is the one shingle;
+nothing; with fewer than k words the whole sequence is the one shingle, so an item of
+fewer than k words is found only as a whole document, not inside a longer
+one (the registered SQL has the same rule);
 equal items are reported each; equal documents are reported each; an empty
 table on either side gives no rows; other columns are not read.
 """
