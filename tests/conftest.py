@@ -4,9 +4,7 @@ import tempfile
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-
-SMOKE = "/root/testdata/sf0.001"
+sys.path[:0] = [os.path.dirname(os.path.dirname(os.path.abspath(__file__))), os.path.dirname(os.path.abspath(__file__))]
 
 
 @pytest.fixture(scope="session")
@@ -25,7 +23,3 @@ def spark():
 def tmp_dir():
     return tempfile.mkdtemp(prefix="ls-test-")
 
-
-def rows(df, *cols):
-    cols = cols or df.columns
-    return sorted(tuple(r[c] for c in cols) for r in df.collect())

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linguaspark.operators import catalog as C
-from conftest import rows
+from helpers import rows
 
 
 def entries(spark, data, lang="en", catalog="app"):
@@ -134,7 +134,7 @@ def test_deep_catalog(spark, depth):
 
 def test_events_props_flatten_to_nothing(spark):
     from linguaspark.plans import fixtures as fx
-    from conftest import SMOKE
+    from helpers import SMOKE
     f = C.flatten_catalogs(fx.event_prop_files(spark, SMOKE))
     assert f.entries.count() == 0
     assert f.rejects.count() == 0

@@ -1,5 +1,5 @@
 from linguaspark.operators import glossary as G
-from conftest import rows
+from helpers import rows
 
 SCHEMA = "term string, translations map<string,string>, context string, notes string, seq bigint"
 

@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from linguaspark.operators import inference as I
 from linguaspark.operators.windows import batch_numbers, row_numbers
-from conftest import rows
+from helpers import rows
 
 SIM_T = "array<struct<source:string,translation:string,similarity:double>>"
 GL_T = "array<struct<term:string,translation:string>>"

@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from linguaspark.operators import memory as M
 from linguaspark.plans import jobs as J
-from conftest import rows
+from helpers import rows
 
 E = "catalog string, lang string, key string, value string, ord bigint"
 

@@ -3,7 +3,7 @@ import base64
 import numpy as np
 
 from linguaspark.operators import memory as M
-from conftest import rows
+from helpers import rows
 
 
 def test_tm_id_unchunked_base64(spark):

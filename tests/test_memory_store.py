@@ -1,5 +1,5 @@
 from linguaspark.sources.memory_store import read_memory, write_memory
-from conftest import rows
+from helpers import rows
 
 SCHEMA = "id string, source_text string, translation string, lang string, context string, embedding array<float>, seq bigint"
 

@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as E
-from conftest import SMOKE
+from helpers import SMOKE
 
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin")
 

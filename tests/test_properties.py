@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 
 from linguaspark.operators import catalog as C
 from linguaspark.operators import memory as M
-from conftest import rows
+from helpers import rows
 
 E = "catalog string, lang string, key string, value string, ord bigint"
 SETTINGS = settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))

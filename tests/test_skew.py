@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from linguaspark.operators import catalog as C
 from linguaspark.operators import usage as U
 from linguaspark.operators.windows import row_numbers
-from conftest import rows
+from helpers import rows
 
 
 def skewed(spark, n=30000, lang="en"):

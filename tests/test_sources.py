@@ -5,7 +5,7 @@ import pytest
 
 from linguaspark.operators import catalog as C
 from linguaspark.sources import files as S
-from conftest import rows
+from helpers import rows
 
 
 def write(path, text):

@@ -1,7 +1,7 @@
 import os
 
 from linguaspark.streaming.incremental import ingest_memory, read_memory, read_missing, stream_missing
-from conftest import rows
+from helpers import rows
 
 TM = "id string, source_text string, translation string, lang string, context string, seq bigint"
 E = "catalog string, lang string, key string, value string, ord bigint"

@@ -1,7 +1,7 @@
 import random
 
 from linguaspark.operators import usage as U
-from conftest import rows
+from helpers import rows
 
 
 def code(spark, files):
