@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linguaspark.llm import ann, decontaminate, html, langid, ngram_join, pieces, quality, secrets, sharding, suffixes
+from linguaspark.llm import ann, decontaminate, html, langid, ngram_join, pieces, quality, runs, secrets, sharding, suffixes
 
 
 # Handed to Python at once; texts may be long, and the defaults (10,000 rows, 64 MB) are meant for short rows.
@@ -85,8 +85,18 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    planted = docs.select("doc_id", runs.plant(F.col("text"), F.col("doc_id")).alias("text"))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n")))
+    return runs.find(planted).select(
+        "doc_id", "n_runs", "best.start", "best.length", "best.period",
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (op1_sharding, op2_secrets, op3_decontamination, op4_html, op5_suffix_dedup, op6_pieces,
-                                   op7_ngram_join, op8_quality, op9_neighbours, op10_langid)}
+                                   op7_ngram_join, op8_quality, op9_neighbours, op10_langid, op11_runs)}
 
 _SHINGLES = """
 words AS (
