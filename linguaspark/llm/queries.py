@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linguaspark.llm import ann, decontaminate, html, langid, ngram_join, pieces, quality, runs, secrets, sharding, suffixes, toxicity
+from linguaspark.llm import ann, decontaminate, dialogue, html, langid, ngram_join, pieces, quality, runs, secrets, sharding, suffixes, toxicity
 
 
 # Handed to Python at once; texts may be long, and the defaults (10,000 rows, 64 MB) are meant for short rows.
@@ -99,9 +99,13 @@ def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.repair(dialogue.damage(table(spark, sf_dir, "conversations")), copies="copies")[0]
+
+
 QUERIES = {f.__name__: f for f in (op1_sharding, op2_secrets, op3_decontamination, op4_html, op5_suffix_dedup, op6_pieces,
                                    op7_ngram_join, op8_quality, op9_neighbours, op10_langid, op11_runs,
-                                   op12_toxicity)}
+                                   op12_toxicity, op13_dialogue)}
 
 _SHINGLES = """
 words AS (
