@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # The white-space set removed by an ECMAScript-style trim
 # (WhiteSpace and LineTerminator code points), written as a Java regex class.
@@ -65,16 +64,3 @@ def integer_like(c) -> Column:
     """Array-index-like member names, which object member order puts first."""
     c = col_(c)
     return c.rlike("^(0|[1-9][0-9]{0,9})$") & (c.try_cast("bigint") < F.lit(4294967295))
-
-
-def order_text(col, dtype: T.DataType):
-    """A string that sorts like an order value, so that values of different types can share a column.
-
-    Non-negative integers are zero-padded, structs are their fields in turn,
-    strings stay as they are.
-    """
-    if isinstance(dtype, T.StructType):
-        return F.concat(*[order_text(col[f.name], f.dataType) for f in dtype.fields])
-    if isinstance(dtype, T.StringType):
-        return F.coalesce(col, F.lit(""))
-    return F.lpad(F.coalesce(col, F.lit(0)).cast("string"), 20, "0")

@@ -1,7 +1,9 @@
 """Catalog operators: dedupe, diff, merges, upsert, flatten and nest.
 
 Entries are rows ``(catalog, lang, key, value, ord)``; ``ord`` carries the
-entry order a list would have. Every function takes and returns DataFrames.
+entry order a list would have: readers and merges give ``functions.order``'s
+type, inputs may have any that it takes. A ``context`` column, where there is
+one, stays with its row. Every function takes and returns DataFrames.
 """
 
 from __future__ import annotations
@@ -11,7 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import falsy, integer_like, json_string_literal, order_text
+from ..functions.order import on_side, step
+from ..functions.text import falsy, integer_like, json_string_literal
 from ..schemas import ENTRY_KEYS
 from ..session import materialize_with_metrics
 
@@ -151,20 +154,25 @@ def coverage_rollup(source: DataFrame, target: DataFrame,
 
 
 def merge_translations(target: DataFrame, missing: DataFrame, results: DataFrame) -> DataFrame:
-    """J5 + U1: target rows unchanged, then one translated row per missing key.
+    """J5 + U1: target rows unchanged and first, then one translated row per missing key, in source order.
 
     ``missing`` are the missing source entries (with ``lang``), ``results``
     rows ``(catalog, lang, key, translated, error)``; failed rows (``error``
-    set) are left out, as are keys without a result. ``is_new`` orders the
-    appended rows after the existing ones.
+    set) are left out, as are keys without a result. ``is_new`` tells the
+    appended rows, ``ord`` puts them after the existing ones; they keep the
+    source entry's ``context``.
     """
     ok = results.where(F.col("error").isNull()).select(*ENTRY_KEYS, "translated")
-    new = (last_wins(missing.select(*ENTRY_KEYS, "ord"), first_position="first_ord")
-           .join(ok, ENTRY_KEYS, "inner")
-           .select(*ENTRY_KEYS, F.col("translated").alias("value"),
-                   F.col("first_ord").alias("ord"), F.lit(True).alias("is_new")))
-    old = target.select(*ENTRY_KEYS, "value", "ord", F.lit(False).alias("is_new"))
-    return old.unionByName(new)
+    ctx = ["context"] if "context" in missing.columns or "context" in target.columns else []
+    carried = [c for c in ctx if c in missing.columns]
+    new = last_wins(missing.select(*ENTRY_KEYS, "ord", *carried), first_position="first_ord").join(ok, ENTRY_KEYS, "inner")
+
+    def rows(df: DataFrame, value: str, order: str, is_new: bool) -> DataFrame:
+        context = [(F.col(c) if c in df.columns else F.lit(None).cast("string")).alias(c) for c in ctx]
+        return df.select(*ENTRY_KEYS, F.col(value).alias("value"), on_side(df, order, int(is_new)).alias("ord"),
+                         *context, F.lit(is_new).alias("is_new"))
+
+    return rows(target, "value", "ord", False).unionByName(rows(new, "translated", "first_ord", True))
 
 
 def merge_reviews(target: DataFrame, results: DataFrame) -> DataFrame:
@@ -188,25 +196,20 @@ def split_valid_records(records: DataFrame, required=("key", "value")) -> tuple[
 def upsert_entries(existing: DataFrame, incoming: DataFrame, seq: str = "seq") -> DataFrame:
     """The catalog after an import, one row per key.
 
-    Existing keys take the last incoming value and keep their place; new keys
-    are appended (``is_new``). Invalid incoming rows are ignored. Orders of
-    the two sides are never compared; ``ord`` of the result is a string that
-    puts new keys last.
+    Existing keys take the last incoming value and keep their place (and
+    ``context``); new keys are appended (``is_new``). Invalid incoming rows are
+    ignored. Orders of the two sides are never compared with each other.
     """
     acc, _ = split_valid_records(incoming)
     inc = last_wins(acc.select(*ENTRY_KEYS, "value", F.col(seq).alias("_seq")),
-                    order="_seq", first_position="_first").select(
-        *ENTRY_KEYS, F.col("value").alias("_new"), "_first")
-    old = last_wins(existing.select(*ENTRY_KEYS, "value", "ord"), first_position="_pos").select(
-        *ENTRY_KEYS, F.col("value").alias("_old"), "_pos")
-    old = old.withColumn("_there", F.lit(True))
-    j = old.join(inc, ENTRY_KEYS, "full_outer")
-    is_new = F.col("_there").isNull()
-    first = F.concat(F.lit("1"), order_text(F.col("_first"), j.schema["_first"].dataType))
-    place = F.concat(F.lit("0"), order_text(F.col("_pos"), j.schema["_pos"].dataType))
-    return j.select(*ENTRY_KEYS,
-                    F.coalesce(F.col("_new"), F.col("_old")).alias("value"),
-                    is_new.alias("is_new"), F.when(is_new, first).otherwise(place).alias("ord"))
+                    order="_seq", first_position="_first")
+    inc = inc.select(*ENTRY_KEYS, F.col("value").alias("_new"), on_side(inc, "_first", 1).alias("_first"))
+    ctx = [c for c in ("context",) if c in existing.columns]
+    old = last_wins(existing.select(*ENTRY_KEYS, "value", "ord", *ctx), first_position="_pos")
+    old = old.select(*ENTRY_KEYS, F.col("value").alias("_old"), on_side(old, "_pos", 0).alias("_pos"), *ctx)
+    j = old.join(inc, ENTRY_KEYS, "full_outer")  # an order is never null, so it tells the sides
+    return j.select(*ENTRY_KEYS, F.coalesce(F.col("_new"), F.col("_old")).alias("value"), *ctx,
+                    F.col("_pos").isNull().alias("is_new"), F.coalesce("_pos", "_first").alias("ord"))
 
 
 def import_counts(existing: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -291,7 +294,7 @@ def flatten_catalogs(files: DataFrame, ids=("catalog", "lang"), text_col: str =
     Depth-first key paths joined with '.'; string leaves become entries,
     numbers and booleans vanish, arrays give index keys, a ``null`` anywhere
     (or unparseable text) sends the whole document to ``rejects``. ``ord`` is
-    a string whose sort order is the document order (index-like names first).
+    the document order (index-like names first), in the library's order type.
     The loop runs once per nesting level; each level is written to the
     shared folder (small plans, nothing recomputed), and the write itself
     counts the nested members that decide whether another level is needed.
@@ -326,6 +329,7 @@ def flatten_catalogs(files: DataFrame, ids=("catalog", "lang"), text_col: str =
     for r in rejects[1:]:
         all_rej = all_rej.unionByName(r)
     bad = all_rej.select(*ids).distinct()
+    all_leaves = all_leaves.withColumn("ord", F.array(step(major=F.col("ord"))))
     return Flattened(all_leaves.join(bad, ids, "left_anti"), all_rej)
 
 

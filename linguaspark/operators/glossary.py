@@ -1,16 +1,21 @@
 """Glossary operators: upsert, remove, per-language view, search, prompt lists, apply.
 
 A glossary is rows ``(term, translations map<lang,string>, context, notes,
-seq)``; ``seq`` is the entry's position. The long form
+seq)``; ``seq`` is the entry's position, of any type ``functions.order``
+takes (merges give its own). The long form
 ``(term, lang, translation, seq)`` is what joins use.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import falsy, integer_like, order_text
+from ..functions.order import on_side
+from ..functions.text import falsy, integer_like
 from .usage import substring_join
 
 
@@ -38,14 +43,12 @@ def upsert(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     the latest winning, context and notes change only when supplied, and the
     merged entry keeps the position of its first occurrence; new terms come
     last. ``seq`` orders rows within its own side only, so the two sides may
-    number alike or with different types; the result's ``seq`` is a string
-    that sorts by side, then by the side's own order.
+    number alike or with different types.
     """
-    def side(df: DataFrame, no: str) -> DataFrame:
-        seq = F.concat(F.lit(no), order_text(F.col("seq"), df.schema["seq"].dataType))
-        return df.select("term", "translations", "context", "notes", seq.alias("seq"))
+    def side(df: DataFrame, no: int) -> DataFrame:
+        return df.select("term", "translations", "context", "notes", on_side(df, "seq", no).alias("seq"))
 
-    both = side(existing, "0").unionByName(side(incoming, "1"))
+    both = side(existing, 0).unionByName(side(incoming, 1))
     both = both.withColumn("lterm", F.lower("term"))
     attrs = both.groupBy("lterm").agg(
         F.max_by("term", "seq").alias("term"),
@@ -102,13 +105,16 @@ def search_many(glossary: DataFrame, queries: DataFrame, query_col: str = "query
     """F6 for a table of queries: ``(query, entry...)`` pairs, by the exact substring join.
 
     Term and translations are lower-cased texts; a query matches an entry
-    when any of them contains it. Empty queries are left out.
+    when any of them contains it. An empty query matches every entry: its
+    rows (one per distinct empty query, so one) are the glossary itself.
     """
     texts = (glossary.select("term", F.lower("term").alias("text"))
              .unionByName(to_long(glossary).select("term", F.lower("translation").alias("text"))))
     qs = queries.select(F.lower(F.col(query_col)).alias("needle"), F.col(query_col).alias("query"))
     hits = substring_join(qs, texts, needle_col="needle", hay_col="text").select("query", "term").distinct()
-    return hits.join(glossary, "term")
+    empty = qs.where(F.col("query") == "").select("query").distinct().withColumn("all", F.lit(1))
+    every = glossary.withColumn("all", F.lit(1)).join(F.broadcast(empty), "all").select("query", *glossary.columns)  # one row at most
+    return hits.join(glossary, "term").select("query", *glossary.columns).unionByName(every)
 
 
 def find_term(glossary: DataFrame, lookups: DataFrame, col: str = "query") -> DataFrame:
@@ -117,25 +123,74 @@ def find_term(glossary: DataFrame, lookups: DataFrame, col: str = "query") -> Da
             .join(glossary.withColumn("_lt", F.lower("term")), "_lt").drop("_lt"))
 
 
-def apply_terms(texts: DataFrame, glossary_long: DataFrame, text_col: str = "text",
-                id_col: str = "id") -> DataFrame:
-    """Replace whole-word glossary terms (case-insensitive) in a text column, longest term first.
+def _fold(s: str) -> str:
+    """Lower case, character by character, so that places in the folded text are places in the text."""
+    low = s.lower()
+    return low if len(low) == len(s) else "".join(x if len(x := c.lower()) == 1 else c for c in s)
+
+
+def _wordy(c: str) -> bool:
+    return c.isalnum() or c == "_"
+
+
+def replace_terms(text: str, folded: str, matches: list[tuple[int, int]], translation: dict[str, str]) -> str:
+    """``text`` with the leftmost, then longest of the word-bounded ``matches`` (start, end) replaced, in one pass."""
+    out, at = [], 0
+    for start, end in sorted(matches, key=lambda m: (m[0], -m[1])):
+        if start < at or start and _wordy(text[start - 1]) and _wordy(text[start]) or \
+                end < len(text) and _wordy(text[end - 1]) and _wordy(text[end]):
+            continue
+        new = translation.get(folded[start:end])
+        if new is not None:
+            out += [text[at:start], new]
+            at = end
+    return "".join([*out, text[at:]])
 
-    ``glossary_long``: ``(term, translation)`` for one language. Candidate
-    terms per text come from the exact substring join; the replacements are
-    a fold over those few candidates only.
+
+def apply_terms(texts: DataFrame, glossary_long: DataFrame, text_col: str = "text", id_col: str = "id",
+                lang_col: str | None = None) -> DataFrame:
+    """Replace glossary terms in a text column: whole words, ignoring case, leftmost then longest first.
+
+    ``glossary_long``: ``(term, translation[, seq][, lang])``; of translations
+    of one term the one of the last ``seq`` counts (without ``seq``, the
+    greatest). With ``lang_col`` a text meets the terms of its own language.
+
+    Which terms a text contains comes from the exact substring join, so no
+    task ever needs a whole glossary. The terms of one Arrow batch then make
+    one Aho-Corasick automaton, each text is read once, and what was put in
+    is never read again. A match is whole words if no word character touches
+    a word character at its edges. Null texts stay null.
     """
-    g = glossary_long.select(F.lower("term").alias("needle"), "translation").dropDuplicates(["needle"])
-    lt = texts.select(id_col, text_col, F.lower(F.col(text_col)).alias("_low"))
-    cands = substring_join(g, lt, needle_col="needle", hay_col="_low").select(id_col, "needle", "translation")
-    per = cands.groupBy(id_col).agg(F.collect_list(F.struct(
-        (-F.length("needle")).alias("o"), "needle", "translation")).alias("c"))
+    langs = ["lang"] if lang_col else []
+    last = F.struct(*(["seq"] if "seq" in glossary_long.columns else []), "translation")
+    g = (glossary_long.where(~falsy("term")).groupBy(F.lower("term").alias("needle"), *langs)
+         .agg(F.max_by(F.struct("term", "translation"), last).alias("t")).select("needle", *langs, "t.term", "t.translation"))
+    lt = texts.select(id_col, *([F.col(lang_col).alias("_tlang")] if lang_col else []), F.lower(F.col(text_col)).alias("_low"))
+    cands = substring_join(g, lt, needle_col="needle", hay_col="_low")
+    if lang_col:
+        cands = cands.where(F.col("lang") == F.col("_tlang"))
+    per = cands.groupBy(id_col).agg(F.collect_set(F.struct("term", "translation")).alias("_c"))  # bounded by one text
+
+    @F.pandas_udf("string")
+    def applied(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        import ahocorasick
+        for text, cands_ in batches:
+            own = [{} if c is None else {_fold(x["term"]): x["translation"] for x in c} for c in cands_]
+            finder = ahocorasick.Automaton()
+            for term in {t for o in own for t in o}:
+                finder.add_word(term, len(term))
+            if len(finder):
+                finder.make_automaton()
+            out = []
+            for t, o in zip(text, own, strict=True):
+                if o:
+                    folded = _fold(t)
+                    t = replace_terms(t, folded, [(e + 1 - n, e + 1) for e, n in finder.iter(folded)], o)
+                out.append(t)
+            yield pd.Series(out, dtype=object)
+
     j = texts.join(per, id_col, "left")
-    folded = F.aggregate(
-        F.array_sort(F.coalesce(F.col("c"), F.array())), F.col(text_col),
-        lambda acc, x: F.regexp_replace(acc, F.concat(F.lit("(?i)\\b\\Q"), x["needle"], F.lit("\\E\\b")),
-                                        F.regexp_replace(x["translation"], "([\\\\$])", "\\\\$1")))
-    return j.select(id_col, text_col, folded.alias("applied"))
+    return j.select(id_col, text_col, applied(F.col(text_col), F.col("_c")).alias("applied"))
 
 
 def relevant_lists(texts: DataFrame, glossary: DataFrame, id_col: str = "_qid", text_col: str = "value") -> DataFrame:

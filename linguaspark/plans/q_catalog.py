@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.order import positions
 from ..operators import catalog as C
 from ..operators import inference as I
 from . import fixtures as fx
@@ -78,6 +79,11 @@ def catalog_last_wins(spark, sf):
 # --- step 2: merges --------------------------------------------------------------
 
 
+def _numbered(entries):
+    """``pos``, the place by ``ord`` in each catalog, instead of ``ord``."""
+    return positions(entries, ["catalog", "lang"]).drop("ord")
+
+
 def translate_results(missing, lang_col="lang"):
     """Mock-translate the last value of every missing key."""
     last = C.last_wins(missing.select("catalog", "lang", "key", "value", "ord"))
@@ -88,13 +94,15 @@ def translate_results(missing, lang_col="lang"):
 @register("translate_merge", with_(src=SRC_DUP, tgt=TGT_DUP) + f"""
 , miss as (select s.catalog, 'ja' as lang, s.key, s.value, s.ord from src s where {_NOT_IN_TGT})
 , ml as (select catalog, lang, key, arg_max(value, ord) as value, min(ord) as ord from miss group by catalog, lang, key)
-select catalog, lang, key, value, ord, false as is_new from tgt
-union all
-select catalog, lang, key, concat('[', lang, '] ', value) as value, ord, true as is_new from ml""")
+, m as (select catalog, lang, key, value, ord, false as is_new from tgt
+        union all
+        select catalog, lang, key, concat('[', lang, '] ', value) as value, ord, true as is_new from ml)
+select catalog, lang, key, value, is_new,
+       row_number() over (partition by catalog, lang order by is_new, ord) as pos from m""")
 def translate_merge(spark, sf):
     src, tgt = fx.source_entries_dup(spark, sf), fx.target_entries_dup(spark, sf)
     missing = C.missing_entries(src, tgt, LANGS)
-    return C.merge_translations(tgt, missing, translate_results(missing))
+    return _numbered(C.merge_translations(tgt, missing, translate_results(missing)))
 
 
 def review_results(outdated):
@@ -133,13 +141,14 @@ _ACC = "select * from inc where coalesce(key, '') <> '' and coalesce(value, '')
 , acc as ({_ACC})
 , il as (select catalog, lang, key, arg_max(value, seq) as v, min(seq) as f from acc group by catalog, lang, key)
 , ol as (select catalog, lang, key, arg_max(value, ord) as v, min(ord) as p from tgt group by catalog, lang, key)
-select coalesce(ol.catalog, il.catalog) as catalog, coalesce(ol.lang, il.lang) as lang,
-       coalesce(ol.key, il.key) as key, coalesce(il.v, ol.v) as value, ol.key is null as is_new,
-       case when ol.key is null then il.f else ol.p end as ord
-from ol full join il on ol.catalog = il.catalog and ol.lang = il.lang and ol.key = il.key""")
+, m as (select coalesce(ol.catalog, il.catalog) as catalog, coalesce(ol.lang, il.lang) as lang,
+               coalesce(ol.key, il.key) as key, coalesce(il.v, ol.v) as value, ol.key is null as is_new,
+               case when ol.key is null then il.f else ol.p end as ord
+        from ol full join il on ol.catalog = il.catalog and ol.lang = il.lang and ol.key = il.key)
+select catalog, lang, key, value, is_new,
+       row_number() over (partition by catalog, lang order by is_new, ord) as pos from m""")
 def import_upsert(spark, sf):
-    out = C.upsert_entries(fx.target_entries_dup(spark, sf), fx.incoming_translations(spark, sf))
-    return out.withColumn("ord", F.expr("cast(substring(ord, 2) as bigint)"))  # the side's own order
+    return _numbered(C.upsert_entries(fx.target_entries_dup(spark, sf), fx.incoming_translations(spark, sf)))
 
 
 @register("import_counts", with_(tgt=TGT_DUP, inc=INCOMING) + """

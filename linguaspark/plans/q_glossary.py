@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.order import positions
 from ..operators import glossary as G
 from ..operators import inference as I
 from . import fixtures as fx
@@ -37,10 +38,15 @@ def _long(glossary):
                            "context", "notes", "seq")
 
 
-@register("glossary_upsert", _UPSERT + "select * from g")
+def _numbered(df, *groups):
+    """``pos``, the place by ``seq`` in each group, instead of ``seq``."""
+    return positions(df, list(groups), "seq").drop("seq")
+
+
+@register("glossary_upsert", _UPSERT + """
+select term, lang, translation, context, notes, dense_rank() over (order by seq) as pos from g""")
 def glossary_upsert(spark, sf):
-    # the side's own order
-    return _long(upserted(spark, sf).withColumn("seq", F.expr("cast(substring(seq, 2) as bigint)")))
+    return _long(_numbered(upserted(spark, sf)).withColumnRenamed("pos", "seq")).withColumnRenamed("seq", "pos")
 
 
 @register("glossary_remove", with_(ex=GLOSS_LONG) + """
@@ -52,26 +58,28 @@ def glossary_remove(spark, sf):
 
 
 @register("glossary_for_lang", _UPSERT + """
-select lang, term, arg_max(translation, seq) as translation, min(seq) as seq
+select lang, term, arg_max(translation, seq) as translation, row_number() over (partition by lang order by min(seq)) as pos
 from g where coalesce(translation, '') <> '' group by lang, term""")
 def glossary_for_lang(spark, sf):
-    return G.for_language(upserted(spark, sf))
+    return _numbered(G.for_language(upserted(spark, sf)), "lang")
 
 
 _QUERIES_SQL = """select distinct lower(right(n_name, 2)) as q from nation
-union select distinct unnest(string_split(lower(n_name), ' ')) from nation"""
+union select distinct unnest(string_split(lower(n_name), ' ')) from nation union select ''"""
 
 
 @register("glossary_search", _UPSERT + f"""
 , q as ({_QUERIES_SQL})
 , texts as (select distinct term, lower(term) as text, seq from g
             union select term, lower(translation), seq from g)
-select distinct q.q as query, t.term, t.seq from q join texts t on contains(t.text, q.q)""")
+select query, term, row_number() over (partition by query order by seq) as pos
+from (select distinct q.q as query, t.term, t.seq from q join texts t on contains(t.text, q.q))""")
 def glossary_search(spark, sf):
     n = fx.table(spark, sf, "nation")
     qs = (n.select(F.lower(F.substring("n_name", -2, 2)).alias("query"))
-          .unionByName(n.select(F.explode(F.split(F.lower("n_name"), " ")).alias("query"))).distinct())
-    return G.search_many(upserted(spark, sf), qs).select("query", "term", "seq")
+          .unionByName(n.select(F.explode(F.split(F.lower("n_name"), " ")).alias("query")))
+          .unionByName(n.select(F.lit("").alias("query"))).distinct())
+    return _numbered(G.search_many(upserted(spark, sf), qs).select("query", "term", "seq"), "query")
 
 
 @register("glossary_prompt_map", _UPSERT + f"""
@@ -96,16 +104,36 @@ def glossary_find(spark, sf):
 
 
 @register("glossary_apply", """
-with terms as (select distinct unnest(string_split(p_name, ' ')) as w from part)
-, t as (select p_partkey as id, concat(p_name, ' ', lower(p_type)) as text from part)
-, x as (select id, text, unnest(string_split(text, ' ')) as w,
-               unnest(generate_series(1, len(string_split(text, ' ')))) as i from t)
-select id, text, string_agg(case when w in (select w from terms) then concat('<', upper(w), '>') else w end, ' '
-                            order by i) as applied
-from x group by id, text""")
+with recursive x as (
+  select p_partkey as id, case when p_partkey % 2 = 0 then upper(p_name) else p_name end as name, string_split(p_name, ' ') as l
+  from part)
+, words as (select distinct unnest(l) as w from x)
+, pairs as (select distinct concat(l[i], ' ', l[i + 1]) as w
+            from (select l, unnest(range(1, len(l))) as i from x where id % 3 = 0))
+, t as (select id, concat(name, ' ', p_type) as text, string_split(concat(name, ' ', p_type), ' ') as l
+        from x join part on p_partkey = id)
+, walk(id, i, done) as (
+  select id, 1, cast([] as varchar[]) from t
+  union all
+  select k.id, case when p.w is null then k.i + 1 else k.i + 2 end,
+         list_append(k.done, case when p.w is not null then concat('[', upper(p.w), ']')
+                                  when s.w is not null then concat('<', upper(s.w), ' ', s.w, '>') else t.l[k.i] end)
+  from walk k join t on t.id = k.id and k.i <= len(t.l)
+  left join pairs p on p.w = lower(concat(t.l[k.i], ' ', t.l[k.i + 1])) and k.i < len(t.l)
+  left join words s on s.w = lower(t.l[k.i]))
+select w.id, t.text, array_to_string(w.done, ' ') as applied
+from walk w join t on t.id = w.id where w.i > len(t.l)""")
 def glossary_apply(spark, sf):
+    """Words of part names, given twice (the later counts), and pairs of neighbouring words, which go before their words."""
     p = fx.table(spark, sf, "part")
-    words = fx.part_word_keys(spark, sf).select(
-        F.col("key").alias("term"), F.concat(F.lit("<"), F.upper("key"), F.lit(">")).alias("translation"))
-    texts = p.select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit(" "), F.lower("p_type")).alias("text"))
-    return G.apply_terms(texts, words)
+    words = fx.part_word_keys(spark, sf).select(F.col("key").alias("term"))
+    # a translation holds its own term again: what was put in must not be replaced anew
+    late = words.select("term", F.concat(F.lit("<"), F.upper("term"), F.lit(" "), "term", F.lit(">")).alias("translation"), F.lit(2).alias("seq"))
+    early = words.select("term", F.lit("zzz").alias("translation"), F.lit(1).alias("seq"))
+    parts = F.split("p_name", " ")
+    pairs = p.where("p_partkey % 3 = 0").select(F.explode(F.transform(
+        F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, i, 2), " "))).alias("term")).distinct()
+    pairs = pairs.select("term", F.concat(F.lit("["), F.upper("term"), F.lit("]")).alias("translation"), F.lit(1).alias("seq"))
+    name = F.when(F.col("p_partkey") % 2 == 0, F.upper("p_name")).otherwise(F.col("p_name"))
+    texts = p.select(F.col("p_partkey").alias("id"), F.concat(name, F.lit(" "), "p_type").alias("text"))
+    return G.apply_terms(texts, early.unionByName(late).unionByName(pairs))

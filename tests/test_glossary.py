@@ -15,7 +15,8 @@ def test_upsert_case_insensitive_merge(spark):
     assert set(out) == {"HELLO", "Bye"}
     h = out["HELLO"]
     assert h.translations == {"ja": "こんにちは", "fr": "Salut", "de": "Hallo"}
-    assert (h.context, h.notes, h.seq) == ("greet", "n2", "0" + "1".zfill(20))  # old entry, its own order
+    assert (h.context, h.notes) == ("greet", "n2")
+    assert [tuple(x) for x in h.seq] == [(0, "", 0), (0, "", 1)]  # the old side, then the entry's own order
 
 
 def test_import_records_skip_invalid_and_unsupplied(spark):
@@ -31,8 +32,8 @@ def test_remove_for_language_search(spark):
     assert rows(G.for_language(g, ["fr"]), "term", "translation") == [("World", "Monde")]
     assert rows(G.search(g, "MON"), "term") == [("World",)]
     assert G.search(g, "").count() == 2
-    q = spark.createDataFrame([("ell",), ("monde",), ("zz",)], "query string")
-    assert rows(G.search_many(g, q), "query", "term") == [("ell", "Hello"), ("monde", "World")]
+    q = spark.createDataFrame([("ell",), ("monde",), ("zz",), ("",), ("",)], "query string")
+    assert rows(G.search_many(g, q), "query", "term") == [("", "Hello"), ("", "World"), ("ell", "Hello"), ("monde", "World")]
 
 
 def test_prompt_lists_order(spark):
@@ -57,3 +58,46 @@ def test_upsert_incoming_wins_with_colliding_seq(spark):
     assert [(r.term, r.translations["fr"]) for r in out] == [("A", "a-old"), ("b", "b-new"), ("c", "c")]
     split = new.selectExpr("term", "translations", "context", "notes", "struct(0L as blk, seq as mid) as seq")
     assert [r.term for r in G.upsert(old, split).orderBy("seq").collect()] == ["A", "b", "c"]
+
+
+def test_apply_terms_in_one_pass(spark):
+    cols = "term string, translation string, lang string, seq int"
+    g = spark.createDataFrame([("new york", "York City", "x", 1), ("York", "old", "x", 1), ("york", "Y", "x", 2), ("C++", "C$1\\\\", "x", 1),
+                               ("york", "other", "y", 3), ("İz", "iz", "x", 1), ("", "never", "x", 1), ("city here", "CH", "x", 1)], cols)
+    t = spark.createDataFrame([(1, "x", "new york here"), (2, "x", "NEW YORK, York; newyork york_ C++ c+++"), (3, "y", "york new york"),
+                               (4, "x", None), (5, "x", "İz İ york"), (6, "z", "york"), (7, "x", "")], "id int, lang string, text string")
+    got = {r.id: r.applied for r in G.apply_terms(t, g, lang_col="lang").collect()}
+    assert got == {1: "York City here", 2: "York City, Y; newyork york_ C$1\\\\ C$1\\\\+", 3: "other new other", 4: None, 5: "iz İ Y",
+                   6: "york", 7: ""}
+
+
+def test_apply_terms_equals_a_plain_scan(spark):
+    import random
+    rng = random.Random(3)
+    terms = {" ".join(rng.choice("ab cd e F g").split(" ")[0] + rng.choice(["", "x"]) for _ in range(rng.randint(1, 3))) for _ in range(60)}
+    g = {t.lower(): f"<{i}>" for i, t in enumerate(sorted(terms)) if t.strip()}
+    texts = ["".join(rng.choice(["a", "b", "x", " ", " ", "F", "ax", ".", "g"]) for _ in range(rng.randint(0, 40))) for _ in range(200)]
+
+    def plain(s):
+        out, i, low = "", 0, s.lower()
+        while i < len(s):
+            for n in range(len(s) - i, 0, -1):
+                j = i + n
+                if low[i:j] in g and not (i and s[i - 1].isalnum() and s[i].isalnum()) and \
+                        not (j < len(s) and s[j - 1].isalnum() and s[j].isalnum()):
+                    out, i = out + g[low[i:j]], j
+                    break
+            else:
+                out, i = out + s[i], i + 1
+        return out
+    got = G.apply_terms(spark.createDataFrame(list(enumerate(texts)), "id int, text string"),
+                        spark.createDataFrame(list(g.items()), "term string, translation string")).collect()
+    assert {r.id: r.applied for r in got} == {i: plain(s) for i, s in enumerate(texts)}
+
+
+def test_merged_glossaries_merge_again(spark):
+    cols = "term string, translations map<string,string>, context string, notes string, seq long"
+    one = lambda *ts: spark.createDataFrame([(t, {"fr": t}, None, None, -i) for i, t in enumerate(ts)], cols)
+    first = G.upsert(one("b", "a"), one("d", "c", "a"))
+    again = G.upsert(first, G.upsert(one("f", "e"), one("b", "g")))
+    assert [r.term for r in again.orderBy("seq").collect()] == ["a", "b", "c", "d", "e", "f", "g"]
