@@ -83,13 +83,25 @@ def reviewable_entries(source: DataFrame, target: DataFrame,
 
 def outdated_pairs(source: DataFrame, target: DataFrame,
                    langs: list[str] | None = None) -> DataFrame:
-    """J2 + F1: (source, last target) pairs whose texts differ."""
-    src = with_target_langs(source, target, langs).select(
-        *ENTRY_KEYS, F.col("value").alias("source_value"), F.col("ord").alias("source_ord"))
-    tgt = last_wins(target.select(*ENTRY_KEYS, "value", "ord")).select(
-        *ENTRY_KEYS, F.col("value").alias("target_value"), F.col("ord").alias("target_ord"))
-    return (src.join(tgt, ENTRY_KEYS, "inner")
-            .where(~F.col("source_value").eqNullSafe(F.col("target_value"))))
+    """J2 + F1: (source, last target) pairs whose texts differ.
+
+    If either side has a ``context`` column, the pair's is the source's, or if that is empty the target's (P11).
+    """
+    return reviewed_pairs(source, target, langs).where(~F.col("source_value").eqNullSafe(F.col("target_value")))
+
+
+def reviewed_pairs(source: DataFrame, target: DataFrame, langs: list[str] | None = None) -> DataFrame:
+    """J3 as pairs: every source row of a key that has a target, with the key's last target row; see ``outdated_pairs``."""
+    def rows(df: DataFrame, side: str) -> DataFrame:
+        ctx = [F.col("context").alias(f"_{side}")] if "context" in df.columns else []
+        return df.select(*ENTRY_KEYS, F.col("value").alias(f"{side}_value"), F.col("ord").alias(f"{side}_ord"), *ctx)
+
+    ctx = ["context"] if "context" in target.columns else []
+    j = rows(with_target_langs(source, target, langs), "source").join(
+        rows(last_wins(target.select(*ENTRY_KEYS, "value", "ord", *ctx)), "target"), ENTRY_KEYS, "inner")
+    found = [F.when(~falsy(c), F.col(c)) for c in ("_source", "_target") if c in j.columns]
+    return j.select(*ENTRY_KEYS, "source_value", "source_ord", "target_value", "target_ord",
+                    *([F.coalesce(*found).alias("context")] if found else []))
 
 
 def classify_entries(source: DataFrame, target: DataFrame,

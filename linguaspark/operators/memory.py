@@ -87,22 +87,27 @@ def inconsistent_translations(rows: DataFrame) -> DataFrame:
 class HashingEmbedder:
     """Deterministic character-trigram feature hashing; a stand-in embedding model.
 
-    Any picklable callable ``f(list[str]) -> np.ndarray[n, dim]`` can be
-    used instead; the query side and the memory side must use the same one.
+    A trigram of code points a, b, c of the text between two spaces counts
+    at place h % dim, h = 961 a + 31 b + c, upwards if h / dim is even, else
+    downwards. Any picklable callable ``f(list[str]) -> np.ndarray[n, dim]``
+    can be used instead; the query side and the memory side must use the
+    same one.
     """
 
-    def __init__(self, dim: int = 64, n: int = 3):
-        self.dim, self.n = dim, n
+    def __init__(self, dim: int = 64):
+        self.dim = dim
 
     def __call__(self, texts: list[str]) -> np.ndarray:
-        import xxhash
-        out = np.zeros((len(texts), self.dim), dtype=np.float32)
-        for r, t in enumerate(texts):
-            s = f" {t or ''} "
-            for i in range(max(1, len(s) - self.n + 1)):
-                h = xxhash.xxh32_intdigest(s[i:i + self.n])
-                out[r, h % self.dim] += 1.0 if (h >> 31) & 1 else -1.0
-        return out
+        padded = [f" {t or ''} " for t in texts]
+        c = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        row = np.repeat(np.arange(len(texts)), [len(p) for p in padded])
+        if len(c) < 3:
+            return np.zeros((len(texts), self.dim), np.float32)
+        h = 961 * c[:-2] + 31 * c[1:-1] + c[2:]
+        inside = row[:-2] == row[2:]
+        h, row = h[inside], row[:-2][inside]
+        sign = 1.0 - 2.0 * (h // self.dim % 2)
+        return np.bincount(row * self.dim + h % self.dim, sign, len(texts) * self.dim).reshape(len(texts), self.dim).astype(np.float32)
 
 
 def embed(df: DataFrame, text_col: str, embedder=None, out: str = "embedding") -> DataFrame:

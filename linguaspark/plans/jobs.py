@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import falsy
@@ -41,7 +41,7 @@ def _entry_id(df: DataFrame) -> F.Column:
 class TranslateResult:
     entries: DataFrame       # the catalog after the merge (target rows, then new rows)
     results: DataFrame       # one row per worked key, with prompt, translated, error, batch_id
-    memory_rows: DataFrame   # TM rows for the new translations
+    memory_rows: DataFrame   # TM rows for the new translations, with vectors
 
 
 def translate(source: DataFrame, target: DataFrame, langs: list[str] | None = None, provider=None, *,
@@ -106,24 +106,24 @@ def translate(source: DataFrame, target: DataFrame, langs: list[str] | None = No
                           "results")
         parts.append(res)
         if memory is not None and r < rounds - 1:
-            fresh = M.embed(_memory_rows(res, r).drop("embedding"), "source_text", embedder)
+            fresh = _memory_rows(res, F.lit(r), embedder)
             memory = cut_lineage(M.upsert_latest(memory.unionByName(fresh, allowMissingColumns=True)
                                                  .select(*memory.columns)), "memory")
     results = parts[0]
     for p_ in parts[1:]:
         results = results.unionByName(p_)
     merged = C.merge_translations(target, missing, results.select(*ENTRY_KEYS, "translated", "error"))
-    return TranslateResult(merged, results.drop("_qid", "_round"), _memory_rows(results, F.col("_round")))
+    return TranslateResult(merged, results.drop("_qid", "_round"), _memory_rows(results, F.col("_round"), embedder))
 
 
-def _memory_rows(results: DataFrame, round_no) -> DataFrame:
-    """TM rows for successful results; ``seq`` = job time (us) + round, so they win over older writes."""
+def _memory_rows(results: DataFrame, round_no: Column, embedder=None) -> DataFrame:
+    """TM rows, with vectors, for successful results; ``seq`` = job time (us) + round, so they win over older writes."""
     ok = results.where(F.col("error").isNull())
-    seq = F.unix_micros(F.current_timestamp()) + F.lit(round_no) if isinstance(round_no, int) else \
-        F.unix_micros(F.current_timestamp()) + round_no
-    return M.tm_rows(ok.select("lang", F.col("value").alias("source_text"),
+    seq = F.unix_micros(F.current_timestamp()) + round_no
+    rows = M.tm_rows(ok.select("lang", F.col("value").alias("source_text"),
                                F.col("translated").alias("translation"), "context",
                                seq.cast("bigint").alias("seq")), seq="seq")
+    return M.embed(rows.drop("embedding"), "source_text", embedder)
 
 
 @dataclass
@@ -136,21 +136,18 @@ class ReviewResult:
 
 def review(source: DataFrame, target: DataFrame, langs: list[str] | None = None, provider=None, *,
            glossary: DataFrame | None = None, context: str | None = None, all_keys: bool = False,
-           max_parallel: int | None = None, glossary_scope: str = "all") -> ReviewResult:
-    """Review outdated keys (or every key present in both with ``all_keys``) and merge improvements."""
+           max_parallel: int | None = None, glossary_scope: str = "all", embedder=None) -> ReviewResult:
+    """Review outdated keys (or every key present in both with ``all_keys``) and merge improvements.
+
+    Context per key: ``context`` if given (even empty), else the source entry's own, else the target entry's.
+    """
     provider = provider or mock_review_provider()
-    if all_keys:
-        rv = C.reviewable_entries(source, target, langs).select(
-            *ENTRY_KEYS, F.col("value").alias("source_value"), F.col("ord").alias("source_ord"))
-        tl = C.last_wins(target.select(*ENTRY_KEYS, "value", "ord")).select(
-            *ENTRY_KEYS, F.col("value").alias("target_value"))
-        pairs = rv.join(tl, ENTRY_KEYS)
-    else:
-        pairs = C.outdated_pairs(source, target, langs)
-    todo = C.last_wins(pairs.select(*ENTRY_KEYS, "source_value", "target_value",
+    pairs = (C.reviewed_pairs if all_keys else C.outdated_pairs)(source, target, langs)
+    own = ["context"] if "context" in pairs.columns else []
+    todo = C.last_wins(pairs.select(*ENTRY_KEYS, "source_value", "target_value", *own,
                                     F.col("source_ord").alias("ord")))
-    ctx = F.lit(context) if context is not None else F.lit(None).cast("string")
-    todo = todo.withColumn("context", ctx)
+    if context is not None or not own:
+        todo = todo.withColumn("context", F.lit(context).cast("string"))
     if glossary is not None and glossary_scope == "relevant":
         todo = todo.withColumn("_qid", _entry_id(todo))
         todo = todo.join(G.relevant_lists(todo.select("_qid", "lang", "source_value"), glossary,
@@ -165,9 +162,10 @@ def review(source: DataFrame, target: DataFrame, langs: list[str] | None = None,
     results = replied.withColumn("translated", improved).withColumn("changes", changes)
     merged = C.merge_reviews(target, results.select(*ENTRY_KEYS, "translated", "error"))
     changed = results.where(F.col("error").isNull() & (F.col("translated") != F.col("target_value")))
-    mem_rows = M.tm_rows(changed.select("lang", F.col("source_value").alias("source_text"),
-                                        F.col("translated").alias("translation"), "context",
-                                        F.unix_micros(F.current_timestamp()).alias("seq")), seq="seq")
+    mem_rows = M.embed(M.tm_rows(changed.select("lang", F.col("source_value").alias("source_text"),
+                                                F.col("translated").alias("translation"), "context",
+                                                F.unix_micros(F.current_timestamp()).alias("seq")), seq="seq")
+                       .drop("embedding"), "source_text", embedder)
     return ReviewResult(merged, results, I.review_change_counts(results), mem_rows)
 
 

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.order import positions
 from ..operators import catalog as C
 from ..operators.imports import TRANSLATION_FIELDS, parse_delimited
+from ..session import new_work_path
+from ..sources import files, memory_store
 from . import fixtures as fx
 from . import jobs as J
 from .q_import import translation_csv_lines
 from .q_inference import ja_glossary
 from .registry import register
-from .sql_fixtures import SRC_DUP, TGT_DUP, TGT_LAST, with_
+from .sql_fixtures import INCOMING, SRC_DUP, TGT_DUP, TGT_LAST, with_
 
 
 def _as_files(entries):
@@ -60,7 +63,34 @@ def job_review(spark, sf):
     return _as_files(res.entries).select("catalog", "lang", "key", "value")
 
 
-@register("job_build_search")
+_MISSING_LAST = """ml as (select catalog, 'ja' as lang, key, arg_max(value, ord) as value from src s
+         where not exists (select 1 from tgt t where t.catalog = s.catalog and t.key = s.key)
+         group by catalog, key)"""
+
+
+@register("job_build_search", with_(src=SRC_DUP, tgt=TGT_DUP, tl=TGT_LAST) + f"""
+, {_MISSING_LAST}
+, sl as (select catalog, key, arg_max(value, ord) as value from src group by catalog, key)
+, pr as (select sl.value as source_text, t.value as translation,
+                row_number() over (partition by sl.value order by s.ord desc, s.catalog desc, s.key desc) as last
+         from src s join sl on sl.catalog = s.catalog and sl.key = s.key join tl t on t.catalog = s.catalog and t.key = s.key)
+, mem as (select concat('ja_', to_base64(encode(source_text))) as id, source_text, translation from pr where last = 1)
+, texts as (select source_text as t from mem union select value from ml)
+, grams as (select t, 961 * unicode(substr(p, i, 1)) + 31 * unicode(substr(p, i + 1, 1)) + unicode(substr(p, i + 2, 1)) as h
+            from (select t, concat(' ', t, ' ') as p, unnest(range(1, length(t) + 1)) as i from texts))
+, vec as (select t, h % 64 as b, sum(case when (h // 64) % 2 = 0 then 1 else -1 end) as v from grams group by t, h % 64)
+, norm as (select t, sqrt(sum(v * v)) as n from vec group by t)
+, qt as (select distinct value as t from ml)
+, dots as (select q.t as qt, m.source_text as mt, sum(a.v * b.v) as d
+           from qt q join vec a on a.t = q.t join vec b on b.b = a.b join mem m on m.source_text = b.t group by 1, 2)
+, best as (select qt.t, m.id, m.source_text, m.translation, coalesce(d.d / (nq.n * nm.n), 0) as s,
+                  row_number() over (partition by qt.t order by coalesce(d.d / (nq.n * nm.n), 0) desc, m.id) as rank
+           from qt cross join mem m left join dots d on d.qt = qt.t and d.mt = m.source_text
+           join norm nq on nq.t = qt.t join norm nm on nm.t = m.source_text
+           qualify rank <= 3)
+select ml.key as query_id, b.rank, b.id as hit_id, round(b.s, 6) as similarity,
+       cast(floor(round(b.s, 6) * 100 + 0.5) as integer) as percent, b.source_text, b.translation
+from ml join best b on b.t = ml.value""")
 def job_build_search(spark, sf):
     """Build the TM from the catalogs, then search it with the missing keys' source texts (k=3)."""
     memory = _memory(spark, sf)
@@ -71,6 +101,51 @@ def job_build_search(spark, sf):
                                                   "source_text", "translation")
 
 
+@register("job_tm_cycle", with_(src=SRC_DUP, tgt=TGT_DUP, tl=TGT_LAST) + f"""
+, {_MISSING_LAST}
+, sl as (select catalog, key, arg_max(value, ord) as value from src group by catalog, key)
+, od as (select distinct s.catalog, s.key from src s join tl t on t.catalog = s.catalog and t.key = s.key
+         where s.value is distinct from t.value)
+, lo as (select s.catalog, s.key, arg_max(s.value, s.ord) as value from src s join tl t on t.catalog = s.catalog and t.key = s.key
+         where s.value is distinct from t.value group by s.catalog, s.key)
+, rv as (select lo.value from lo join tl t on t.catalog = lo.catalog and t.key = lo.key
+         where coalesce(nullif(upper(t.value), ''), t.value) <> t.value)
+select concat('ja_', to_base64(encode(value))) as id, value as source_text, 'ja' as lang, 'unknown' as context, 64 as n_dims
+from (select value from ml union select value from rv)""")
+def job_tm_cycle(spark, sf):
+    """Translate and review write their results to one TM table, vectors and all; the table is read back."""
+    src, tgt = fx.source_entries_dup(spark, sf), fx.target_entries_dup(spark, sf)
+    path = new_work_path(spark, "tm-cycle")
+    memory_store.write_memory(J.translate(src, tgt, ["ja"]).memory_rows, path)
+    memory_store.write_memory(J.review(src, tgt, ["ja"], _rule_review_provider()).memory_rows, path)
+    tm = memory_store.read_memory(spark, path, ["ja"])
+    return tm.select("id", "source_text", "lang", "context", F.size("embedding").alias("n_dims"))
+
+
+@register("job_import_translate", with_(src=SRC_DUP, tgt=TGT_DUP, inc=INCOMING) + """
+, acc as (select * from inc where coalesce(key, '') <> '' and coalesce(value, '') <> '')
+, imp as (select coalesce(o.catalog, i.catalog) as catalog, coalesce(o.key, i.key) as key, coalesce(i.v, o.v) as value,
+                 case when o.key is null then 1 else 0 end as side, case when o.key is null then i.f else o.p end as ord
+          from (select catalog, key, arg_max(value, ord) as v, min(ord) as p from tgt group by catalog, key) o
+          full join (select catalog, key, arg_max(value, seq) as v, min(seq) as f from acc group by catalog, key) i
+          on o.catalog = i.catalog and o.key = i.key)
+, ml as (select catalog, key, arg_max(value, ord) as value, min(ord) as ord from src s
+         where not exists (select 1 from imp t where t.catalog = s.catalog and t.key = s.key) group by catalog, key)
+, done as (select catalog, key, value, side, ord from imp
+           union all select catalog, key, concat('[ja] ', value), 2, ord from ml)
+select catalog, 'ja' as lang, key, value,
+       row_number() over (partition by catalog order by cast(string_split(key, '.')[2] as bigint), side, ord) as pos
+from done""")
+def job_import_translate(spark, sf):
+    """Import, translate what is still missing, write the catalog files, read them: keys keep their order all the way."""
+    imported = J.import_translations(fx.target_entries_dup(spark, sf), fx.incoming_translations(spark, sf)).entries
+    done = J.translate(fx.source_entries_dup(spark, sf), imported, ["ja"]).entries
+    root = new_work_path(spark, "catalogs")
+    files.write_catalogs(done, root)
+    back = files.read_catalogs(spark, root, required=True).entries
+    return positions(back, ["catalog", "lang"]).select("catalog", "lang", "key", "value", "pos")
+
+
 _IMPORT_LINES = """select 'all' as catalog, 'ja' as lang, key, value, seq from (
   select p_partkey * 2 as seq,
     regexp_replace(string_split(line, ',')[1], '^\\s+|\\s+$', '', 'g') as key,

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import usage as U
+from ..session import new_work_path
+from ..sources import files as S
+from ..sources.tree import write_files
 from . import fixtures as fx
 from .registry import register
 from .sql_fixtures import TGT_DUP, with_
@@ -111,3 +114,33 @@ def usage_contexts_per_key(spark, sf):
     keys = _code_keys(spark, sf)
     asked = keys.unionByName(spark.range(1).select(F.lit("no.such.key").alias("key")))
     return U.contexts_per_key(asked, U.key_contexts(keys, fx.code_files_from_parts(spark, sf)))
+
+
+@register("usage_code_tree", """
+with x as (
+  select p_partkey as k, p_name, concat('t(''part.', cast(p_partkey as varchar), '.name'')') as line,
+         lower(replace(p_brand, '#', '_')) as app, floor(p_partkey / 200) as blk, p_partkey % 6 as r
+  from part)
+, f as (
+  select concat(app, '/', case r when 0 then 'pages/_app' when 1 then '.hidden/b' when 2 then 'src/b' when 3 then 'src/_b'
+                          when 4 then 'node_modules/b' else 'docs/b' end,
+                cast(cast(blk as bigint) as varchar), case when r = 5 then '.md' else '.tsx' end) as file,
+         count(*) as n, sum(length(line) + 1) as n_chars, r
+  from x group by 1, r)
+select file, n_chars, n as n_keys from f where r not in (4, 5)""")
+def usage_code_tree(spark, sf):
+    """A tree written from the parts, with names of every kind, then scanned: what is read of it, and its keys by file."""
+    p = fx.table(spark, sf, "part")
+    k, r = F.col("p_partkey"), F.col("p_partkey") % 6
+    folder = (F.when(r == 0, "pages/_app").when(r == 1, ".hidden/b").when(r == 2, "src/b").when(r == 3, "src/_b")
+              .when(r == 4, "node_modules/b").otherwise("docs/b"))
+    place = F.concat(F.lower(F.regexp_replace("p_brand", "#", "_")), F.lit("/"), folder, F.floor(k / 200).cast("bigint").cast("string"),
+                     F.when(r == 5, ".md").otherwise(".tsx"))
+    line = F.concat(F.lit("t('part."), k.cast("string"), F.lit(".name')"))
+    root = new_work_path(spark, "code-tree")
+    write_files(p.groupBy(place.alias("path")).agg(F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("content")), root)
+    found = S.scan_code(spark, root, extensions=["tsx"])
+    code = found.files.select(F.col("path").alias("file"), "content")
+    keys = U.extract_keys(code).groupBy("file").agg(F.count(F.lit(1)).alias("n_keys"))
+    return code.select("file", F.length("content").cast("bigint").alias("n_chars")).join(keys, "file").unionByName(
+        found.rejects.select(F.col("path").alias("file"), F.lit(-1).cast("bigint").alias("n_chars"), F.lit(0).cast("bigint").alias("n_keys")))

@@ -6,6 +6,9 @@ DataFrame with the declared schema.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,8 +16,8 @@ from pyspark.sql import types as T
 from ..operators.catalog import Flattened, flatten_catalogs, nest_catalogs, path_conflicts
 from ..operators.imports import GLOSSARY_FIELDS, TRANSLATION_FIELDS, json_translation_records, parse_delimited
 from ..operators.usage import CONTEXT_EXCLUDES, CONTEXT_EXTENSIONS, path_filter
-from ..schemas import CATALOG_FILE, CODE_FILE
 from ..session import path_exists
+from .tree import Scan, can_list, scan, write_files
 
 GLOSSARY_JSON = T.StructType([
     T.StructField("term", T.StringType()),
@@ -40,22 +43,32 @@ def _re_escape(s: str) -> str:
     return re.escape(s)
 
 
-def read_whole_files(spark: SparkSession, root: str, required: bool = False, skip_unreadable: bool = False) -> DataFrame:
-    """``(path, content)`` for every file under ``root`` (recursive, one row per file).
+def read_whole_files(spark: SparkSession, root: str, required: bool = False, suffixes: tuple[str, ...] = ()) -> Scan:
+    """Every file under ``root`` (recursive, one row per file) with the unreadable ones apart; a missing root is empty.
 
-    A file that cannot be read fails the query, or is skipped if
-    ``skip_unreadable`` (S4), whatever the session's settings. Note Spark's
-    file sources ignore names starting with '_' or '.'.
+    Files of any name are read (``sources.tree``). In a store that only
+    Spark's readers can open they are Spark's: names that begin with '_' or
+    '.' are then not seen, and an unreadable file fails the query.
     """
     if not path_exists(spark, root):
         if required:
             raise FileNotFoundError(root)
-        return _empty(spark, T.StructType([T.StructField("path", T.StringType()),
-                                           T.StructField("content", T.StringType())]))
-    skip = str(skip_unreadable).lower()
-    df = (spark.read.option("recursiveFileLookup", "true")
-          .option("ignoreCorruptFiles", skip).option("ignoreMissingFiles", skip).text(root, wholetext=True))
-    return df.select(_rel_path(root).alias("path"), F.col("value").alias("content"))
+        string = lambda *names: T.StructType([T.StructField(n, T.StringType()) for n in names])
+        return Scan(_empty(spark, string("path", "content")), _empty(spark, string("path", "reason")))
+    if can_list(root):
+        return scan(spark, root, suffixes)
+    df = (spark.read.option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "false")
+          .option("ignoreMissingFiles", "false").text(root, wholetext=True))
+    df = df.select(_rel_path(root).alias("path"), F.col("value").alias("content"))
+    if suffixes:
+        df = df.where(reduce(or_, [F.col("path").endswith(x) for x in suffixes]))
+    return Scan(df, df.where(F.lit(False)).select("path", F.lit("").alias("reason")))
+
+
+def _readable(found: Scan) -> DataFrame:
+    """The files of a scan; an unreadable one fails the query."""
+    bad = found.rejects.select("path", F.raise_error(F.concat_ws(": ", "path", "reason")).cast("string").alias("content"))
+    return found.files.unionByName(bad)
 
 
 def read_catalog_files(spark: SparkSession, root: str, required: bool = False) -> DataFrame:
@@ -63,37 +76,36 @@ def read_catalog_files(spark: SparkSession, root: str, required: bool = False) -
 
     A missing root is an empty relation unless ``required``.
     """
-    f = read_whole_files(spark, root, required)
-    f = f.where(F.col("path").endswith(".json"))
+    return _catalog_documents(_readable(read_whole_files(spark, root, required, (".json",))))
+
+
+def _catalog_documents(files: DataFrame) -> DataFrame:
     lang = F.regexp_extract("path", "([^/]+)\\.json$", 1)
     catalog = F.regexp_replace(F.regexp_extract("path", "(?s)^(.*)/[^/]+$", 1), "^$", ".")
-    out = f.select(catalog.alias("catalog"), lang.alias("lang"), F.col("content").alias("json"))
-    return out if out.columns else _empty(spark, CATALOG_FILE)
+    return files.select(catalog.alias("catalog"), lang.alias("lang"), F.col("content").alias("json"))
 
 
 def read_catalogs(spark: SparkSession, root: str, required: bool = False, max_depth: int = 64) -> Flattened:
-    """S1 + P1: catalog files flattened to entries (unparseable files in ``rejects``)."""
-    return flatten_catalogs(read_catalog_files(spark, root, required), max_depth=max_depth)
+    """S1 + P1: catalog files flattened to entries; unparseable and unreadable files are in ``rejects``."""
+    found = read_whole_files(spark, root, required, (".json",))
+    flat = flatten_catalogs(_catalog_documents(found.files), max_depth=max_depth)
+    bad = _catalog_documents(found.rejects.select("path", F.col("reason").alias("content")))
+    return Flattened(flat.entries, flat.rejects.unionByName(bad.withColumnRenamed("json", "reason")))
 
 
-def write_catalogs(entries: DataFrame, root: str, indent: int = 2, check_conflicts: bool = True) -> None:
-    """One pretty-printed nested JSON document per (lang, catalog).
+def write_catalogs(entries: DataFrame, root: str, indent: int = 2, check_conflicts: bool = True) -> int:
+    """One pretty-printed nested JSON document per catalog and language, at ``<root>/<catalog>/<lang>.json``.
 
-    Written with ``partitionBy('lang', 'catalog')`` (folders ``lang=../catalog=..``).
-    Only the written catalogs' folders are replaced; other languages and
-    catalogs under ``root`` stay. Refuses catalogs with path conflicts (P3):
-    one bounded action.
+    That is where ``read_catalogs`` finds it ('.' is the root itself). All
+    documents are written before the first old file is replaced, so a failed
+    job changes nothing and ``entries`` may come from the same root; other
+    catalogs and languages stay. Refuses catalogs with path conflicts (P3):
+    one bounded action. Returns the number of files.
     """
     if check_conflicts and path_conflicts(entries).limit(1).count() > 0:
         raise ValueError("catalog has path conflicts (a key is also a prefix of another key)")
-    (nest_catalogs(entries, indent=indent).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("lang", "catalog").text(root))
-
-
-def read_written_catalogs(spark: SparkSession, root: str) -> DataFrame:
-    """The documents written by ``write_catalogs`` as ``(catalog, lang, json)``."""
-    df = spark.read.text(root, wholetext=True)
-    return df.select(F.col("catalog").cast("string"), F.col("lang").cast("string"), F.col("value").alias("json"))
+    place = F.concat(F.when(F.col("catalog") == ".", "").otherwise(F.concat("catalog", F.lit("/"))), "lang", F.lit(".json"))
+    return write_files(nest_catalogs(entries, indent=indent).select(place.alias("path"), F.col("json").alias("content")), root)
 
 
 def write_entries(entries: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -102,16 +114,16 @@ def write_entries(entries: DataFrame, path: str, mode: str = "overwrite") -> Non
      .partitionBy("lang").parquet(path))
 
 
-def read_code_files(spark: SparkSession, root: str, extensions=None, excludes=None) -> DataFrame:
-    """Code files ``(file, content)`` under ``root`` filtered by extension and excluded folders.
-
-    Unreadable files are skipped (S4).
-    """
-    f = read_whole_files(spark, root, skip_unreadable=True)
-    if not f.columns:
-        return _empty(spark, CODE_FILE)
+def scan_code(spark: SparkSession, root: str, extensions=None, excludes=None) -> Scan:
+    """Code files under ``root`` by extension and excluded folders, and those that could not be read."""
+    found = read_whole_files(spark, root)
     keep = path_filter("path", extensions or CONTEXT_EXTENSIONS, excludes or CONTEXT_EXCLUDES)
-    return f.where(keep).select(F.col("path").alias("file"), "content")
+    return Scan(found.files.where(keep), found.rejects.where(keep))
+
+
+def read_code_files(spark: SparkSession, root: str, extensions=None, excludes=None) -> DataFrame:
+    """``(file, content)`` of ``scan_code``; unreadable files are left out."""
+    return scan_code(spark, root, extensions, excludes).files.select(F.col("path").alias("file"), "content")
 
 
 def read_glossary(spark: SparkSession, path: str) -> DataFrame:
@@ -144,7 +156,7 @@ def read_translation_import(spark: SparkSession, path: str, fmt: str = "json",
             return (spark.read.schema("key string, value string").csv(path)
                     .withColumn("seq", F.monotonically_increasing_id()))
         return parse_delimited(read_lines(spark, path), TRANSLATION_FIELDS).drop("file")
-    docs = read_whole_files(spark, path, required=True).select(F.col("content").alias("json"))
+    docs = _readable(read_whole_files(spark, path, required=True)).select(F.col("content").alias("json"))
     return json_translation_records(docs).withColumnRenamed("pos", "seq")
 
 

@@ -36,8 +36,10 @@ def write_memory(rows: DataFrame, path: str, mode: str = "upsert") -> None:
         merged = new if mode == "append" else (keep_first(new) if mode == "keep" else upsert_latest(new))
         merged.select(*TM.fieldNames()).write.mode("append").partitionBy("lang").parquet(path)
         return
-    langs = new.select("lang").distinct()
-    old = read_memory(spark, path).join(langs, "lang", "left_semi")
+    # one value per partition folder that is about to be replaced; as literals they prune the old table's scan
+    langs = [r["lang"] for r in new.select("lang").distinct().collect()]
+    named = F.col("lang").isin([x for x in langs if x is not None])
+    old = read_memory(spark, path).where(named | F.col("lang").isNull() if None in langs else named)
     both = old.unionByName(new)
     merged = keep_first(both) if mode == "keep" else upsert_latest(both)
     merged = cut_lineage(merged.select(*TM.fieldNames()))

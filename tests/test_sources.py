@@ -2,9 +2,10 @@ import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
-from linguaspark.operators import catalog as C
 from linguaspark.sources import files as S
+from linguaspark.sources import tree
 from helpers import rows
 
 
@@ -31,7 +32,7 @@ def test_write_catalogs_roundtrip_and_conflict_refusal(spark, tmp_dir):
     e = spark.createDataFrame([("app", "ja", "a.b", "x", 1), ("app", "ja", "c", "y", 2)],
                               "catalog string, lang string, key string, value string, ord bigint")
     S.write_catalogs(e, f"{tmp_dir}/out")
-    back = C.flatten_catalogs(S.read_written_catalogs(spark, f"{tmp_dir}/out")).entries
+    back = S.read_catalogs(spark, f"{tmp_dir}/out").entries
     assert rows(back, "catalog", "lang", "key", "value") == [("app", "ja", "a.b", "x"), ("app", "ja", "c", "y")]
     bad = spark.createDataFrame([("app", "ja", "a", "x", 1), ("app", "ja", "a.b", "y", 2)],
                                 "catalog string, lang string, key string, value string, ord bigint")
@@ -47,31 +48,70 @@ def test_code_files_filter(spark, tmp_dir):
     assert got == [("src/a.tsx",)]
 
 
-@pytest.mark.parametrize("kind", ["missing", "corrupt"])
-def test_unreadable_files_fail_catalogs_and_imports_but_not_code(spark, tmp_dir, kind):
-    def frame(name, ext, read):
-        root = f"{tmp_dir}/{name}"
-        for n in ("a", "b"):
-            write(f"{root}/{n}.{ext}", '{"k": "v"}')
-        if kind == "corrupt":
-            write(f"{root}/c.{ext}.gz", "no gzip")  # fails when read
-        df = read(root)
-        if kind == "missing":
-            os.remove(f"{root}/b.{ext}")  # listed, then gone
-        return df
-
-    with pytest.raises(Exception, match="(?i)not exist|gzip|FAILED_READ_FILE"):
-        frame("cat", "json", lambda r: S.read_whole_files(spark, r)).collect()
-    catalogs = frame("cat2", "json", lambda r: S.read_catalog_files(spark, r))
-    if kind == "missing":
-        with pytest.raises(Exception, match="(?i)not exist|FAILED_READ_FILE"):
-            catalogs.collect()
-    else:  # c.json.gz is no catalog file
-        assert rows(catalogs, "lang") == [("a",), ("b",)]
-    with pytest.raises(Exception, match="(?i)not exist|gzip|FAILED_READ_FILE"):
-        frame("imp", "json", lambda r: S.read_translation_import(spark, r)).collect()
-    code = frame("code", "ts", lambda r: S.read_code_files(spark, r, extensions=["ts", "gz"]))
-    assert rows(code, "file") == ([("a.ts",)] if kind == "missing" else [("a.ts",), ("b.ts",)])
+def test_files_of_any_name_are_read_and_unreadable_ones_are_told(spark, tmp_dir):
+    for name in ("_app.tsx", "x.tsx", ".hidden/y.tsx", "pages/_document.tsx", "dist/z.tsx", "a b#%.tsx"):
+        write(f"{tmp_dir}/code/{name}", f"t('{name}')")
+    os.symlink(f"{tmp_dir}/gone", f"{tmp_dir}/code/lost.tsx")
+    found = S.scan_code(spark, f"{tmp_dir}/code", extensions=["tsx"])
+    want = sorted(["_app.tsx", "x.tsx", ".hidden/y.tsx", "pages/_document.tsx", "a b#%.tsx"])
+    assert rows(found.files, "path", "content") == [(n, f"t('{n}')") for n in want]
+    assert [(r.path, "gone" in r.reason or "No such file" in r.reason) for r in found.rejects.collect()] == [("lost.tsx", True)]
+    assert rows(S.read_code_files(spark, f"{tmp_dir}/code", ["tsx"]), "file") == [(n,) for n in want]
+
+
+def test_unreadable_catalogs_are_rejected_and_imports_fail(spark, tmp_dir):
+    write(f"{tmp_dir}/cat/app/en.json", '{"k": "v"}')
+    os.symlink(f"{tmp_dir}/gone", f"{tmp_dir}/cat/app/ja.json")
+    f = S.read_catalogs(spark, f"{tmp_dir}/cat")
+    assert rows(f.entries, "catalog", "lang", "key") == [("app", "en", "k")]
+    assert rows(f.rejects, "catalog", "lang") == [("app", "ja")]
+    with pytest.raises(Exception, match="ja.json"):
+        S.read_catalog_files(spark, f"{tmp_dir}/cat").collect()
+    with pytest.raises(Exception, match="ja.json"):
+        S.read_translation_import(spark, f"{tmp_dir}/cat").collect()
+
+
+def test_scan_packs_by_size_and_a_store_of_spark_only_is_read_by_spark(spark, tmp_dir, monkeypatch):
+    for i in range(25):
+        write(f"{tmp_dir}/t/d{i % 3}/{i}.json", "x" * 100)
+    monkeypatch.setattr(tree, "PART_BYTES", 450)
+    parts = tree.TreeReader(f"{tmp_dir}/t", [".json"]).partitions()
+    assert [len(p.names) for p in parts] == [4, 4, 4, 4, 4, 4, 1] and len({n for p in parts for n in p.names}) == 25
+    monkeypatch.setattr(S, "can_list", lambda root: False)
+    assert S.read_whole_files(spark, f"{tmp_dir}/t", suffixes=("7.json",)).files.count() == 2
+
+
+E = "catalog string, lang string, key string, value string, ord bigint"
+
+
+def test_written_catalogs_are_read_back_in_place(spark, tmp_dir):
+    e = spark.createDataFrame([("app", "ja", "b", "1", 1), ("app", "ja", "a.10", "x", 2), ("app", "ja", "a.9", "y\u2028", 3),
+                               (".", "en", "k", "v", 1), ("deep/er #1%", "fr", "k", "w", 1)], E)
+    assert S.write_catalogs(e, f"{tmp_dir}/out") == 3
+    assert sorted(f"{d[len(tmp_dir):]}/{n}" for d, _, ns in os.walk(f"{tmp_dir}/out") for n in ns if not n.endswith(".crc")) == [
+        "/out/app/ja.json", "/out/deep/er #1%/fr.json", "/out/en.json"]
+    with open(f"{tmp_dir}/out/app/ja.json", encoding="utf-8") as f:
+        assert f.read() == '{\n  "b": "1",\n  "a": {\n    "9": "y\u2028",\n    "10": "x"\n  }\n}\n'
+    back = S.read_catalogs(spark, f"{tmp_dir}/out")
+    assert rows(back.entries, "catalog", "lang", "key", "value") == [
+        (".", "en", "k", "v"), ("app", "ja", "a.10", "x"), ("app", "ja", "a.9", "y\u2028"), ("app", "ja", "b", "1"), ("deep/er #1%", "fr", "k", "w")]
+    # read, change and write to the same place: the old file is replaced when the new one is whole
+    S.write_catalogs(back.entries.where("catalog = 'app'").withColumn("value", F.upper("value")), f"{tmp_dir}/out")
+    again = S.read_catalogs(spark, f"{tmp_dir}/out").entries
+    assert ("app", "ja", "a.10", "X") in rows(again, "catalog", "lang", "key", "value") and again.count() == 5
+
+
+def test_a_failed_write_leaves_the_old_files(spark, tmp_dir):
+    S.write_catalogs(spark.createDataFrame([("app", "ja", "k", "old", 1)], E), f"{tmp_dir}/out")
+    bad = spark.createDataFrame([("app", "ja", "k", "new", 1)], E).withColumn(
+        "value", F.raise_error(F.lit("broken input")).cast("string"))
+    with pytest.raises(Exception, match="broken input"):
+        S.write_catalogs(bad, f"{tmp_dir}/out", check_conflicts=False)
+    twice = spark.createDataFrame([("app/ja.json", "1"), ("app/ja.json", "2")], "path string, content string").repartition(2, "content")
+    with pytest.raises(ValueError, match="more than once"):
+        tree.write_files(twice, f"{tmp_dir}/out")
+    assert rows(S.read_catalogs(spark, f"{tmp_dir}/out").entries, "value") == [("old",)]
+    assert [n for n in os.listdir(f"{tmp_dir}/out") if n.startswith(tree.STAGE)] == []
 
 
 def test_csv_and_json_imports(spark, tmp_dir):
@@ -106,4 +146,4 @@ def test_writing_one_language_leaves_the_others(spark, tmp_dir):
     row = lambda lang: spark.createDataFrame([("app", lang, "a.b", lang, 0)], "catalog string, lang string, key string, value string, ord long")
     files.write_catalogs(row("ja"), f"{tmp_dir}/out")
     files.write_catalogs(row("fr"), f"{tmp_dir}/out")
-    assert {r.lang for r in files.read_written_catalogs(spark, f"{tmp_dir}/out").collect()} == {"ja", "fr"}
+    assert {r.lang for r in files.read_catalog_files(spark, f"{tmp_dir}/out").collect()} == {"ja", "fr"}
