@@ -8,10 +8,16 @@ one, stays with its row. Every function takes and returns DataFrames.
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.order import on_side, step
 from ..functions.text import falsy, integer_like, json_string_literal
@@ -255,11 +261,9 @@ def key_intersection(a: DataFrame, b: DataFrame, keys=ENTRY_KEYS) -> DataFrame:
 
 
 # ---------------------------------------------------------------------------
-# P1 flatten nested catalogs (VARIANT typed, file order kept)
+# P1 flatten nested catalogs (each document parsed once, where it lies)
 # ---------------------------------------------------------------------------
 
-_OBJ_BIAS = 4294967296  # non-index member names sort after all index-like ones
-
 
 @dataclass
 class Flattened:
@@ -267,36 +271,56 @@ class Flattened:
     rejects: DataFrame
 
 
-def _members(frontier: DataFrame, ids: list[str]) -> DataFrame:
-    """One row per member of each object/array node in the frontier.
-
-    A single projection for both node kinds (no union), so the partition
-    count stays that of the frontier however deep the loop goes.
-    """
-    obj_s = F.map_from_entries(F.map_entries(F.from_json("text", "map<string,string>")))
-    obj_v = F.map_from_entries(F.map_entries(F.from_json("text", "map<string,variant>")))
-    arr_s = F.from_json("text", "array<string>")
-    arr_v = F.from_json("text", "array<variant>")
-    obj_members = F.arrays_zip(F.map_keys(obj_s).alias("k"), F.map_values(obj_s).alias("raw"),
-                               F.map_values(obj_v).alias("v"))
-    arr_members = F.arrays_zip(F.transform(arr_s, lambda x, i: i.cast("string")).alias("k"),
-                               arr_s.alias("raw"), arr_v.alias("v"))
-    is_obj = F.col("kind") == "OBJECT"
-    m = (frontier.select(*ids, "prefix", "ord", "kind",
-                         F.posexplode(F.when(is_obj, obj_members).otherwise(arr_members)).alias("pos", "m"))
-         .select(*ids, "prefix", "ord", "kind", "pos", "m.k", "m.raw", "m.v"))
-    sortkey = (F.when(is_obj & ~integer_like("k"), F.lit(_OBJ_BIAS) + F.col("pos"))
-               .otherwise(F.col("k").cast("bigint")))
-    full_key = F.when(F.col("prefix") == "", F.col("k")).otherwise(
-        F.concat(F.col("prefix"), F.lit("."), F.col("k")))
-    vtype = F.schema_of_variant(F.col("v"))
-    return m.select(*ids, full_key.alias("key"), "raw",
-                    F.concat(F.col("ord"), F.lpad(F.hex(sortkey), 12, "0")).alias("ord"),
-                    F.when(vtype == "STRING", "STRING")
-                    .when(vtype.startswith("OBJECT"), "OBJECT")
-                    .when(vtype.startswith("ARRAY"), "ARRAY")
-                    .when(vtype == "VOID", "NULL")
-                    .otherwise("SCALAR").alias("kind"))
+_INDEX = re.compile(r"0|[1-9][0-9]{0,9}")
+FLAT_ROWS = 20_000  # rows handed on at once
+
+
+def _index(name: str) -> int | None:
+    """The number of an array-index-like member name (see ``integer_like``), else None."""
+    return int(name) if _INDEX.fullmatch(name) and int(name) < 4294967295 else None
+
+
+def _members(node) -> list[tuple[str, object]]:
+    """Members in object order: index-like names ascending, then the others as they first came; array items by index."""
+    if isinstance(node, list):
+        return [(str(i), v) for i, v in enumerate(node)]
+    numbered = sorted((i, k) for k in node if (i := _index(k)) is not None)
+    return [(k, node[k]) for _, k in numbered] + [(k, v) for k, v in node.items() if _index(k) is None] if numbered else list(node.items())
+
+
+def _constant(name: str):
+    raise ValueError(f"{name} is no JSON")
+
+
+def _flat(text: str | None, max_depth: int) -> tuple[list[tuple[str, str]], str | None]:
+    """(key, value) of all string leaves in document order, or why the document is rejected."""
+    try:
+        root = json.loads(text or "", parse_int=lambda s: 0, parse_float=lambda s: 0, parse_constant=_constant)
+    except RecursionError:
+        return [], f"nested deeper than {max_depth}"
+    except ValueError:
+        root = None
+    if not isinstance(root, dict | list):
+        return [], "unparseable or not an object"
+    out, todo = [], [("", iter(_members(root)))]
+    while todo:
+        prefix, rest = todo[-1]
+        for name, value in rest:
+            key = f"{prefix}.{name}" if prefix else name
+            if isinstance(value, str):
+                out.append((key, value))
+            elif value is None:
+                return [], "null value"
+            elif isinstance(value, dict | list):
+                if len(todo) == max_depth:
+                    return [], f"nested deeper than {max_depth}"
+                todo.append((key, iter(_members(value))))
+                break
+        else:
+            todo.pop()
+    if "\\u" in text:  # escaped half characters, which no text can hold
+        out = [tuple(x.encode("utf-16", "surrogatepass").decode("utf-16", "replace") for x in kv) for kv in out]
+    return out, None
 
 
 def flatten_catalogs(files: DataFrame, ids=("catalog", "lang"), text_col: str = "json",
@@ -304,45 +328,41 @@ def flatten_catalogs(files: DataFrame, ids=("catalog", "lang"), text_col: str =
     """Nested JSON documents -> flat entries ``(ids..., key, value, ord)``.
 
     Depth-first key paths joined with '.'; string leaves become entries,
-    numbers and booleans vanish, arrays give index keys, a ``null`` anywhere
-    (or unparseable text) sends the whole document to ``rejects``. ``ord`` is
-    the document order (index-like names first), in the library's order type.
-    The loop runs once per nesting level; each level is written to the
-    shared folder (small plans, nothing recomputed), and the write itself
-    counts the nested members that decide whether another level is needed.
+    numbers and booleans vanish, arrays give index keys; a ``null`` anywhere,
+    unparseable text or nesting beyond ``max_depth`` sends the whole document
+    to ``rejects``. ``ord`` is the document order (index-like names first), in
+    the library's order type. A document is one row, so it is parsed and walked
+    once in the task that holds it; nothing is shuffled or written, and what
+    is asked for alone (entries or rejects) is what the scan gives.
     """
-    spark = files.sparkSession
-    spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
-    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     ids = list(ids)
-    root_t = F.schema_of_variant(F.try_parse_json(F.col(text_col)))
-    roots = files.select(*ids, F.col(text_col).alias("text"), root_t.alias("rt"))
-    rejects = [roots.where(F.col("rt").isNull() | ~(F.col("rt").startswith("OBJECT") | F.col("rt").startswith("ARRAY")))
-               .select(*ids, F.lit("unparseable or not an object").alias("reason"))]
-    frontier = roots.where(F.col("rt").startswith("OBJECT") | F.col("rt").startswith("ARRAY")).select(
-        *ids, F.lit("").alias("prefix"), F.lit("").alias("ord"), "text",
-        F.when(F.col("rt").startswith("OBJECT"), "OBJECT").otherwise("ARRAY").alias("kind"))
-    leaves = []
-    for level in range(max_depth):
-        m, seen = materialize_with_metrics(_members(frontier, ids), f"flatten-level{level}",
-                                           nested=F.count_if(F.col("kind").isin("OBJECT", "ARRAY")))
-        leaves.append(m.where(F.col("kind") == "STRING").select(*ids, "key", F.col("raw").alias("value"), "ord"))
-        rejects.append(m.where(F.col("kind") == "NULL").select(*ids, F.lit("null value").alias("reason")))
-        frontier = m.where(F.col("kind").isin("OBJECT", "ARRAY")).select(
-            *ids, F.col("key").alias("prefix"), "ord", F.col("raw").alias("text"), "kind")
-        if not seen["nested"]:
-            break
-    else:
-        raise ValueError(f"catalog nesting deeper than max_depth={max_depth}")
-    all_leaves = leaves[0]
-    for lv in leaves[1:]:
-        all_leaves = all_leaves.unionByName(lv)
-    all_rej = rejects[0]
-    for r in rejects[1:]:
-        all_rej = all_rej.unionByName(r)
-    bad = all_rej.select(*ids).distinct()
-    all_leaves = all_leaves.withColumn("ord", F.array(step(major=F.col("ord"))))
-    return Flattened(all_leaves.join(bad, ids, "left_anti"), all_rej)
+    flat = files.select(*ids, F.col(text_col).cast("string").alias("_text"))
+    schema = T.StructType([*flat.schema.fields[:-1], *(T.StructField(n, T.StringType()) for n in ("key", "value", "reason")),
+                           T.StructField("n", T.LongType())])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = to_arrow_schema(schema)
+
+        def made(batch, rows):
+            at = pa.array([r[0] for r in rows], pa.int64())
+            cols = [batch.column(i).take(at).cast(arrow.field(i).type) for i in range(len(ids))]
+            cols += [pa.array([r[j] for r in rows], arrow.field(len(ids) + j - 1).type) for j in range(1, 5)]
+            return pa.RecordBatch.from_arrays(cols, schema=arrow)
+
+        for batch in batches:
+            rows = []
+            for i, text in enumerate(batch.column(len(ids))):
+                leaves, reason = _flat(text.as_py(), max_depth)
+                rows += [(i, None, None, reason, 0)] if reason else [(i, k, v, None, n) for n, (k, v) in enumerate(leaves)]
+                if len(rows) >= FLAT_ROWS:
+                    yield made(batch, rows)
+                    rows = []
+            if rows:
+                yield made(batch, rows)
+
+    out = flat.mapInArrow(walk, schema)
+    return Flattened(out.where("reason is null").select(*ids, "key", "value", F.array(step(minor=F.col("n"))).alias("ord")),
+                     out.where("reason is not null").select(*ids, "reason"))
 
 
 # ---------------------------------------------------------------------------

@@ -14,6 +14,7 @@ themselves. Here
 
 from __future__ import annotations
 
+import contextlib
 import os
 import re
 import uuid
@@ -135,32 +136,49 @@ def write_files(files: DataFrame, root: str) -> int:
     occurs twice is an error, found before any file is replaced.
     """
     spark = files.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    new_path = jvm.org.apache.hadoop.fs.Path
+    new_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     stage = f"{root.rstrip('/')}/{STAGE}{uuid.uuid4().hex}"
-    fs = new_path(root).getFileSystem(conf)
+    fs = new_path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     try:
         files.select(F.col("path").alias("place"), "content").write.partitionBy("place").text(stage)
         moves = []
-        for folder in fs.listStatus(new_path(stage)):
-            name = folder.getPath().getName()
-            if not name.startswith("place="):
+        for folder in _names(fs, new_path, stage):
+            if not folder.startswith("place="):
                 continue
-            parts = [p.getPath() for p in fs.listStatus(folder.getPath()) if not p.getPath().getName().startswith((".", "_"))]
-            place = re.sub("%([0-9A-Fa-f]{2})", lambda m: chr(int(m[1], 16)), name[len("place="):])
+            parts = [n for n in _names(fs, new_path, f"{stage}/{folder}") if not n.startswith((".", "_"))]
+            place = re.sub("%([0-9A-Fa-f]{2})", lambda m: chr(int(m[1], 16)), folder[len("place="):])
             if len(parts) != 1:
                 raise ValueError(f"{place} occurs more than once")
-            moves.append((parts[0], new_path(f"{root.rstrip('/')}/{place}")))
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf)
-        over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-
-        def place_one(move):
-            fs.mkdirs(move[1].getParent())
-            context.rename(fs.makeQualified(move[0]), fs.makeQualified(move[1]), over)
-
+            moves.append((f"{stage}/{folder}/{parts[0]}", f"{root.rstrip('/')}/{place}"))
         with ThreadPoolExecutor(16) as pool:  # renames only: no content passes here
-            list(pool.map(place_one, moves))
+            list(pool.map(_renamer(spark, fs), moves))
         return len(moves)
     finally:
         fs.delete(new_path(stage), True)
+
+
+def _names(fs, new_path, folder: str) -> list[str]:
+    if is_local_path(folder):
+        return os.listdir(local_fs_path(folder))
+    return [f.getPath().getName() for f in fs.listStatus(new_path(folder))]
+
+
+def _renamer(spark: SparkSession, fs):
+    """A function that puts a file in the place of another, in one step."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def place_local(move):
+        source, target = map(local_fs_path, move)
+        os.makedirs(os.path.dirname(target), exist_ok=True)
+        with contextlib.suppress(FileNotFoundError):  # Hadoop's checksum of an older file
+            os.remove(os.path.join(os.path.dirname(target), f".{os.path.basename(target)}.crc"))
+        os.replace(source, target)
+
+    def place(move):
+        source, target = (fs.makeQualified(jvm.org.apache.hadoop.fs.Path(p)) for p in move)
+        fs.mkdirs(target.getParent())
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(source, target, over)
+
+    over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    return place_local if str(fs.getUri()).startswith("file:") else place

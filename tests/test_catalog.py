@@ -146,3 +146,19 @@ def test_nest_flatten_control_and_line_separator_characters(spark):
     e = entries(spark, [(f"k{i}", v) for i, v in enumerate(vals)])
     back = C.flatten_catalogs(C.nest_catalogs(e)).entries
     assert rows(back, "key", "value") == sorted((f"k{i}", v) for i, v in enumerate(vals))
+
+
+def test_flatten_edge_documents(spark):
+    deep = lambda n: '{"a":' * n + '"x"' + "}" * n
+    docs = {"dup": '{"b": "1", "a": {"x": "y"}, "b": {"c": "2"}}', "half": '{"k": "\\ud83d\\ude00 \\ud800"}', "nan": '{"k": NaN}', "bom": '﻿{"k": "v"}',
+            "edge": deep(64), "deep": deep(65), "abyss": deep(100_000), "big": '{"n": ' + "9" * 5000 + ', "k": "v"}', "null": None,
+            "ids": '{"4294967295": "late", "4294967294": "max", "007": "text", "7": "num"}', "empty": "{}", "text": '"x"'}
+    f = C.flatten_catalogs(spark.createDataFrame(list(docs.items()), "catalog string, json string"), ids=["catalog"])
+    got = {}
+    for r in f.entries.orderBy("catalog", "ord").collect():
+        got.setdefault(r.catalog, []).append((r.key, r.value))
+    assert got == {"dup": [("b.c", "2"), ("a.x", "y")], "half": [("k", "\U0001F600 �")], "edge": [(".".join("a" * 64), "x")], "big": [("k", "v")],
+                   "ids": [("7", "num"), ("4294967294", "max"), ("4294967295", "late"), ("007", "text")]}
+    assert {r.catalog: r.reason for r in f.rejects.collect()} == {
+        "nan": "unparseable or not an object", "bom": "unparseable or not an object", "null": "unparseable or not an object",
+        "text": "unparseable or not an object", "deep": "nested deeper than 64", "abyss": "nested deeper than 64"}
