@@ -37,26 +37,33 @@ from pyspark.sql import functions as F
 from linguaspark.llm.common import pick, returning
 
 SPACE = "▁"
-REMEMBERED = 150_000  # units and piece pairs kept in a task (about 40 and 30 MB)
+REMEMBERED = 100_000  # units, and piece pairs, in each of the two generations a task keeps (about 20 and 15 MB)
 
 
 class _Known(dict):
-    """Ids of the units met so far, up to a number."""
+    """Ids of the units met lately: those of this generation, and of the one before, which a unit met again leaves."""
 
     def __init__(self, pieces: Pieces):
-        self.pieces = pieces
+        self.pieces, self.before = pieces, {}
 
     def __missing__(self, unit: str) -> bytes:
-        got = self.pieces.ids(unit)
-        if len(self) < REMEMBERED:
-            self[unit] = got
+        got = self.before.get(unit)
+        if got is None:
+            got = self.pieces.ids(unit)
+        if len(self) >= REMEMBERED:
+            self.before = dict(self)
+            self.clear()
+        self[unit] = got
         return got
 
 
 class Pieces:
-    """Encoder and decoder for one model (vocabulary, scores and piece types are read from it)."""
+    """Encoder and decoder for one model (vocabulary, scores and piece types are read from it).
+
+    ``reachable``, one byte a piece, spares the search for the reachable pieces; another instance has it.
+    """
 
-    def __init__(self, model: bytes):
+    def __init__(self, model: bytes, reachable: bytes | None = None):
         import ahocorasick
         import sentencepiece
         lib = sentencepiece.SentencePieceProcessor(model_proto=model)
@@ -70,12 +77,18 @@ class Pieces:
         self.bytes_of = [b"" if lib.is_control(i) else " ⁇ ".encode() if i == self.unknown
                          else bytes([int(names[i][3:-1], 16)]) if lib.is_byte(i)
                          else names[i].replace(SPACE, " ").encode() for i in range(n)]
-        self.apart: dict[str, bool] = {}
+        self.id_bytes = {p: struct.pack("<I", i) for p, i in self.id.items()}
+        self.fit: dict[str, dict[str, str]] = {}  # by the piece before; two generations, as of units
+        self.fit_before: dict[str, dict[str, str]] = {}
+        self.n_fit = 0
         self.known = _Known(self)
         # reachable pieces: those that re-merging their own text gives back
         # (pieces are searched from the right, so one pass tells the longest that starts at each place)
         self.finder = ahocorasick.Automaton()
-        reachable = {p for p in self.id if len(p) == 1 or self.merge(p) == [p]}
+        if reachable is None:
+            reachable = bytes(p in self.id and (len(p) == 1 or self.merge(p) == [p]) for p in names)
+        self.reachable = reachable
+        reachable = {p for p, i in self.id.items() if reachable[i]}
         for p in reachable:
             self.finder.add_word(p[::-1], len(p))
         self.finder.make_automaton()
@@ -98,8 +111,19 @@ class Pieces:
     def merge(self, text: str) -> list[str]:
         """Plain merging: the best-scored pair first, the leftmost of equals."""
         n = len(text)
-        if n < 2:
-            return list(text)
+        if n <= 64:  # few pairs: their scores in a list, without a heap
+            get, none = self.score.get, float("-inf")
+            few = list(text)
+            pairs = [get(a + b, none) for a, b in zip(few, few[1:])]
+            while pairs and (most := max(pairs)) != none:
+                i = pairs.index(most)
+                few[i] += few.pop(i + 1)
+                del pairs[i]
+                if i:
+                    pairs[i - 1] = get(few[i - 1] + few[i], none)
+                if i < len(pairs):
+                    pairs[i] = get(few[i] + few[i + 1], none)
+            return few
         part: list[str | None] = list(text)
         left, right = list(range(-1, n - 1)), [*range(1, n), -1]
         score, heap = self.score, []
@@ -122,14 +146,21 @@ class Pieces:
             offer(i, right[i])
         return [p for p in part if p is not None]
 
-    def stay_apart(self, a: str, b: str) -> bool:
-        """Whether re-merging the joined text of two pieces gives the two again."""
-        pair = f"{a}\n{b}"
-        got = self.apart.get(pair)
+    def fitting(self, last: str, piece: str) -> str:
+        """The longest of ``piece`` and the shorter pieces that start alike which re-merging keeps apart from ``last``; "" if none."""
+        got = self.fit_before.get(last, {}).get(piece)
         if got is None:
-            got = self.merge(a + b) == [a, b]
-            if len(self.apart) < REMEMBERED:
-                self.apart[pair] = got
+            if self.merge(last + piece) == [last, piece]:
+                got = piece
+            else:
+                shorter = self.shorter.get(piece)
+                got = self.fit.get(last, {}).get(shorter) if shorter else ""
+                if got is None:
+                    got = self.fitting(last, shorter)
+        if self.n_fit >= REMEMBERED:
+            self.fit_before, self.fit, self.n_fit = self.fit, {}, 0
+        self.fit.setdefault(last, {})[piece] = got
+        self.n_fit += 1
         return got
 
     def backtrack(self, unit: str) -> list[str]:
@@ -137,35 +168,40 @@ class Pieces:
         n = len(unit)
         if n == 0:
             return []
-        longest, seen = [1] * n, -1
-        for at, size in self.finder.iter(unit[::-1]):  # longest first at each place
-            if at != seen:
-                seen = at
-                longest[n - 1 - at] = size
+        # (place, size) of all pieces, longest first at each place: reversed, so that the longest stays
+        longest = dict(list(self.finder.iter(unit[::-1]))[::-1])
         failed = bytearray((n >> 3) + 1)  # the bitfield: one bit for each place
-        shorter, apart = self.shorter, self.apart
+        some_failed = False
+        fit, size, shorter = self.fit, longest.get, self.shorter
         done: list[str] = []
         at, last = 0, ""
-        piece = unit[:longest[0]]
+        piece = unit[:size(n - 1, 1)]
         while True:
+            near = fit.get(last) if last else None
             while piece:
+                if last:
+                    fits = near.get(piece) if near else None
+                    piece = self.fitting(last, piece) if fits is None else fits
+                    if not piece:
+                        break
                 to = at + len(piece)
-                if not failed[to >> 3] >> (to & 7) & 1 and (not last or (ok := apart.get(f"{last}\n{piece}")) or
-                                             ok is None and self.stay_apart(last, piece)):
+                if not some_failed or not failed[to >> 3] >> (to & 7) & 1:
                     break
-                piece = shorter.get(piece, "")
+                piece = shorter.get(piece)
             if piece:
                 done.append(piece)
                 if to == n:
                     return done
                 last, at = piece, to
-                piece = unit[at:at + longest[at]]
+                piece = unit[at:at + size(n - 1 - at, 1)]
             else:
                 failed[at >> 3] |= 1 << (at & 7)
+                some_failed = True
                 last = done.pop()
                 at -= len(last)
-                piece = shorter.get(last, "")
+                piece = shorter.get(last)
                 last = done[-1] if done else ""
+            fit = self.fit
 
     def _spaces(self, unit: str) -> list[str]:
         """A unit that begins with two or more space marks."""
@@ -180,14 +216,13 @@ class Pieces:
 
     def ids(self, unit: str) -> bytes:
         """Ids of a unit as little-endian unsigned 32-bit integers."""
-        out: list[int] = []
-        for p in self._spaces(unit) if unit.startswith(SPACE * 2) else self.backtrack(unit):
-            i = self.id.get(p)
-            if i is not None:
-                out.append(i)
-            else:
-                out += [self.byte_id[b] for b in p.encode()] if self.byte_id else [self.unknown]
-        return struct.pack(f"<{len(out)}I", *out)
+        parts = self._spaces(unit) if unit.startswith(SPACE * 2) else self.backtrack(unit)
+        known = self.id_bytes
+        try:
+            return b"".join([known[p] for p in parts])
+        except KeyError:  # characters without a piece
+            rest = {p: [self.byte_id[b] for b in p.encode()] if self.byte_id else [self.unknown] for p in parts if p not in known}
+            return b"".join([known.get(p) or struct.pack(f"<{len(rest[p])}I", *rest[p]) for p in parts])
 
     def encode(self, text: str | None) -> bytes:
         """Begin id, ids of the text, end id."""
@@ -217,8 +252,8 @@ def _unit_pattern(within: set[str]) -> re.Pattern:
 
 
 @lru_cache(maxsize=2)
-def _pieces(model: bytes) -> Pieces:
-    return Pieces(model)
+def _pieces(model: bytes, reachable: bytes | None = None) -> Pieces:
+    return Pieces(model, reachable)
 
 
 def encode(df: DataFrame, model: str, text: str = "text", keep: dict[str, str] | None = None,
@@ -233,14 +268,15 @@ def encode(df: DataFrame, model: str, text: str = "text", keep: dict[str, str] |
     """
     keep = keep if keep is not None else {"doc_id": "doc_id"}
     with open(model, "rb") as f:
-        shared = df.sparkSession.sparkContext.broadcast(f.read())
+        proto = f.read()
+    shared = df.sparkSession.sparkContext.broadcast((proto, Pieces(proto).reachable))
     schema = "n_tokens long, ids_sha256 string, decoded_sha256 string" + \
              ", ids binary" * with_ids + ", decoded string" * with_text
 
     @F.pandas_udf(schema)
     @returning
     def coded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        pieces = _pieces(shared.value)
+        pieces = _pieces(*shared.value)
         for texts in batches:
             rows = []
             for t in texts:
