@@ -31,12 +31,13 @@ from; other columns are not read, clashing names are resolved as in ``pick``.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linguaspark.llm.common import cut_lineage, pick, returning
@@ -148,8 +149,9 @@ def fit(texts: list[str], toxic: np.ndarray, dim: int = 16, steps: int = 60, rat
     words = [tokens(t) for t in texts]
     some = [i for i, w in enumerate(words) if w]
     number: dict[str, int] = {}
-    seq = np.array([number.setdefault(w, len(number)) for i in some for w in words[i]], np.int64)
     size = np.array([len(words[i]) for i in some], np.int64)
+    seq = np.fromiter((number.setdefault(w, len(number)) for i in some for w in words[i]), np.int32, int(size.sum()))
+    del words, texts
     y = np.asarray(toxic, np.float64)[some]
     starts = np.cumsum(size) - size
     first, end = _window_ends(starts, len(seq))
@@ -157,7 +159,8 @@ def fit(texts: list[str], toxic: np.ndarray, dim: int = 16, steps: int = 60, rat
     count = np.diff(np.append(at, len(first)))
     text = np.repeat(np.arange(len(some)), count)
     cells, grams = grams_of(list(number))
-    owner = np.repeat(np.arange(len(number)), grams)
+    cells = cells.astype(np.int32)
+    owner = np.repeat(np.arange(len(number), dtype=np.int32), grams)
     share = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))[text]  # both classes weigh alike
     even, wanted = 1 / count[text], y[text]
 
@@ -199,23 +202,22 @@ def fit(texts: list[str], toxic: np.ndarray, dim: int = 16, steps: int = 60, rat
 
 
 def learning_rows(docs: DataFrame, labels: DataFrame, learn: Column, n_toxic: int, n_clean: int, max_chars: int) -> DataFrame:
-    """The bounded sample: (toxic, n, text). ``docs`` has id, text; ``labels`` has id, toxic."""
+    """The bounded sample: (toxic, h, text), h the hash it was chosen by. ``docs`` has id, text; ``labels`` has id, toxic."""
     marked = labels.where(learn & F.col("toxic").isin(0, 1)).groupBy("id").agg(F.max("toxic").alias("toxic"))
     h = F.xxhash64(F.lit(12), "id", "text")
     short = docs.where(learn & F.col("text").isNotNull() & (F.length("text") <= max_chars)).select("id", h.alias("h"))
-    w = Window.partitionBy("toxic").orderBy("h")
-    chosen = (short.join(marked, "id").withColumn("n", F.row_number().over(w))
-              .where(F.col("n") <= F.when(F.col("toxic") == 1, n_toxic).otherwise(n_clean))
-              .select("id", "h", "toxic", "n"))
-    chosen = cut_lineage(chosen.withColumnRenamed("h", "hh"), "toxicity-sample")  # bounded rows of numbers
+    found = short.join(marked, "id")
+    chosen = functools.reduce(DataFrame.unionByName, [  # each task hands on its least rows only
+        found.where(F.col("toxic") == c).orderBy("h", "id").limit(n) for c, n in ((1, n_toxic), (0, n_clean))])
+    chosen = cut_lineage(chosen.select("id", F.col("h").alias("hh"), "toxic"), "toxicity-sample")  # bounded rows of numbers
     return (docs.withColumn("h", h).join(F.broadcast(chosen), ["id"]).where("h = hh")
-            .dropDuplicates(["toxic", "n"]).select("toxic", "n", "text"))
+            .dropDuplicates(["id", "h"]).select("toxic", "h", "text"))
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, n_toxic: int = 1000, n_clean: int = 2000, max_chars: int = 8000,
           **options) -> Model | None:
     """Fit on the sample of labelled rows where ``learn`` (over id) holds; None unless both classes occur."""
-    got = learning_rows(docs, labels, learn, n_toxic, n_clean, max_chars).toPandas().sort_values(["toxic", "n"])
+    got = learning_rows(docs, labels, learn, n_toxic, n_clean, max_chars).toPandas().sort_values(["toxic", "h"])
     got = got[got["text"].str.strip() != ""]
     if set(got["toxic"]) != {0, 1}:
         return None
