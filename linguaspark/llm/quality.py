@@ -105,26 +105,24 @@ def votes(x: np.ndarray | None) -> str:
     return "0" * len(LABELLERS) if x is None else "".join(str(f.vote(x)) for f in LABELLERS)
 
 
-def estimate(patterns: dict[str, int], rounds: int = 60, trust: float = 0.9, strength: float = 1.0) -> np.ndarray:
+def estimate(patterns: dict[str, int], rounds: int = 100, trust: float = 0.9, prior_votes: float = 10.0) -> np.ndarray:
     """Expectation-maximisation: the accuracy of each labeller, given that it votes.
 
     Votes are taken as independent given the class, the classes as equally
-    likely before any vote. A labeller's own votes count ``1`` against
-    ``strength`` for the prior opinion that it is right in ``trust`` of them
-    (several kinds of bad text overlap little, so agreement alone tells
-    little about a labeller of one kind).
+    likely before any vote. The prior opinion is that of ``prior_votes`` votes
+    of which a labeller was right in ``trust``, however many votes there are;
+    it steadies labellers that hardly vote and washes out for the others.
     """
     accuracy = np.full(len(LABELLERS), trust)
     if not patterns:
         return accuracy
     v = np.array([[int(c) for c in p] for p in patterns])
     n = np.array(list(patterns.values()), float)
+    cast = ((v > 0) * n[:, None]).sum(0)
     for _ in range(rounds):
         good = posterior(v, accuracy)
         right = np.where(v == 1, good[:, None], 0) + np.where(v == 2, 1 - good[:, None], 0)
-        cast = ((v > 0) * n[:, None]).sum(0)
-        accuracy = ((right * n[:, None]).sum(0) + strength * trust * cast + trust) / ((1 + strength) * cast + 1)
-        accuracy = np.clip(accuracy, 0.5, 0.999)
+        accuracy = np.clip(((right * n[:, None]).sum(0) + prior_votes * trust) / (cast + prior_votes), 0.5, 0.999)
     return accuracy
 
 

@@ -47,8 +47,8 @@ DIGEST = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 IDENTIFIER = re.compile(
     r"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}"  # UUID
     r"|[0-9_+/=-]+"                                                                  # numbers, dates, rules
-    r"|(?:[A-Za-z]+[0-9]{0,4}[_/=+-]+)+[A-Za-z]*[0-9]{0,4}"                          # words_joined-like/this
-    r"|[A-Z]+[0-9]{0,4}")                                                            # constants in capitals
+    r"|(?:[A-Za-z]+[0-9]{0,4}[_/=+-]+)+[A-Za-z]*[0-9]{0,4}")                         # words_joined-like/this
+CONSTANT = re.compile(r"[A-Z]+[0-9]{0,4}")  # capitals: the vocabulary knows words in small letters, so these are judged so
 # UUIDs and digests between separators: parts on either side are judged without them
 SET_ASIDE = re.compile(r"(?<![A-Za-z0-9])(?:[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}"
                        + "".join(f"|[0-9a-f]{{{n}}}|[0-9A-F]{{{n}}}" for n in sorted(DIGEST_LENGTHS)) + ")(?![A-Za-z0-9])")
@@ -63,6 +63,8 @@ def _encoder(ranks_file: bytes, pattern: str):
 
 
 def n_tokens(run: str, encoder) -> int:
+    if CONSTANT.fullmatch(run):
+        run = run.lower()
     return sum(len(encoder.encode_ordinary(run[i:i + WINDOW])) for i in range(0, len(run), WINDOW))
 
 

@@ -7,9 +7,11 @@ function) and lays the buckets of a shard end to end.
 
 The shard follows the ``key`` law: only the id and the number of shards
 decide. Each (id, shard) pair has a hash, and the shard with the greatest
-one wins, so one more shard takes rows only into itself. The bucket within
-the shard comes from another hash over id and text, so many rows of one id
-spread over the buckets of their shard.
+one wins, so one more shard takes rows only into itself. A shard has as many
+buckets as its counted bytes need; the bucket comes from another hash over all
+columns, so many rows of one id spread over the buckets of their shard. Rows
+equal in every column that fill a good part of a bucket (counted) are spread
+by their place in the input instead, as nothing else tells them apart.
 
 Defined cases: a null id is an id like any other; a null or empty text is
 a record of size 1 (UTF-8 bytes plus 1); repeated rows are records of their
@@ -59,17 +61,27 @@ def shuffle_shards(df: DataFrame, n_shards: int, key: str = "doc_id", text: str
             kept.append(c)
     src = pick(df, **{f"r{i}": c for i, c in enumerate(kept)}, key=key, text=text)
 
-    total = src.agg(F.coalesce(F.sum(record_size(F.col("text"))), F.lit(0)).alias("b")).first()["b"]
-    n_buckets = max(1, math.ceil(total / n_shards / bucket_bytes))
+    # bytes of each shard, and of rows that are equal in all that can be hashed
+    hashable = [f"r{i}" for i in range(len(kept)) if not any(x in src.schema[f"r{i}"].dataType.simpleString() for x in ("map<", "variant"))]
+    src = src.select(shard_of(F.col("key"), n_shards, seed).alias("shard"), shard_of(F.col("key"), n_shards + 1, seed).alias("grown_shard"),
+                     F.xxhash64(F.lit(seed + 1), "key", "text", *hashable).alias("h"), record_size(F.col("text")).alias("size"),
+                     *[f"r{i}" for i in range(len(kept))])
+    sized = cut_lineage(src.groupBy("shard", "h").agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n")), "shard-sizes")
+    n_buckets = [1] * n_shards
+    for r in sized.groupBy("shard").agg(F.sum("b").alias("b")).collect():  # at most n_shards rows
+        n_buckets[r["shard"]] = max(1, math.ceil(r["b"] / bucket_bytes))
+    first_bucket = [sum(n_buckets[:i]) for i in range(n_shards)]
+    hot = sized.where((F.col("n") > 1) & (F.col("b") > bucket_bytes / 4)).select(F.col("shard").alias("hs"), F.col("h").alias("hh"))  # at most 4 a bucket
 
     # pass one: scatter. The bucket number is the partition number, so a task holds one bucket.
-    placed = src.select(
-        shard_of(F.col("key"), n_shards, seed).alias("shard"),
-        shard_of(F.col("key"), n_shards + 1, seed).alias("grown_shard"),
-        F.pmod(F.xxhash64(F.lit(seed + 1), "key", "text"), F.lit(n_buckets)).cast("int").alias("part"),
+    own = F.element_at(F.array(*[F.struct(F.lit(n).alias("n"), F.lit(f).alias("first")) for n, f in zip(n_buckets, first_bucket, strict=True)]),
+                       F.col("shard") + 1)
+    placed = src.withColumn("row", F.monotonically_increasing_id()).join(
+        F.broadcast(hot), (F.col("shard") == F.col("hs")) & (F.col("h") == F.col("hh")), "left")
+    spread = F.when(F.col("hh").isNull(), F.col("h")).otherwise(F.xxhash64("h", "row"))
+    placed = placed.withColumn("own", own).select(
+        "shard", "grown_shard", "h", (F.col("own.first") + F.pmod(spread, F.col("own.n")).cast("int")).alias("bucket"),
         *[f"r{i}" for i in range(len(kept))])
-    placed = placed.withColumn("bucket", F.col("shard") * n_buckets + F.col("part"))
-    hashable = [f"r{i}" for i in range(len(kept)) if "map<" not in placed.schema[f"r{i}"].dataType.simpleString()]
     counts = placed.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = cut_lineage(counts.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")),
@@ -77,8 +89,8 @@ def shuffle_shards(df: DataFrame, n_shards: int, key: str = "doc_id", text: str
 
     # pass two: permute each bucket
     record = F.struct("shard", "grown_shard", *[f"r{i}" for i in range(len(kept))])
-    shuffled = (placed.select("bucket", F.xxhash64(F.lit(seed + 2), "part", *hashable).alias("o"), record.alias("r"))
-                .repartitionById(n_shards * n_buckets, F.col("bucket"))
+    shuffled = (placed.select("bucket", F.xxhash64(F.lit(seed + 2), "h").alias("o"), record.alias("r"))
+                .repartitionById(sum(n_buckets), F.col("bucket"))
                 .groupBy("bucket")
                 .agg(F.shuffle(F.array_sort(F.collect_list(F.struct("o", "r")), _by_hash), seed).alias("rows")))
     out = (shuffled.join(F.broadcast(starts), "bucket")

@@ -82,6 +82,29 @@ def test_sharding_odd_rows(spark, odd, tmp_path):
     assert sharding.write_shards(odd, str(tmp_path / "s"), 4).count() == len(ODD)
 
 
+def test_sharding_equals_its_law(spark, docs):
+    """Size, crc32 and both shards recomputed; with xxhash64 of the xxhash library."""
+    import zlib
+    got = {r.doc_id: r for r in queries.op1_sharding(spark, SF).collect()}
+    for r in docs.collect():
+        raw = (r.text or "").encode()
+        assert (got[r.doc_id]["size"], got[r.doc_id].text_crc32, got[r.doc_id].law) == (len(raw) + 1, zlib.crc32(raw), "key")
+    for n, col in ((16, "shard"), (17, "grown_shard")):
+        hashes = docs.select("doc_id", *[F.xxhash64(F.lit(17), F.lit(s), "doc_id").alias(f"s{s}") for s in range(n)]).collect()
+        assert all(got[h.doc_id][col] == max(range(n), key=lambda s: h[f"s{s}"]) for h in hashes)
+
+
+def test_sharding_hot_id_and_equal_rows(spark):
+    """A third of the rows share one id, half of these are equal in everything: no bucket is far over its size."""
+    text = "x" * 99
+    rows = [(7, text, i) for i in range(3500)] + [(7, text, -1)] * 3500 + [(i, text, i) for i in range(100, 13100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, extra int").selectExpr("*", "parse_json('[1]') as v", "map(1, 2) as m")
+    p = sharding.shuffle_shards(df, 4, bucket_bytes=20_000).select("doc_id", "shard", "bucket", "slot").toPandas()
+    assert len(p) == len(rows) and p.groupby("bucket").size().max() <= 2 * 200
+    assert all(sorted(g) == list(range(len(g))) for _, g in p.groupby("shard").slot)
+    assert p[p.doc_id == 7]["shard"].nunique() == 1
+
+
 # ------------------------------------------------------------------ secrets
 
 def brute_spans(text):
@@ -140,6 +163,16 @@ def test_secrets_key_in_long_runs(spark):
     assert [r.n_random for r in got[6:]] == [0] * 5
 
 
+def test_secrets_in_capitals(spark):
+    """Random capitals are found, words in capitals are not."""
+    rng = random.Random(8)
+    keys = ["".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(rng.randint(24, 64))) for _ in range(100)]
+    plain_words = ["CONFIGURATIONMANAGEMENT", "INTERNATIONALIZATION", "AUTHENTICATIONPROVIDER", "RESPONSIBILITIES2024"]
+    got = scan(spark.createDataFrame(list(enumerate(keys + plain_words)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert sum(r.n_random > 0 for r in got[:100]) >= 95
+    assert [r.n_random for r in got[100:]] == [0] * 4
+
+
 def test_best_parts_equal_brute_force():
     rng = random.Random(6)
     for _ in range(300):
@@ -293,6 +326,17 @@ def test_quality_against_labels(spark, docs):
     assert np.mean([got[i] == bool(q) for i, q in labels.items()]) > 0.95
 
 
+def test_accuracies_of_known_voters_are_found():
+    rng = np.random.default_rng(5)
+    truth = np.array([0.95, 0.6, 0.9, 0.7, 0.8, 0.65, 0.85, 0.75, 0.92])
+    for n in (20_000, 200_000):
+        good = rng.random(n) < 0.5
+        right = rng.random((n, 9)) < truth
+        v = np.where(rng.random((n, 9)) < 0.3, 0, np.where(right == good[:, None], 1, 2))
+        got = quality.estimate(Counter("".join(map(str, row)) for row in v.tolist()))
+        assert np.abs(got - truth).max() < 0.03
+
+
 def test_quality_odd_rows(odd):
     got = {r.doc_id: r.score for r in quality.score(odd).collect()}
     assert got[1] == got[2] == got[3] == 0 and len(got) == 8
