@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import col_, falsy, js_trim
+from ..session import cut_lineage, path_exists
 
 # ---------------------------------------------------------------------------
 # Prompt texts and reply markers that must match the reference's.
@@ -127,7 +128,7 @@ def mock_review_reply(current) -> Column:
 
 
 def _python_call(df: DataFrame, fn: Callable[[list[str]], list[str]], prompt_col: str,
-                 out_col: str, max_parallel: int | None) -> DataFrame:
+                 out_col: str, max_parallel: int | None, at_once: int) -> DataFrame:
     schema = T.StructType(list(df.schema.fields) + [T.StructField(out_col, T.StringType()),
                                                     T.StructField("error", T.StringType())])
     if max_parallel:
@@ -137,37 +138,84 @@ def _python_call(df: DataFrame, fn: Callable[[list[str]], list[str]], prompt_col
         for pdf in batches:
             prompts = pdf[prompt_col].tolist()
             replies, errors = [None] * len(prompts), [None] * len(prompts)
-            try:
-                got = list(fn(prompts))
-                if len(got) != len(prompts):
-                    raise ValueError("provider returned a different number of replies")
-                replies = [None if r is None else str(r).strip() for r in got]
-            except Exception:  # isolate rows: retry one by one
-                for i, p in enumerate(prompts):
-                    try:
-                        r = fn([p])[0]
-                        replies[i] = None if r is None else str(r).strip()
-                    except Exception as e:  # noqa: BLE001 - row failure is data
-                        errors[i] = f"{type(e).__name__}: {e}"
+            todo = [(i, min(i + at_once, len(prompts))) for i in range(0, len(prompts), at_once)][::-1]
+            while todo:
+                lo, hi = todo.pop()
+                try:
+                    got = list(fn(prompts[lo:hi]))
+                    if len(got) != hi - lo:
+                        raise ValueError("provider returned a different number of replies")
+                    replies[lo:hi] = [None if r is None else str(r).strip() for r in got]
+                except Exception as e:  # noqa: BLE001  halve until the failing row stands alone: its failure is data
+                    if hi - lo == 1:
+                        errors[lo] = f"{type(e).__name__}: {e}"
+                    else:
+                        mid = (lo + hi) // 2
+                        todo += [(mid, hi), (lo, mid)]
             yield pdf.assign(**{out_col: replies, "error": errors})
 
     return df.mapInPandas(run, schema)
 
 
 def call_provider(df: DataFrame, provider, prompt_col: str = "prompt", out_col: str = "reply",
-                  max_parallel: int | None = None) -> DataFrame:
+                  max_parallel: int | None = None, at_once: int = 256) -> DataFrame:
     """Add ``out_col`` (the reply) and ``error`` (null when the call succeeded).
 
     ``provider`` is a function of the frame's columns returning a reply
     column (expression provider: tag it with ``provider.expression = True``),
     or a Python batch callable run in ``mapInPandas``. ``max_parallel``
-    caps concurrent provider calls (one task per slot).
+    caps concurrent provider calls (one task per slot), ``at_once`` the
+    prompts of one call; a call that fails is repeated in halves.
     """
     if getattr(provider, "expression", False):
         err = provider.error(df) if provider.error else F.lit(None).cast("string")
         return (df.withColumn("error", err)
                 .withColumn(out_col, F.when(F.col("error").isNull(), provider(df))))
-    return _python_call(df, provider, prompt_col, out_col, max_parallel)
+    return _python_call(df, provider, prompt_col, out_col, max_parallel, at_once)
+
+
+def call_durably(df: DataFrame, provider, ledger: str, prompt_col: str = "prompt", out_col: str = "reply",
+                 slices: int = 16, attempts: int = 3, **options) -> DataFrame:
+    """``call_provider`` through a ledger: a prompt that was answered once is never sent again.
+
+    The ledger is a table of (prompt_hash, reply, error) in the folder
+    ``ledger``, which outlives the run. Distinct prompts without an answer
+    there are cut into ``slices`` by hash; each slice is called and written
+    before the next, so a run that is broken off loses one slice at most and
+    the next run goes on from there. A slice whose job fails is tried
+    ``attempts`` times by itself. Failed prompts are kept with their error and
+    sent again by the next run. Equal prompts share one call. The hash is
+    SHA-256 of the prompt: use one ledger for one provider. A null prompt is
+    never sent; its error is 'no prompt'.
+    """
+    if getattr(provider, "expression", False):  # computed, not called
+        return call_provider(df, provider, prompt_col, out_col, **options)
+    spark = df.sparkSession
+    schema = "prompt_hash string, reply string, error string, at long"
+
+    def read() -> DataFrame:
+        return spark.read.schema(schema).parquet(ledger) if path_exists(spark, ledger) else spark.createDataFrame([], schema)
+
+    answered = read().where("error is null").select("prompt_hash").distinct()
+    prompts = (with_prompt_hash(df.select(F.col(prompt_col).alias("prompt")).where("prompt is not null").distinct())
+               .join(answered, "prompt_hash", "left_anti")
+               .withColumn("slice", F.pmod(F.xxhash64("prompt_hash"), F.lit(slices)).cast("int")))
+    todo = cut_lineage(prompts, "prompts")
+    for row in todo.select("slice").distinct().orderBy("slice").collect():  # at most ``slices`` rows
+        part = todo.where(F.col("slice") == row["slice"])
+        for attempt in range(attempts):
+            try:
+                called = call_provider(part, provider, "prompt", "reply", **options)
+                (called.select("prompt_hash", "reply", "error", F.unix_micros(F.current_timestamp()).alias("at"))
+                 .write.mode("append").parquet(ledger))
+                break
+            except Exception:  # the job of this slice: nothing of it was written
+                if attempt == attempts - 1:
+                    raise
+    best = read().groupBy("prompt_hash").agg(F.max_by(F.struct("reply", "error"), F.struct(F.col("error").isNull(), "at")).alias("_r"))
+    out = with_prompt_hash(df, prompt_col).join(best, "prompt_hash", "left")
+    error = F.when(F.col(prompt_col).isNull(), "no prompt").otherwise(F.col("_r.error"))
+    return out.select(*df.columns, F.col("_r.reply").alias(out_col), error.alias("error"))
 
 
 def expression_provider(fn: Callable[[DataFrame], Column],

@@ -37,6 +37,12 @@ def _entry_id(df: DataFrame) -> F.Column:
     return F.concat_ws("\u0001", "catalog", "lang", "key")
 
 
+def _called(todo: DataFrame, provider, out_col: str, max_parallel: int | None, ledger: str | None) -> DataFrame:
+    if ledger:
+        return I.call_durably(todo, provider, ledger, out_col=out_col, max_parallel=max_parallel)
+    return I.call_provider(todo, provider, out_col=out_col, max_parallel=max_parallel)
+
+
 @dataclass
 class TranslateResult:
     entries: DataFrame       # the catalog after the merge (target rows, then new rows)
@@ -48,7 +54,7 @@ def translate(source: DataFrame, target: DataFrame, langs: list[str] | None = No
               glossary: DataFrame | None = None, memory: DataFrame | None = None, embedder=None,
               code_files: DataFrame | None = None, context: str | None = None, k_similar: int = 3,
               batch_size: int = 5, max_parallel: int | None = None, rounds: int = 1,
-              glossary_scope: str = "all") -> TranslateResult:
+              glossary_scope: str = "all", ledger: str | None = None) -> TranslateResult:
     """Translate the keys missing from the target catalogs.
 
     Context per key: ``context`` if given (even empty), else the entry's own;
@@ -62,6 +68,9 @@ def translate(source: DataFrame, target: DataFrame, langs: list[str] | None = No
     ``rounds`` > 1 feeds the memory between rounds (H2): batches are split
     into ``rounds`` contiguous groups per catalog, and each round's lookups
     see the translations of the earlier rounds. Lineage is cut per round.
+
+    With a ``ledger`` folder every answered prompt is kept there, and a run
+    that is repeated, after a failure say, sends only what is missing.
     """
     provider = provider or mock_translation_provider()
     missing = C.missing_entries(source, target, langs)
@@ -102,8 +111,7 @@ def translate(source: DataFrame, target: DataFrame, langs: list[str] | None = No
         else:
             part = part.withColumn("similar", F.array().cast(SIMILAR_T))
         part = part.withColumn("prompt", I.translation_prompt("value", "lang", "context", "similar", "glossary"))
-        res = cut_lineage(I.call_provider(part, provider, out_col="translated", max_parallel=max_parallel),
-                          "results")
+        res = cut_lineage(_called(part, provider, "translated", max_parallel, ledger), "results")
         parts.append(res)
         if memory is not None and r < rounds - 1:
             fresh = _memory_rows(res, F.lit(r), embedder)
@@ -136,10 +144,12 @@ class ReviewResult:
 
 def review(source: DataFrame, target: DataFrame, langs: list[str] | None = None, provider=None, *,
            glossary: DataFrame | None = None, context: str | None = None, all_keys: bool = False,
-           max_parallel: int | None = None, glossary_scope: str = "all", embedder=None) -> ReviewResult:
+           max_parallel: int | None = None, glossary_scope: str = "all", embedder=None,
+           ledger: str | None = None) -> ReviewResult:
     """Review outdated keys (or every key present in both with ``all_keys``) and merge improvements.
 
     Context per key: ``context`` if given (even empty), else the source entry's own, else the target entry's.
+    ``ledger`` as in ``translate``.
     """
     provider = provider or mock_review_provider()
     pairs = (C.reviewed_pairs if all_keys else C.outdated_pairs)(source, target, langs)
@@ -157,7 +167,7 @@ def review(source: DataFrame, target: DataFrame, langs: list[str] | None = None,
     else:
         todo = todo.withColumn("glossary", F.lit(None).cast("array<struct<term:string,translation:string>>"))
     todo = todo.withColumn("prompt", I.review_prompt("source_value", "target_value", "lang", "context", "glossary"))
-    replied = cut_lineage(I.call_provider(todo, provider, max_parallel=max_parallel))
+    replied = cut_lineage(_called(todo, provider, "reply", max_parallel, ledger))
     improved, changes = I.parse_review_reply("reply", "target_value")
     results = replied.withColumn("translated", improved).withColumn("changes", changes)
     merged = C.merge_reviews(target, results.select(*ENTRY_KEYS, "translated", "error"))

@@ -8,6 +8,7 @@ from ..operators import catalog as C
 from ..operators import glossary as G
 from ..operators import inference as I
 from ..operators.windows import batch_numbers
+from ..session import new_work_path
 from . import fixtures as fx
 from .registry import register
 from .sql_fixtures import SRC_DUP, TGT, TGT_DUP, TGT_LAST, with_
@@ -128,6 +129,19 @@ def provider_translate(spark, sf):
     return I.result_rows(res.select("catalog", "lang", "key", "value", "translated"), "value", "translated", True)
 
 
+@register("provider_ledger", with_(src=SRC_DUP, tgt=TGT_DUP, ml=MISS_LAST) + """
+select catalog, lang, key, value as original, concat('[ja] ', value) as translated,
+       (select count(distinct value) from ml) as n_calls from ml""")
+def provider_ledger(spark, sf):
+    """The job run twice over one ledger: the second run sends nothing, each distinct prompt was sent once."""
+    ml = _missing_last(spark, sf)
+    ledger = new_work_path(spark, "ledger")
+    I.call_durably(ml, I.MockTranslator("ja"), ledger, "value", "translated", slices=4)
+    res = I.call_durably(ml, I.MockTranslator("ja"), ledger, "value", "translated", slices=4)
+    n = spark.read.parquet(ledger).count()
+    return res.select("catalog", "lang", "key", F.col("value").alias("original"), "translated", F.lit(n).cast("bigint").alias("n_calls"))
+
+
 @register("batch_stats", with_(src=SRC_DUP, tgt=TGT_DUP) + """
 , m as (select s.catalog, 'ja' as lang, s.key, s.value, s.ord from src s
         where not exists (select 1 from tgt t where t.catalog = s.catalog and t.key = s.key))

@@ -1,9 +1,16 @@
+import sys
+
+import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from linguaspark.operators import inference as I
 from linguaspark.operators.windows import batch_numbers, row_numbers
 from helpers import rows
 
+# Providers defined in this test module must reach the Python workers by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 SIM_T = "array<struct<source:string,translation:string,similarity:double>>"
 GL_T = "array<struct<term:string,translation:string>>"
 
@@ -86,3 +93,45 @@ def test_row_numbers_beyond_the_range_sample(spark):
     bad = got.where(F.col("rn") != F.floor(F.col("o") / 5000) + 1).count()
     assert (got.count(), bad) == (400_000, 0)
     assert got.where("g is null").count() == 80
+
+
+class _Counted:
+    """Writes every prompt it gets to a folder; breaks down (the process, not the call) while a file named ``broken`` is there."""
+
+    def __init__(self, folder):
+        self.folder = folder
+
+    def __call__(self, prompts):
+        import os
+        import uuid
+        if "p13" in prompts and os.path.exists(f"{self.folder}/broken"):
+            os._exit(1)
+        if "bad" in prompts:
+            raise RuntimeError("no")
+        with open(f"{self.folder}/{uuid.uuid4().hex}.calls", "w") as f:
+            f.write("\n".join(prompts))
+        return [p.upper() for p in prompts]
+
+
+def test_ledger_sends_no_answered_prompt_again(spark, tmp_dir):
+    import glob
+    import os
+
+    def calls():
+        return sorted(p for f in glob.glob(f"{tmp_dir}/*.calls") for p in open(f).read().split("\n"))
+    df = spark.createDataFrame([(i, f"p{i % 30}") for i in range(60)] + [(60, None), (61, "bad")], "id int, prompt string")
+    open(f"{tmp_dir}/broken", "w").close()
+    with pytest.raises(Exception):  # noqa: B017  the worker died
+        I.call_durably(df, _Counted(tmp_dir), f"{tmp_dir}/ledger", slices=10, attempts=2, at_once=1)
+    kept = spark.read.parquet(f"{tmp_dir}/ledger").where("error is null").count()
+    os.remove(f"{tmp_dir}/broken")
+    for f in glob.glob(f"{tmp_dir}/*.calls"):
+        os.remove(f)
+    assert 0 < kept < 30
+    got = {r.id: (r.reply, r.error) for r in I.call_durably(df, _Counted(tmp_dir), f"{tmp_dir}/ledger", slices=10).collect()}
+    assert len(calls()) == len(set(calls())) == 30 - kept  # only what was missing, each once
+    assert all(got[i] == (f"P{i % 30}", None) for i in range(60))
+    assert got[60] == (None, "no prompt") and got[61] == (None, "RuntimeError: no")
+    assert I.call_durably(df, _Counted(tmp_dir), f"{tmp_dir}/ledger").where("error is null").count() == 60
+    assert len(calls()) == 30 - kept
+
