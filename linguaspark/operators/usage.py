@@ -7,12 +7,11 @@ q-gram, candidates are verified with ``contains``. No cross join.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import count_newlines
-from ..session import cut_lineage
-
 # Key-call pattern, hook pattern and default file globs.
 T_CALL_RE = "t\\(\\s*['\"]([^'\"]+)['\"]"
 HOOK_RE = "const\\s*\\{\\s*t\\s*\\}\\s*=\\s*useTranslation\\(\\)"
@@ -38,27 +37,29 @@ def path_filter(path_col, extensions: list[str], excludes: list[str]):
 # ---------------------------------------------------------------------------
 
 
+# Stands before each call in the copy that is cut into lines. Neither it nor its stand-in can be part of the
+# pattern's fixed letters, blanks or quotes, so swapping one for the other leaves every match where it is.
+_MARK, _STAND_IN = "\u0001", "\u0002"
+
+
 def extract_keys(files: DataFrame, only_hook_files: bool = False) -> DataFrame:
     """Every ``t('key')`` call: ``(key, file, line)``; one row per match.
 
-    Matches are found on the whole text (the pattern may cross lines); the
-    line of a match is 1 + the newlines before its start, from a running sum
-    over the file's matches.
+    Matches are found on the whole text (the pattern may cross lines). A mark
+    is put before each of them and the marked text is cut into lines: a line
+    holding m marks is the line of the next m matches. One pass per text, in
+    the scan task; no shuffle.
     """
     f = files
     if only_hook_files:
         f = f.where(F.col("content").rlike(HOOK_RE))
-    m = f.select("file",
-                 F.split("content", T_CALL_RE, -1).alias("gaps"),
-                 F.regexp_extract_all("content", F.lit(T_CALL_RE), 0).alias("ms"),
+    marked = F.regexp_replace(F.translate("content", _MARK, _STAND_IN), T_CALL_RE, _MARK + "$0")
+    m = f.select("file", F.split(marked, "\n", -1).alias("lines"),
                  F.regexp_extract_all("content", F.lit(T_CALL_RE), 1).alias("ks"))
-    e = m.select("file", "gaps", "ms", F.posexplode("ks").alias("i", "key"))
-    gap_nl = count_newlines(F.element_at("gaps", F.col("i") + 1))
-    seg_nl = gap_nl + count_newlines(F.element_at("ms", F.col("i") + 1))
-    w = Window.partitionBy("file").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    e = e.select("file", "i", "key", gap_nl.alias("gnl"), seg_nl.alias("snl"))
-    return e.select("key", "file",
-                    (F.lit(1) + F.coalesce(F.sum("snl").over(w), F.lit(0)) + F.col("gnl")).cast("int").alias("line"))
+    marks = lambda x: F.length(x) - F.length(F.replace(x, F.lit(_MARK), F.lit("")))
+    nos = F.flatten(F.transform("lines", lambda x, i: F.array_repeat(i + 1, marks(x))))
+    return (m.select("file", F.explode(F.arrays_zip("ks", nos.alias("nos"))).alias("m"))
+            .select(F.col("m.ks").alias("key"), "file", F.col("m.nos").cast("int").alias("line")))
 
 
 def file_lines(files: DataFrame) -> DataFrame:
@@ -67,6 +68,19 @@ def file_lines(files: DataFrame) -> DataFrame:
         "file", (F.col("pos") + 1).cast("int").alias("line_no"), "line")
 
 
+def lines_in_context(files: DataFrame, n: int = CONTEXT_LINES) -> DataFrame:
+    """``(file, line_no, line, around)``: each line with the lines ``line_no-n .. line_no+n``, clipped to the file.
+
+    ``around`` is a slice of the file's own line array, so a line's
+    neighbours need no second scan and no join.
+    """
+    cut = files.select("file", F.split("content", "\n", -1).alias("lines"))
+    rows = F.transform("lines", lambda x, i: F.struct(
+        (i + 1).cast("int").alias("line_no"), x.alias("line"),
+        F.slice("lines", F.greatest(i + 1 - n, F.lit(1)), F.least(i, F.lit(n)) + n + 1).alias("around")))
+    return cut.select("file", F.inline(rows))
+
+
 # ---------------------------------------------------------------------------
 # J10 exact substring join
 # ---------------------------------------------------------------------------
@@ -77,37 +91,43 @@ def _grams(text_col: str, q: int):
     return F.array_distinct(F.regexp_extract_all(F.col(text_col), F.lit(f"(?s)(?=(.{{{q}}}))"), 1))
 
 
+def _spread(hay: DataFrame) -> DataFrame:
+    """``hay`` over one task per core at least, where its estimated size makes fewer input splits than that.
+
+    The estimate comes from the plan's statistics; no job runs.
+    """
+    spark = hay.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = int(str(hay._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return hay.repartition(cores) if size < cores * split else hay
+
+
 def substring_join(needles: DataFrame, hay: DataFrame, needle_col: str = "needle",
-                   hay_col: str = "text", q: int = 3, broadcast_rows: int = 2_000_000) -> DataFrame:
+                   hay_col: str = "text", q: int = 3, broadcast_rows: int = 2_000_000,
+                   broadcast_bytes: int = 16 << 20) -> DataFrame:
     """All (needle row, hay row) pairs with ``contains(hay, needle)``, exactly.
 
     Needles of length >= q are probed by their rarest q-gram; shorter needles
     by the needle itself against hay substrings of the same length.
     Candidates are verified with ``contains``; empty needles are dropped.
 
-    With at most ``broadcast_rows`` distinct needles (one bounded count) the
-    needle side is broadcast and the hay is never shuffled: grams are
-    exploded, filtered against the needles' grams and verified inside the
-    scan tasks, carrying the hay row along. Only the per-gram frequency
-    counts (partial aggregates) cross the network. Above the bound the same
-    plan runs with shuffle joins.
+    The distinct needles are broadcast and the hay is never shuffled: grams
+    are exploded, filtered against the needles' grams and verified inside the
+    scan tasks, carrying the hay row along. Only the per-gram frequency counts
+    (partial aggregates) cross the network. One count of the needles and their
+    bytes sets the number of hash blocks they are cut into, so that a block
+    keeps to ``broadcast_rows`` and ``broadcast_bytes``, whatever the input;
+    each block is one such pass over the hay. Other columns of the needle
+    rows join the verified pairs.
     """
-    spark = needles.sparkSession
     nd = needles.select(F.col(needle_col).alias("_n")).where(F.length("_n") > 0).distinct()
     L = F.length("_n")
-    ngrams = nd.select("_n", F.explode(F.when(L >= q, _grams("_n", q)).otherwise(F.array("_n"))).alias("gram"))
-    # One bounded job: the needle count (the broadcast bound) and the short-needle lengths.
-    stats = nd.limit(broadcast_rows + 1).agg(
-        F.count(F.lit(1)).alias("n"), F.collect_set(F.when(L < q, L)).alias("short")).first()
-    small = stats["n"] <= broadcast_rows
-    if small:
-        short_lens = sorted(stats["short"])
-    else:  # the limited pass saw only some needles: take the short lengths from all of them
-        short_lens = sorted(r[0] for r in nd.where(L < q).select(L.alias("l")).distinct().collect())
-    hint = F.broadcast if small else (lambda d: d)
-    # One task per core at least: the explosion runs in the scan stage.
-    cores = spark.sparkContext.defaultParallelism
-    h = hay if hay.rdd.getNumPartitions() >= cores else hay.repartition(cores)
+    stats = nd.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("_n")).alias("bytes"),
+                   F.collect_set(F.when(L < q, L)).alias("short")).first()  # at most q - 1 lengths
+    short_lens = sorted(stats["short"])
+    blocks = max(1, -(-stats["n"] // max(1, broadcast_rows)), -(-(stats["bytes"] or 0) // broadcast_bytes))
+    h = _spread(hay)
 
     def exploded(df):
         grams = _grams(hay_col, q)
@@ -115,17 +135,22 @@ def substring_join(needles: DataFrame, hay: DataFrame, needle_col: str = "needle
             grams = F.concat(grams, _grams(hay_col, sl))
         return df.select("*", F.explode(grams).alias("gram"))
 
-    gram_set = hint(ngrams.select("gram").distinct())
-    freq = (exploded(h.select(hay_col)).join(gram_set, "gram", "left_semi")
-            .groupBy("gram").agg(F.count(F.lit(1)).alias("cnt")))
-    choice = hint(ngrams.join(freq, "gram", "inner")
-                  .groupBy("_n").agg(F.min_by("gram", F.struct("cnt", "gram")).alias("gram")))
-    pairs = (exploded(h).join(choice, "gram", "inner")
-             .where(F.col(hay_col).contains(F.col("_n"))).drop("gram"))
+    def one_block(nd):
+        ngrams = nd.select("_n", F.explode(F.when(L >= q, _grams("_n", q)).otherwise(F.array("_n"))).alias("gram"))
+        gram_set = F.broadcast(ngrams.select("gram").distinct())
+        freq = (exploded(h.select(hay_col)).join(gram_set, "gram", "left_semi")
+                .groupBy("gram").agg(F.count(F.lit(1)).alias("cnt")))
+        choice = F.broadcast(ngrams.join(freq, "gram", "inner")
+                             .groupBy("_n").agg(F.min_by("gram", F.struct("cnt", "gram")).alias("gram")))
+        return (exploded(h).join(choice, "gram", "inner")
+                .where(F.col(hay_col).contains(F.col("_n"))).drop("gram"))
+
+    place = F.pmod(F.xxhash64("_n"), F.lit(blocks))
+    pairs = reduce(DataFrame.unionByName,
+                   [one_block(nd.where(place == i) if blocks > 1 else nd) for i in range(blocks)])
     nrows = needles.withColumnRenamed(needle_col, "_n")
-    extra = [c for c in nrows.columns if c != "_n"]
-    if extra:
-        pairs = pairs.join(hint(nrows), "_n")
+    if len(nrows.columns) > 1:
+        pairs = pairs.join(nrows, "_n")
     return pairs.withColumnRenamed("_n", needle_col)
 
 
@@ -141,31 +166,15 @@ def key_usages(keys: DataFrame, files: DataFrame, q: int = 3) -> DataFrame:
         "key", "file", "line_no")
 
 
-def attach_context(usages: DataFrame, files: DataFrame, n: int = CONTEXT_LINES,
-                   broadcast_rows: int = 5_000_000) -> DataFrame:
-    """The lines ``line_no-n .. line_no+n`` of the file, clipped, joined by newlines.
+def key_contexts(keys: DataFrame, files: DataFrame, n: int = CONTEXT_LINES, q: int = 3) -> DataFrame:
+    """``(key, file, line_no, context)`` for every usage of every key.
 
-    Each usage asks for its 2n+1 neighbour line numbers, fetched by an
-    equi-join on (file, line_no), so a hot file never lands in one task. The
-    usages are materialised once; when the wanted lines are proven few (one
-    count) they are broadcast and the code lines are filtered inside the scan,
-    never shuffled.
+    The context is the lines ``line_no-n .. line_no+n`` of the file, clipped,
+    joined by newlines. Each line carries its neighbours into the substring
+    join, so the usages need no second look at the files.
     """
-    u = cut_lineage(usages.select("key", "file", "line_no"), "usages")
-    want = u.select("key", "file", "line_no",
-                    F.explode(F.sequence(F.col("line_no") - n, F.col("line_no") + n)).alias("want"))
-    if u.limit(broadcast_rows + 1).count() * (2 * n + 1) <= broadcast_rows:
-        want = F.broadcast(want)
-    lines = file_lines(files).select("file", F.col("line_no").alias("want"), "line")
-    got = lines.join(want, ["file", "want"])
-    return (got.groupBy("key", "file", "line_no")
-            .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("want", "line"))),
-                                          lambda x: x["line"]), "\n").alias("context")))
-
-
-def key_contexts(keys: DataFrame, files: DataFrame, n: int = CONTEXT_LINES, q: int = 3) -> DataFrame:
-    """``(key, file, line_no, context)`` for every usage of every key."""
-    return attach_context(key_usages(keys, files, q), files, n)
+    found = substring_join(keys.select("key").distinct(), lines_in_context(files, n), needle_col="key", hay_col="line", q=q)
+    return found.select("key", "file", "line_no", F.array_join("around", "\n").alias("context"))
 
 
 def first_contexts(contexts: DataFrame, k: int = MAX_CONTEXTS_PER_KEY) -> DataFrame:

@@ -44,3 +44,43 @@ def test_compact_memory(spark, tmp_dir):
     compact_memory(spark, table, f"{tmp_dir}/compact")
     assert rows(read_table(spark, f"{tmp_dir}/compact", ["ja"]), "id", "translation") == [("ja_a", "A2")]
     assert {"lang=fr", "lang=ja"} <= set(os.listdir(f"{tmp_dir}/compact"))
+
+
+def test_fold_settles_batches_and_readers_skip_them(spark, tmp_dir):
+    from linguaspark.streaming.incremental import drop_folded, fold_batches, table_state
+    src, table, ckpt = f"{tmp_dir}/in", f"{tmp_dir}/tm", f"{tmp_dir}/ckpt"
+    schema = spark.createDataFrame([], TM).schema
+
+    def arrive(*writes):
+        for i, text, seq in writes:
+            land(spark, src, [(i, "s", text, "ja", "unknown", seq)], TM)
+        ingest_memory(spark, src, table, ckpt, schema, files_per_batch=1)
+
+    want = lambda: rows(read_memory(spark, table), "id", "translation")
+    arrive(("a", "A1", 1), ("b", "B1", 1))
+    assert fold_batches(spark, table) == [(0, 1)]
+    arrive(("a", "A2", 2), ("b", "late", 0))
+    assert table_state(spark, table) == ([(0, 1)], [2, 3])
+    files = read_memory(spark, table).inputFiles()
+    assert not any("batch_id=0" in f or "batch_id=1" in f for f in files) and any("run=0-1" in f for f in files)
+    assert want() == [("a", "A2"), ("b", "B1")]
+    assert fold_batches(spark, table, fan=1) == [(0, 3)]
+    assert want() == [("a", "A2"), ("b", "B1")]
+    assert fold_batches(spark, table) == [(0, 3)]  # nothing new
+    assert drop_folded(spark, table) == 4 + 2
+    arrive(("c", "C1", 5))
+    assert table_state(spark, table) == ([(0, 3)], [4])
+    assert want() == [("a", "A2"), ("b", "B1"), ("c", "C1")]
+
+
+def test_unfinished_fold_and_batch_do_not_count(spark, tmp_dir):
+    from linguaspark.streaming.incremental import fold_batches, table_state
+    src, table, ckpt = f"{tmp_dir}/in", f"{tmp_dir}/tm", f"{tmp_dir}/ckpt"
+    land(spark, src, [("a", "s", "A1", "ja", "unknown", 1)], TM)
+    ingest_memory(spark, src, table, ckpt, spark.createDataFrame([], TM).schema)
+    fold_batches(spark, table)
+    os.remove(f"{table}/_folded/run=0-0/_SUCCESS")
+    os.makedirs(f"{table}/batch_id=1")  # begun, not finished
+    assert table_state(spark, table) == ([], [0])
+    assert rows(read_memory(spark, table), "translation") == [("A1",)]
+    assert fold_batches(spark, table) == [(0, 0)]  # written again

@@ -78,3 +78,30 @@ def test_substring_join_above_broadcast_bound(spark):
     n = spark.createDataFrame([("a",), ("cd",), ("xyz",), ("q",)], "needle string")
     got = rows(U.substring_join(n, hay, broadcast_rows=1).select("needle", "hid"))
     assert got == [("a", 1), ("a", 3), ("cd", 1), ("xyz", 2)]
+
+
+def test_extract_keys_marks_and_no_shuffle(spark):
+    f = code(spark, {"a.js": "\u0001t('a\u0001b')\nt('t(\"x\"') t(\n'c\nd')\n\u0002t('e')", "empty.js": "", "none.js": None})
+    keys = U.extract_keys(f)
+    assert rows(keys, "file", "key", "line") == [("a.js", "a\u0001b", 1), ("a.js", "c\nd", 2), ("a.js", "e", 5),
+                                                 ("a.js", "t(", 2)]
+    assert "Exchange" not in keys._jdf.queryExecution().executedPlan().toString()
+
+
+def test_context_of_every_width_matches_brute_force(spark):
+    files = {"a": "k\nx\nk k\n\ny\nz\nk", "b": "k", "c": "", "d": None, "e": "x\n" * 50 + "k"}
+    keys = spark.createDataFrame([("k",), ("x",)], "key string")
+    for n in (0, 1, 2, 7):
+        want = []
+        for name, text in files.items():
+            lines = (text or "").split("\n")
+            want += [(k, name, i + 1, "\n".join(lines[max(0, i - n):i + n + 1]))
+                     for k in "kx" for i, line in enumerate(lines) if k in line]
+        assert rows(U.key_contexts(keys, code(spark, files), n=n)) == sorted(want)
+
+
+def test_substring_join_in_blocks_by_bytes(spark):
+    hay = spark.createDataFrame([(i, f"item {i} of part.{i}.name") for i in range(200)], "hid int, text string")
+    n = spark.createDataFrame([(f"part.{i}.name", i) for i in range(0, 200, 5)], "needle string, nid int")
+    got = rows(U.substring_join(n, hay, broadcast_bytes=100).select("nid", "hid"))
+    assert got == [(i, i) for i in range(0, 200, 5)]
