@@ -10,15 +10,21 @@ equal minimum makes a candidate. At a similarity of 1/4, 48 minima miss one
 pair in a million. Candidates are verified by exact containment of the
 item's shingles in the whole document.
 
-Keys that no item has are dropped in the scan by a bit table of fixed size;
-the rest meets the items in an equi-join. No document text is shuffled
-except those of candidates.
+Keys that no item has are dropped in the scan by a bit table sized by the
+counted keys; the rest meets the items' keys in an equi-join. Items of equal
+shingle sets are searched as one and told apart at the end; candidates are
+pairs of digests, and shingle sets join them only for the exact check. No
+document text is shuffled except those of candidates.
+
+The bit table has 16 bits a key, from 2^24 to 2^27 bits (16 MB). It is at its
+bound from 8 million keys on (170,000 different items) and passes ever more
+keys beyond that, which costs time and no results.
 
 Defined cases: null and empty texts and items have no shingles and match
 nothing; with fewer than k words the whole sequence is the one shingle, so an item of
 fewer than k words is found only as a whole document, not inside a longer
 one (the registered SQL has the same rule);
-equal items are reported each; equal documents are reported each; an empty
+items of equal shingles are reported each, whatever the type of their ids; equal documents are reported each; an empty
 table on either side gives no rows; other columns are not read.
 """
 
@@ -31,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linguaspark.llm.common import (U64, bit_table, cut_lineage, in_bits, may_be, mix, pick,
+from linguaspark.llm.common import (BITS, U64, bit_table, cut_lineage, in_bits, may_be, mix, pick,
                                     returning, shingle_hashes, shingle_set, texts_by_hash, with_text_hash, word_hashes)
 
 GROWTH = 1.5
@@ -83,28 +89,39 @@ def item_keys(shingles: np.ndarray, bands: int) -> np.ndarray:
     return keys_of(low[:, None], size_class(len(shingles)), 0).ravel()
 
 
+def table_bits(n_keys: int) -> int:
+    """Size of the bit table, as a power of two, for so many keys."""
+    return min(27, max(BITS, (16 * n_keys).bit_length()))
+
+
 def contained(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "text", item_id: str = "item_id",
-              item_text: str = "text", k: int = 5, containment: float = 0.8, bands: int = BANDS) -> tuple[DataFrame, DataFrame]:
-    """The documents (doc_id, text, th) and the found pairs (th, item_id, n_shingles, n_shared), th being the text's hash."""
+              item_text: str = "text", k: int = 5, containment: float = 0.8,
+              bands: int = BANDS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The documents (doc_id, text, th), the found pairs (th, sid, n_shingles, n_shared) and the items (item_id, sid).
+
+    th is the hash of a text, sid the digest of an item's shingle set; ids keep their type.
+    """
     spark = docs.sparkSession
     d = with_text_hash(pick(docs, doc_id=id, text=text))
     tests = pick(items, item_id=item_id, text=item_text)
 
-    @returning
-    def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for i, t in zip(b["item_id"], b["text"], strict=True):
-                s = shingle_set(t, k)
-                if len(s):
-                    keys = item_keys(s, bands).view(np.int64)
-                    yield pd.DataFrame({"item_id": pd.array([i] * len(keys), "Int64"), "key": keys,
-                                        "c": np.full(len(keys), size_class(len(s)), np.int32), "s": [s.tobytes()] * len(keys)})
-
-    index = tests.withColumn("item_id", F.col("item_id").cast("long")).mapInPandas(
-        signed, "item_id long, key long, c int, s binary")
-    index = cut_lineage(index, "decontaminate-items")
+    @F.pandas_udf("s binary, keys array<long>, c int")
+    def signed(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in texts:
+            s = shingle_set(t, k)
+            rows.append((s.tobytes(), item_keys(s, bands).view(np.int64), size_class(len(s))) if len(s) else (None, None, None))
+        return pd.DataFrame(rows, columns=["s", "keys", "c"]).astype({"c": "Int32"})
+
+    marked = tests.withColumn("x", signed("text")).where("x.s is not null").select(
+        "item_id", F.sha2("x.s", 256).alias("sid"), "x.*")
+    marked = cut_lineage(marked, "decontaminate-items")
+    members = marked.select("item_id", "sid")
+    alike = marked.groupBy("sid").agg(F.first(F.struct("s", "keys", "c")).alias("x")).select("sid", "x.*")
+    index = cut_lineage(alike.select("sid", "c", F.explode("keys").alias("key")), "decontaminate-keys")
     classes = sorted(r["c"] for r in index.select("c").distinct().collect())  # a few: sizes grow by half
-    bits = bit_table(spark, index, "key")
+    size = table_bits(index.count())
+    bits = bit_table(spark, index, "key", size)
 
     @returning
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -114,15 +131,14 @@ def contained(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str =
                 s = shingle_hashes(word_hashes(t)[0], k)
                 if len(s):
                     found = window_keys(s, classes, bands)
-                    found = np.unique(found[in_bits(bits.value, found)])
+                    found = np.unique(found[in_bits(bits.value, found, size)])
                     ths.append(np.full(len(found), th, np.int64))
                     keys.append(found.view(np.int64))
             if ths:
                 yield pd.DataFrame({"th": np.concatenate(ths), "key": np.concatenate(keys)})
 
     hits = d.where("th is not null").select("th", "text").mapInPandas(probe, "th long, key long")
-    pairs = hits.join(index.select("key", F.struct("item_id", "s").alias("item")), "key").select("th", "item").distinct()
-    pairs = cut_lineage(pairs, "decontaminate-pairs")
+    pairs = cut_lineage(hits.join(index.select("key", "sid"), "key").select("th", "sid").distinct(), "decontaminate-pairs")
     texts = texts_by_hash(d, pairs.select("th").distinct())
 
     @returning
@@ -135,24 +151,23 @@ def contained(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str =
         return pd.Series([len(np.intersect1d(np.frombuffer(x, U64), np.frombuffer(y, U64), assume_unique=True))
                           for x, y in zip(a, b, strict=True)])
 
-    found = (pairs.join(texts.mapInPandas(sets, "th long, own binary"), "th")
-             .select("th", "item.item_id", (F.octet_length("item.s") / 8).cast("long").alias("n_shingles"),
-                     shared("own", "item.s").alias("n_shared"))
+    found = (pairs.join(marked.select("sid", "s").groupBy("sid").agg(F.first("s").alias("s")), "sid")
+             .join(texts.mapInPandas(sets, "th long, own binary"), "th")
+             .select("th", "sid", (F.octet_length("s") / 8).cast("long").alias("n_shingles"), shared("own", "s").alias("n_shared"))
              .where(F.col("n_shared") >= containment * F.col("n_shingles")))
-    found = cut_lineage(found, "decontaminate-found")
-    return d, found
+    return d, cut_lineage(found, "decontaminate-found"), members
 
 
 def find(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """(doc_id, item_id, n_shingles, n_shared, containment) of every item contained in a document; see ``contained``."""
-    d, found = contained(docs, items, **options)
-    return (d.select("doc_id", "th").join(found, "th")
+    d, found, members = contained(docs, items, **options)
+    return (d.select("doc_id", "th").join(found, "th").join(members, "sid")
             .select("doc_id", "item_id", "n_shingles", "n_shared", (F.col("n_shared") / F.col("n_shingles")).alias("containment")))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", **options) -> DataFrame:
     """``docs`` without the documents that contain an item; only documents that may contain one are shuffled."""
-    _, found = contained(docs, items, text=text, **options)
+    _, found, _ = contained(docs, items, text=text, **options)
     bad = cut_lineage(found.select("th").distinct(), "decontaminate-bad")
     keyed = docs.withColumn("__th", F.when(F.col(text).isNotNull(), F.xxhash64(text)))
     apart = may_be(keyed, "__th", bad, "th", keep=False).drop("__th")

@@ -355,17 +355,24 @@ class Layouts:
         return page, texts
 
 
-def train(pages: list[str], layouts: int = 700, longest: int = 80, seed: int = 9) -> Labeller:
-    """Fit a labeller from sample pages: as they are with weak labels, and in generated layouts."""
+def train(pages: list[str], layouts: int = 700, longest: int = 80, article_blocks: int = 24, article_chars: int = 600,
+          other_blocks: int = 20, other_chars: int = 200, seed: int = 9) -> Labeller:
+    """Fit a labeller from sample pages: as they are with weak labels, and in generated layouts.
+
+    All bounds concern the training material alone. A page gives its first
+    ``longest`` blocks as a training sequence, and to the generated layouts
+    its first ``article_blocks`` article blocks of ``article_chars``
+    characters and ``other_blocks`` others of ``other_chars``.
+    """
     rng = np.random.default_rng(seed)
     xs, ys, article, other = [], [], [], []
     for page in pages:
         bs = blocks(page)
         y = [weak_label(b) for b in bs]
-        inside = [b.text[:600] for b, v in zip(bs, y, strict=True) if v == 1][:24]
+        inside = [b.text[:article_chars] for b, v in zip(bs, y, strict=True) if v == 1][:article_blocks]
         if inside:
             article.append(inside)
-        other += [b.text[:200] for b, v in zip(bs, y, strict=True) if v == 0][:20]
+        other += [b.text[:other_chars] for b, v in zip(bs, y, strict=True) if v == 0][:other_blocks]
         if 0 < len(bs):
             xs.append(vectors(bs[:longest]))
             ys.append(np.array(y[:longest], np.float32))
@@ -393,17 +400,18 @@ def main_text(bs: list[Block], p: np.ndarray) -> str:
 
 
 def extract(df: DataFrame, html: str = "html", keep: dict[str, str] | None = None, sample_pages: int = 150,
-            sample_bytes: int = 100_000) -> DataFrame:
+            sample_bytes: int = 100_000, training: dict[str, int] | None = None) -> DataFrame:
     """The ``keep`` columns, ``text`` and ``n_chars`` of every row.
 
     The labeller is fitted on the ``sample_pages`` pages of least hash among
-    those of at most ``sample_bytes`` (15 MB at most reach the driver).
+    those of at most ``sample_bytes`` (15 MB at most reach the driver), under
+    the bounds in ``training`` (see ``train``).
     """
     keep = keep if keep is not None else {"page_id": "page_id", "url": "url"}
     d = pick(df, **{f"k_{c}": src for c, src in keep.items()}, html=html)
     fit = d.where((F.octet_length("html") <= sample_bytes) & (F.octet_length("html") > 0)).select("html")
     sample = hash_sample(fit, ["html"], sample_pages).toPandas()["html"]
-    shared = df.sparkSession.sparkContext.broadcast(train(sample.tolist()))  # 0.1 MB
+    shared = df.sparkSession.sparkContext.broadcast(train(sample.tolist(), **(training or {})))  # 0.1 MB
 
     @F.pandas_udf("text string, n_chars long")
     @returning

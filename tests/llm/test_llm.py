@@ -205,6 +205,21 @@ def test_decontamination_equals_brute_force(spark, docs):
     assert kept == {d for d, _ in ds} - {d for d, _ in got}
 
 
+def test_decontamination_text_ids_and_equal_items(spark):
+    words = [f"w{i}" for i in range(40)]
+    item, other = " ".join(words[10:22]), " ".join(f"x{i}" for i in range(12))
+    docs = spark.createDataFrame([("d1", " ".join(words)), ("d2", " ".join(words)), ("d3", "nothing of it here at all")],
+                                 "doc_id string, text string")
+    items = spark.createDataFrame([("q-a", item), ("q-b", item.upper()), ("q-c", other), (None, item)], "item_id string, text string")
+    got = Counter((r.doc_id, r.item_id, r.n_shared) for r in decontaminate.find(docs, items).collect())
+    assert got == Counter({(d, i, 8): 1 for d in ("d1", "d2") for i in ("q-a", "q-b", None)})
+    assert [r.doc_id for r in decontaminate.drop_contaminated(docs, items).collect()] == ["d3"]
+
+
+def test_decontamination_bit_table_follows_the_keys():
+    assert [decontaminate.table_bits(n) for n in (0, 1000, 1 << 20, 1 << 21, 1 << 23, 1 << 40)] == [24, 24, 25, 26, 27, 27]
+
+
 def test_decontamination_odd_rows(spark, odd):
     items = spark.createDataFrame([(1, None), (2, ""), (3, "one"), (4, LONG[500:900])], "item_id long, text string")
     got = Counter((r.doc_id, r.item_id) for r in decontaminate.find(odd, items).collect())
