@@ -12,6 +12,8 @@ import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -22,7 +24,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..functions.order import on_side, step
 from ..functions.text import falsy, integer_like, json_string_literal
 from ..schemas import ENTRY_KEYS
-from ..session import materialize_with_metrics
+from ..session import cut_lineage
+from .windows import row_numbers
 
 # ---------------------------------------------------------------------------
 # A7 last-wins dedupe
@@ -370,56 +373,90 @@ def flatten_catalogs(files: DataFrame, ids=("catalog", "lang"), text_col: str =
 # ---------------------------------------------------------------------------
 
 
-def _member_order(name: Column) -> Column:
-    return F.struct((~integer_like(name)).alias("o1"),
-                    F.when(integer_like(name), name.cast("bigint")).alias("o2"))
+def _member(name: Column, pos: Column) -> Column:
+    """What orders the members of one object: index-like names by number, then the others by their place."""
+    return F.struct((~integer_like(name)).alias("o1"), F.when(integer_like(name), name.cast("bigint")).alias("o2"),
+                    pos.alias("pos"), name.alias("name"))
 
 
-def nest_catalogs(entries: DataFrame, ids=("catalog", "lang"), indent: int = 2) -> DataFrame:
-    """Flat entries -> one pretty-printed nested JSON text per catalog.
+def _same(a: DataFrame, b: DataFrame, cols: list[str]) -> Column:
+    return reduce(and_, [a[c].eqNullSafe(b[f"_r_{c}"]) for c in cols])
+
+
+def _renamed(df: DataFrame, cols: list[str]) -> DataFrame:
+    return df.withColumnsRenamed({c: f"_r_{c}" for c in cols})
+
+
+def nest_lines(entries: DataFrame, ids=("catalog", "lang"), indent: int = 2) -> DataFrame:
+    """Flat entries -> the pretty-printed nested JSON of each catalog, in pieces: ``(ids, n, text)``.
+
+    Piece n (from 1) is the line of the n-th key, with the lines that open the
+    objects beginning there before it and those that close the objects ending
+    there after it; the document is the pieces joined by line ends. Last
+    value per key wins, a key keeps the place of its first assignment, an
+    object that of its first key, index-like member names come first.
+
+    No object is ever gathered: an object's place is a minimum over its keys,
+    a key's path with these places is its pre-order position, the keys are
+    numbered by it over range partitions, and what a key opens and closes
+    follows from its two neighbours. Tasks stay bounded however many keys one
+    catalog or object has.
 
-    Built bottom-up, one aggregation per nesting level: each object node is a
-    group of its direct members only. Last value per key wins, a key keeps the
-    place of its first assignment, index-like member names come first.
     Path conflicts (``a`` and ``a.b``) must be removed first (see
-    ``path_conflicts``).
+    ``path_conflicts``); they give a member twice.
     """
     ids = list(ids)
-    e, seen = materialize_with_metrics(
-        last_wins(entries.select(*ids, "key", "value", "ord"), keys=ids + ["key"], first_position="pos")
-        .withColumn("parts", F.split(F.col("key"), "\\.", -1))
-        .withColumn("depth", F.size("parts")), "nest-input", max_depth=F.max("depth"))
-    max_d = seen["max_depth"]
-    sp = lambda d: " " * (indent * d)
-    if max_d is None:
-        return entries.sparkSession.createDataFrame([], ", ".join(f"{c} string" for c in ids) + ", json string")
-
-    def close(d: int, members: Column) -> Column:
-        # members: array<struct<o, pos, line>> of a node at depth d (root d=0)
-        lines = F.transform(F.array_sort(members), lambda x: x["line"])
-        return F.concat(F.lit("{\n"), F.array_join(lines, ",\n"), F.lit("\n" + sp(d) + "}"))
-
-    children = None  # nodes of depth d+1: ids, parts (len d+1), pos, text
-    for d in range(max_d, 0, -1):
-        leaves = e.where(F.col("depth") == d).select(
-            *ids, "parts", "pos", json_string_literal("value").alias("text"))
-        if children is not None:
-            objs = (children.groupBy(*ids, F.slice("parts", 1, d).alias("parts"))
-                    .agg(F.min("pos").alias("pos"),
-                         F.collect_list(F.struct(_member_order(F.element_at("parts", -1)).alias("o"),
-                                                 F.col("pos"), F.col("line"))).alias("m"))
-                    .select(*ids, "parts", "pos", close(d, F.col("m")).alias("text")))
-            nodes = leaves.unionByName(objs)
-        else:
-            nodes = leaves
-        name = F.element_at("parts", -1)
-        children = nodes.select(*ids, "parts", "pos", F.concat(
-            F.lit(sp(d)), json_string_literal(name), F.lit(": "), F.col("text")).alias("line"))
-    root = (children.groupBy(*ids)
-            .agg(F.collect_list(F.struct(_member_order(F.element_at("parts", -1)).alias("o"),
-                                         F.col("pos"), F.col("line"))).alias("m"))
-            .select(*ids, close(0, F.col("m")).alias("json")))
-    return root
+    e = (last_wins(entries.select(*ids, "key", "value", "ord"), keys=ids + ["key"], first_position="pos")
+         .withColumn("parts", F.split(F.col("key"), "\\.", -1)))
+    e = cut_lineage(e.withColumn("depth", F.size("parts")), "nest-input")
+    inner = e.where("depth > 1").select(*ids, "key", "pos", "parts", F.explode(F.sequence(F.lit(1), F.col("depth") - 1)).alias("d"))
+    inner = inner.withColumn("node", F.slice("parts", 1, F.col("d")))
+    places = _renamed(inner.groupBy(*ids, "node").agg(F.min("pos").alias("node_pos")), [*ids, "node"])
+    above = (inner.join(places, _same(inner, places, [*ids, "node"]))
+             .groupBy(*ids, "key")
+             .agg(F.array_sort(F.collect_list(F.struct(  # one row a level of one key
+                 "d", _member(F.element_at("node", -1), F.col("node_pos")).alias("m")))).alias("above")))
+    above = _renamed(above, [*ids, "key"])
+    own = F.array(_member(F.element_at("parts", -1), F.col("pos")))
+    placed = e.join(above, _same(e, above, [*ids, "key"]), "left").select(
+        *ids, "parts", "value", F.concat(F.coalesce(F.transform("above", lambda x: x["m"]), F.array().cast(
+            T.ArrayType(e.select(own.alias("m")).schema["m"].dataType.elementType))), own).alias("path"))
+    k = cut_lineage(row_numbers(placed, ids, "path", out="n").select(*ids, "n", "parts", "value"), "nest-numbered")
+
+    def beside(step: int, name: str) -> DataFrame:
+        return k.select(*[F.col(c).alias(f"_r_{c}") for c in ids], (F.col("n") - step).alias("_r_n"), F.col("parts").alias(name))
+
+    def shared(other: str) -> Column:
+        """How many objects a key and its neighbour are both in."""
+        both = F.least(F.size("parts"), F.size(other)) - 1
+        return F.coalesce(F.size(F.filter(F.sequence(F.lit(0), both), lambda i: (i > 0) & (
+            F.slice("parts", 1, i) == F.slice(other, 1, i)))), F.lit(0))
+
+    for step, name in ((-1, "before"), (1, "after")):
+        other = beside(step, name)
+        k = k.join(other, _same(k, other, [*ids, "n"]), "left").drop(*[f"_r_{c}" for c in [*ids, "n"]])
+    k = k.withColumn("opened", F.when(F.col("before").isNull(), 0).otherwise(shared("before"))).withColumn(
+        "kept", F.when(F.col("after").isNull(), 0).otherwise(shared("after")))
+    depth = F.size("parts")
+    space = lambda d: F.repeat(F.lit(" " * indent), d)
+    levels = lambda shared_, f: F.transform(F.filter(F.sequence(F.lit(0), depth - 1), lambda d: d > shared_), f)
+    name_at = lambda d: json_string_literal(F.element_at("parts", d))
+    opens = levels(F.col("opened"), lambda d: F.concat(space(d), name_at(d), F.lit(": {")))
+    closes = F.reverse(levels(F.col("kept"), lambda d: F.concat(space(d), F.lit("}"))))
+    line = F.concat(space(depth), name_at(depth), F.lit(": "), json_string_literal("value"))
+    body = F.array_join(F.concat(opens, F.array(line), closes), "\n")
+    return k.select(*ids, "n", F.concat(F.when(F.col("before").isNull(), "{\n").otherwise(""), body,
+                                        F.when(F.col("after").isNull(), "\n}").otherwise(",")).alias("text"))
+
+
+def nest_catalogs(entries: DataFrame, ids=("catalog", "lang"), indent: int = 2) -> DataFrame:
+    """Flat entries -> one pretty-printed nested JSON text per catalog, the pieces of ``nest_lines`` put together.
+
+    A document is one value here; to write files use ``write_catalogs``, which takes the pieces as they are.
+    """
+    return (nest_lines(entries, ids, indent).groupBy(*ids)
+            .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))),
+                                          lambda x: x["text"]), "\n").alias("json")))
 
 
 def path_conflicts(entries: DataFrame, ids=("catalog", "lang")) -> DataFrame:

@@ -185,6 +185,20 @@ def catalog_nest_roundtrip(spark, sf):
     return C.flatten_catalogs(nested).entries.select("catalog", "lang", "key", "value")
 
 
+@register("catalog_nest_lines", with_(tgt=TGT_DUP) + """
+, k as (select catalog, lang, cast(string_split(key, '.')[2] as bigint) as id, arg_max(value, ord) as value
+        from tgt group by catalog, lang, key)
+, r as (select *, row_number() over w as n, count(*) over (partition by catalog, lang) as total
+        from k window w as (partition by catalog, lang order by id))
+select catalog, lang, n,
+       concat(case when n = 1 then '{\n  "part": {\n' else '' end,
+              '    "', cast(id as varchar), '": {\n      "name": ', to_json(value), '\n    }',
+              case when n = total then '\n  }\n}' else ',' end) as text from r""")
+def catalog_nest_lines(spark, sf):
+    """The nested documents of all target catalogs, piece by piece."""
+    return C.nest_lines(fx.target_entries_dup(spark, sf))
+
+
 _CONFLICT_KEYS = TGT_DUP + """
 union all
 select p_brand, 'ja', concat('part.', cast(p_partkey as varchar)), p_name, p_partkey + 3000000000

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.catalog import Flattened, flatten_catalogs, nest_catalogs, path_conflicts
+from ..operators.catalog import Flattened, flatten_catalogs, nest_lines, path_conflicts
 from ..operators.imports import GLOSSARY_FIELDS, TRANSLATION_FIELDS, json_translation_records, parse_delimited
 from ..operators.usage import CONTEXT_EXCLUDES, CONTEXT_EXTENSIONS, path_filter
 from ..session import path_exists
@@ -105,7 +105,7 @@ def write_catalogs(entries: DataFrame, root: str, indent: int = 2, check_conflic
     if check_conflicts and path_conflicts(entries).limit(1).count() > 0:
         raise ValueError("catalog has path conflicts (a key is also a prefix of another key)")
     place = F.concat(F.when(F.col("catalog") == ".", "").otherwise(F.concat("catalog", F.lit("/"))), "lang", F.lit(".json"))
-    return write_files(nest_catalogs(entries, indent=indent).select(place.alias("path"), F.col("json").alias("content")), root)
+    return write_files(nest_lines(entries, indent=indent).select(place.alias("path"), "n", F.col("text").alias("content")), root, "n")
 
 
 def write_entries(entries: DataFrame, path: str, mode: str = "overwrite") -> None:

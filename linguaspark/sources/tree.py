@@ -128,9 +128,13 @@ def scan(spark: SparkSession, root: str, suffixes: tuple[str, ...] = ()) -> Scan
     return Scan(df.where("reason is null").select("path", "content"), df.where("reason is not null").select("path", "reason"))
 
 
-def write_files(files: DataFrame, root: str) -> int:
+def write_files(files: DataFrame, root: str, order: str | None = None) -> int:
     """Writes each ``(path, content)`` row as the file ``<root>/<path>`` (content and a line end); returns how many.
 
+    With ``order``, a column, a file is all rows of its path in that order,
+    each followed by a line end. One task writes a file row by row, from a
+    sort that spills, so no file is held in memory.
+
     Files that stand there under the same paths are replaced one by one by
     a rename, after all rows are safely written; others stay. A path that
     occurs twice is an error, found before any file is replaced.
@@ -140,7 +144,10 @@ def write_files(files: DataFrame, root: str) -> int:
     stage = f"{root.rstrip('/')}/{STAGE}{uuid.uuid4().hex}"
     fs = new_path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     try:
-        files.select(F.col("path").alias("place"), "content").write.partitionBy("place").text(stage)
+        placed = files.withColumnRenamed("path", "place")
+        if order:
+            placed = placed.repartition("place").sortWithinPartitions("place", order)
+        placed.select("place", "content").write.option("maxRecordsPerFile", 0).partitionBy("place").text(stage)
         moves = []
         for folder in _names(fs, new_path, stage):
             if not folder.startswith("place="):

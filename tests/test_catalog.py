@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -62,6 +63,40 @@ def test_nest_pretty_print_and_roundtrip(spark):
     assert rows(back, "key", "value") == rows(e, "key", "value")
 
 
+def _nested(pairs):
+    """Brute force: a dict of dicts, filled in order."""
+    root = {}
+    for key, value in pairs:
+        node, parts = root, key.split(".")
+        for p in parts[:-1]:
+            node = node.setdefault(p, {})
+        node[parts[-1]] = value
+
+    def ordered(n):
+        if not isinstance(n, dict):
+            return n
+        number = lambda k: k.isdigit() and (k == "0" or k[0] != "0") and int(k) < 4294967295
+        return {k: ordered(n[k]) for k in sorted(filter(number, n), key=int) + [k for k in n if not number(k)]}
+    return ordered(root)
+
+
+def test_nest_lines_match_brute_force(spark):
+    rnd = random.Random(5)
+    names = ["a", "b", "10", "2", "0", "01", "", 'q"t', "z"]
+    pairs, seen = [], set()
+    for i in range(400):
+        parts = [rnd.choice(names) for _ in range(rnd.randint(1, 4))]
+        key = ".".join(parts) + ".leaf" + str(rnd.randint(0, 2))  # no key is a prefix of another
+        pairs.append((key, f"v{i}"))
+        seen.add(key)
+    e = entries(spark, pairs)
+    assert C.nest_catalogs(e).collect()[0].json == json.dumps(_nested(pairs), indent=2, ensure_ascii=False)
+    pieces = C.nest_lines(e.unionByName(e.limit(1).withColumn("lang", F.lit(None).cast("string")))).collect()
+    assert sorted(r.n for r in pieces if r.lang is not None) == list(range(1, len(seen) + 1))
+    assert [r.text for r in pieces if r.lang is None] == [json.dumps(_nested(pairs[:1]), indent=2)]
+    assert C.nest_lines(e.limit(0)).count() == 0
+
+
 def test_nest_last_wins_keeps_first_position(spark):
     e = entries(spark, [("a", "1"), ("b", "2"), ("a", "3")])
     assert json.loads(C.nest_catalogs(e).collect()[0].json) == {"a": "3", "b": "2"}
