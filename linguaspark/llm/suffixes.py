@@ -6,18 +6,27 @@ Every byte covered by a repeated string is removed.
 Candidates. Each window of ``length`` bytes has an anchor: the least hash
 among its runs of ``ANCHOR`` bytes. Equal windows have equal anchors, so only
 windows of one anchor need comparing, and neighbouring windows mostly share
-it: a maximal run of them is a segment. Segments are grouped by anchor; an
-anchor seen once is no candidate. Segments with equal content repeat whole;
-one of them stands for all.
-
-Comparison. The distinct segments of the anchors that are left are brought
-together, anchor by anchor, in blocks, and a suffix array of each block is
-built by two-stage sorting: only suffixes smaller than their successors are
-sorted directly, the others follow from one scan over the buckets of first
-bytes. Common prefixes of neighbours in the array tell which positions
-repeat. An anchor with very many distinct segments (the edge of a passage
-that a large share of the documents has) would be one unbounded block;
-its windows are grouped by two hashes of their whole content instead.
+it: a run of them (``PIECE`` at most) is a segment. An anchor seen once is no
+candidate. Hashes choose what is brought together; a suffix array of the
+bytes decides what repeats.
+
+Comparison. Byte strings are brought together in blocks, and a suffix array
+of each block is built by two-stage sorting: only suffixes smaller than their
+successors are sorted directly, the others follow from one scan over the
+buckets of first bytes. Common prefixes of neighbours in the array tell which
+positions repeat. Two kinds of strings are compared:
+
+* segments that seem to occur more than once: two copies of each, neighbouring
+  segments whose copies are neighbours as one string;
+* the distinct segments of an anchor with each other, anchor by anchor.
+
+An anchor whose distinct segments exceed ``BLOCK_BYTES`` (the edge of a
+passage that a large share of the documents has) is split: its windows by the
+place of the anchor in them, in classes of ``WIDTHS`` places, and by the bytes
+that all windows of a class have around the anchor. Equal windows stay
+together, parts are compared as above, and those still too large are split by
+narrower classes; in a class of one place all windows are equal. So no block
+grows with the data.
 
 Defined cases: null or empty texts have no bytes (the digest is that of
 nothing); texts shorter than ``length`` keep all; repeated rows remove each
@@ -34,15 +43,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linguaspark.llm.common import (U64, Spans, cut_lineage, may_be, mix, pick,
-                                    returning, text_bytes, texts_by_hash, with_text_hash)
+from linguaspark.llm.common import U64, Spans, cut_lineage, may_be, mix, pick, returning, text_bytes, with_text_hash
 
 ANCHOR = 48
 BLOCK_BYTES = 2 << 20
-HOT = 2000  # distinct segments of an anchor from which its windows are grouped by content
+PIECE = 4096  # most windows of a segment (only an anchor that recurs has so many)
+CHAIN = 1 << 16  # neighbouring copies are compared as one string within stretches of so many bytes
+WIDTHS = (32, 4, 1)  # places of the anchor in one class, for anchors that exceed a block
 
 
 def _sliding(x: np.ndarray, size: int, op) -> np.ndarray:
@@ -65,6 +75,11 @@ def segments(buf: np.ndarray, length: int) -> tuple[np.ndarray, ...] | None:
     v = _sliding(g, width, np.minimum)
     start = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
     count = np.diff(np.append(start, n))
+    if count.max() > PIECE:
+        pieces = -(-count // PIECE)
+        nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        start = np.repeat(start, pieces) + nth * PIECE
+        count = np.diff(np.append(start, n))
     anchor = v[start]
     # anchors that are chosen at two places of this text
     edge = np.zeros(width - 1, U64)
@@ -216,17 +231,19 @@ def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int =
     # anchors seen more than once
     shared = found.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.max("twice").alias("twice")).where("n > 1 or twice")
     shared = cut_lineage(shared.select("v"), "suffix-anchors")
-    distinct = (may_be(found, "v", shared, "v").join(shared, "v", "left_semi").groupBy("v", "sh")
-                .agg(F.count(F.lit(1)).alias("n"), F.max("twice").alias("twice"), F.min(F.struct("th", "p", "c")).alias("at")))
-    distinct = cut_lineage(distinct, "suffix-distinct")
-    groups = distinct.groupBy("v").agg(F.count(F.lit(1)).alias("m"), F.max("twice").alias("any_twice"))
-    mixed = cut_lineage(distinct.join(groups.where("m > 1 or any_twice").select("v", "m"), "v")
-                        .select("v", "sh", "m", "at.*"), "suffix-mixed")
-    partly = repeated_segments(d, mixed, length)
+    at = F.struct("th", "p")
+    distinct = cut_lineage(may_be(found, "v", shared, "v").join(shared, "v", "left_semi").groupBy("v", "sh").agg(
+        F.count(F.lit(1)).alias("n"), F.max("twice").alias("twice"), F.min("c").alias("c"),
+        F.min(at).alias("lo"), F.max(at).alias("hi")), "suffix-distinct")
+    groups = distinct.groupBy("v").agg(F.count(F.lit(1)).alias("m"), F.max("twice").alias("any_twice"),
+                                       F.sum(F.col("c") + length - 1).alias("size")).where("m > 1 or any_twice")
+    units = cut_lineage(distinct.join(groups.select("v", "size"), "v").select(
+        "v", "sh", F.col("v").alias("anchor"), "c", F.expr("n = 1").alias("emit"), "lo",
+        F.lit(None).cast("struct<th:long,p:int>").alias("hi"), "size"), "suffix-units")
+    chains = cut_lineage(neighbouring_copies(distinct.where("n > 1")), "suffix-chains")
+    marked = repeated_segments(d, chains, units, length)
 
     # spans of repeated positions per text: whole segments, and parts of the others
-    whole = distinct.where("n > 1").select("v", "sh", F.lit(None).cast("array<int>").alias("runs"))
-    marked = cut_lineage(whole.unionByName(partly.join(whole, ["v", "sh"], "left_anti")), "suffix-marked")
     spans = (may_be(found, "v", marked, "v").join(marked, ["v", "sh"]).select("th", "p", "c", "runs").distinct()
              .groupBy("th").agg(F.collect_list(F.struct("p", "c", "runs")).alias("spans")))
     spans = cut_lineage(spans, "suffix-spans")
@@ -257,58 +274,131 @@ def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int =
     return quiet.unionByName(touched)
 
 
-def repeated_segments(d: DataFrame, mixed: DataFrame, length: int) -> DataFrame:
-    """(v, sh, runs): the repeated positions within each distinct segment, as flattened (start, end) runs."""
-    places = mixed.groupBy("th").agg(F.collect_list(F.struct("v", "sh", "m", "p", "c")).alias("at"))  # bounded by a text
-    texts = texts_by_hash(d, mixed.select("th").distinct()).join(places, "th").select("text", "at")
+def neighbouring_copies(copies: DataFrame) -> DataFrame:
+    """(lo, hi, c, segs): segments that occur at lo and hi; neighbours whose copies are neighbours too are one row."""
+    flat = copies.select("v", "sh", "c", "lo.th", "lo.p", F.col("hi.th").alias("th2"), F.col("hi.p").alias("p2"))
+    w = Window.partitionBy("th").orderBy("p", "v", "sh")  # one text's segments
+    follows = ((F.col("p") == F.lag(F.col("p") + F.col("c")).over(w)) & (F.col("th2") == F.lag("th2").over(w))
+               & (F.col("p2") - F.col("p") == F.lag(F.col("p2") - F.col("p")).over(w))
+               & (F.floor(F.col("p") / CHAIN) == F.lag(F.floor(F.col("p") / CHAIN)).over(w)))
+    flat = flat.withColumn("follows", F.coalesce(follows, F.lit(False)))
+    flat = flat.withColumn("chain", F.sum(F.when(F.col("follows"), 0).otherwise(1)).over(w))
+    return (flat.groupBy("th", "chain").agg(
+        F.min("p").alias("p"), F.min("th2").alias("th2"), F.min("p2").alias("p2"), F.sum("c").cast("int").alias("c"),
+        F.sort_array(F.collect_list(F.struct("p", "v", "sh", "c"))).alias("segs"))
+        .select(F.struct("th", "p").alias("lo"), F.struct(F.col("th2").alias("th"), F.col("p2").alias("p")).alias("hi"), "c",
+                F.transform("segs", lambda x: F.struct(x["v"].alias("v"), x["sh"].alias("sh"), x["c"].alias("c"))).alias("segs")))
+
+
+def with_texts(d: DataFrame, wanted: DataFrame, *cols: str) -> DataFrame:
+    """(lo, hi, at) per text hash: the texts of this hash (the least and the greatest) and the rows that want it."""
+    places = wanted.groupBy("th").agg(F.collect_list(F.struct(*cols)).alias("at"))  # bounded by a text
+    texts = may_be(d, "th", places, "th").groupBy("th").agg(F.min("text").alias("lo"), F.max("text").alias("hi"))
+    return texts.join(places, "th").select("lo", "hi", "at")
+
+
+def split_units(d: DataFrame, units: DataFrame, length: int, width: int, level: int) -> tuple[DataFrame, DataFrame]:
+    """Units cut into runs of windows that have the anchor at places of one class, grouped by the bytes these share.
+
+    Gives the new units and (v, sh, pv, psh, off): the old units that hold each of them.
+    """
+    @returning
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for text, rows in zip(b["lo"], b["at"], strict=True):
+                raw, out = text_bytes(text), []
+                for x in rows:
+                    buf = raw[x["p"]:x["p"] + x["c"] + length - 1]
+                    spans = Spans(buf)
+                    anchor = np.array([x["anchor"]]).view(U64)
+                    places = np.flatnonzero(spans.windows(ANCHOR) == anchor)
+                    window = np.arange(x["c"])
+                    a = places[np.searchsorted(places, window)]  # the leftmost in each window
+                    cls = (a - window) // width
+                    start = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (cls[1:] != cls[:-1]))))
+                    count = np.diff(np.append(start, x["c"]))
+                    a, cls = a[start], cls[start]
+                    around = spans.hash(a - cls * width, a - cls * width + length + 1 - width)
+                    group = mix(around ^ mix(anchor + cls.astype(U64) * U64(0xD6E8FEB86659FD93) + U64(width)))
+                    content = spans.hash(start, start + count + length - 1)
+                    out.append(pd.DataFrame({
+                        "v": group.view(np.int64), "sh": content.view(np.int64), "anchor": x["anchor"], "c": count, "emit": x["emit"],
+                        "th": x["th"], "p": x["p"] + start, "th2": x["th2"], "p2": x["p2"] + start,
+                        "pv": x["v"], "psh": x["sh"], "off": start}))
+                yield pd.concat(out)
+
+    last = F.coalesce("hi", "lo")
+    src = with_texts(d, units.select("*", "lo.*", last["th"].alias("th2"), last["p"].alias("p2")),
+                     "v", "sh", "anchor", "c", "emit", "th", "p", "th2", "p2")
+    parts = cut_lineage(src.mapInPandas(cut, "v long, sh long, anchor long, c int, emit boolean, th long, p int, th2 long, p2 int, "
+                                             "pv long, psh long, off int"), f"suffix-parts{level}")
+    new = parts.groupBy("v", "sh").agg(
+        F.min("anchor").alias("anchor"), F.min("c").alias("c"), F.max("emit").alias("emit"), F.min(F.struct("th", "p")).alias("lo"),
+        F.max(F.struct(F.col("th2").alias("th"), F.col("p2").alias("p"))).alias("hi"))
+    new = new.withColumn("hi", F.when(F.col("hi") != F.col("lo"), F.col("hi")))
+    sizes = new.groupBy("v").agg(F.sum((F.col("c") + length - 1) * F.when(F.col("hi").isNull(), 1).otherwise(2)).alias("size"),
+                                 F.count(F.lit(1)).alias("m"), F.count("hi").alias("again"))
+    new = cut_lineage(new.join(sizes.where("m > 1 or again > 0").select("v", "size"), "v"), f"suffix-units{level}")
+    return new, parts.where("emit").select("v", "sh", "pv", "psh", "off")
+
+
+def repeated_segments(d: DataFrame, chains: DataFrame, units: DataFrame, length: int) -> DataFrame:
+    """(v, sh, runs): the repeated positions within segments, as flattened (start, end) runs; null: all of them."""
+    held, maps = [], []
+    for level, width in enumerate(WIDTHS):
+        hot = units.where(F.col("size") > BLOCK_BYTES)
+        if hot.isEmpty():
+            break
+        held.append(units.where(F.col("size") <= BLOCK_BYTES))
+        units, back = split_units(d, hot, length, width, level)
+        maps.append(back)
+    for u in held:
+        units = units.unionByName(u)
+
+    key = F.array(F.struct("v", "sh", "c"))
+    none = F.lit(None).cast("array<struct<v:long,sh:long,c:int>>")
+    pairs = chains.select(F.xxhash64("lo.th", "lo.p").alias("b"), "c", "lo", "hi", "segs")
+    pairs = pairs.unionByName(units.select(F.xxhash64(F.lit(2), "v").alias("b"), "c", "lo", "hi",
+                                           F.when(F.col("emit"), key).otherwise(none).alias("segs")))
+    total = pairs.agg(F.sum((F.col("c") + length - 1) * F.when(F.col("hi").isNull(), 1).otherwise(2)).alias("s")).first()["s"] or 0
+    block = F.pmod("b", F.lit(max(1, math.ceil(total / BLOCK_BYTES)))).alias("block")
+    sides = pairs.select(block, "c", F.explode(F.array(
+        F.struct(F.col("lo.th").alias("th"), F.col("lo.p").alias("p"), F.lit(False).alias("second"), F.col("segs")),
+        F.struct(F.col("hi.th").alias("th"), F.col("hi.p").alias("p"), F.lit(True).alias("second"), none.alias("segs")))).alias("x"))
+    sides = sides.select("block", "c", "x.*").where("th is not null")
 
     @returning
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for at in range(0, len(b), 64):
                 rows = []
-                for t, places in zip(b["text"].iloc[at:at + 64], b["at"].iloc[at:at + 64], strict=True):
-                    raw = text_bytes(t).tobytes()
-                    rows += [(x["v"], x["sh"], x["m"], raw[x["p"]:x["p"] + x["c"] + length - 1]) for x in places]
-                yield pd.DataFrame(rows, columns=["v", "sh", "m", "s"])
-
-    bytes_ = cut_lineage(texts.mapInPandas(fetch, "v long, sh long, m long, s binary"), "suffix-bytes")
-    total = bytes_.where(F.col("m") <= HOT).agg(F.sum(F.octet_length("s")).alias("b")).first()["b"] or 0
-    n_blocks = max(1, math.ceil(total / BLOCK_BYTES))
+                for lo, hi, places in zip(*(b[c].iloc[at:at + 64] for c in ("lo", "hi", "at")), strict=True):
+                    first = text_bytes(lo).tobytes()
+                    other = first if hi == lo else text_bytes(hi).tobytes()
+                    rows += [(x["block"], (other if x["second"] else first)[x["p"]:x["p"] + x["c"] + length - 1], x["segs"])
+                             for x in places]
+                yield pd.DataFrame(rows, columns=["block", "s", "segs"])
 
     def sort_block(b: pd.DataFrame) -> pd.DataFrame:
         hits = repeated_in([np.frombuffer(s, np.uint8) for s in b["s"]], length)
-        keep = [i for i, h in enumerate(hits) if h.any()]
-        return pd.DataFrame({"v": b["v"].to_numpy()[keep], "sh": b["sh"].to_numpy()[keep],
-                             "runs": [_runs(hits[i]).astype(np.int32) for i in keep]})
-
-    block = F.pmod(F.xxhash64(F.lit(2), "v"), F.lit(n_blocks)).alias("block")
-    sorted_ = (bytes_.where(F.col("m") <= HOT).select(block, "v", "sh", "s").groupBy("block")
-               .applyInPandas(sort_block, "v long, sh long, runs array<int>"))
-
-    # very common anchors: windows by content
-    @returning
-    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for v, sh, s in zip(b["v"], b["sh"], b["s"], strict=True):
-                buf = np.frombuffer(s, np.uint8)
-                h1, h2 = Spans(buf).windows(length), Spans(buf[::-1]).windows(length)[::-1]
-                yield pd.DataFrame({"v": v, "h1": h1.view(np.int64), "h2": mix(h2 ^ U64(1)).view(np.int64), "sh": sh,
-                                    "p": np.arange(len(h1), dtype=np.int32)})
-
-    hot = cut_lineage(bytes_.where(F.col("m") > HOT).select("v", "sh", "s")
-                      .mapInPandas(windows, "v long, h1 long, h2 long, sh long, p int"), "suffix-hot")
-    again = hot.groupBy("v", "h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("v", "h1", "h2")
-
-    @F.pandas_udf("array<int>")
-    def as_runs(places: pd.Series) -> pd.Series:
         out = []
-        for ps in places:
-            flags = np.zeros(max(ps) + 1, bool)
-            flags[list(ps)] = True
-            out.append(_runs(flags).astype(np.int32))
-        return pd.Series(out)
-
-    content = (hot.join(again, ["v", "h1", "h2"]).groupBy("v", "sh").agg(F.collect_list("p").alias("ps"))
-               .select("v", "sh", as_runs("ps").alias("runs")))
-    return cut_lineage(sorted_.unionByName(content), "suffix-partly")
+        for segs, hit in zip(b["segs"], hits, strict=True):
+            at = 0
+            for x in segs if segs is not None else ():
+                mine = hit[at:at + x["c"]]
+                at += x["c"]
+                if mine.any():
+                    out.append((x["v"], x["sh"], None if mine.all() else _runs(mine).astype(np.int32), x["c"]))
+        return pd.DataFrame(out, columns=["v", "sh", "runs", "c"])
+
+    marks = cut_lineage(with_texts(d, sides, "block", "c", "p", "second", "segs")
+                        .mapInPandas(fetch, "block long, s binary, segs array<struct<v:long,sh:long,c:int>>")
+                        .groupBy("block").applyInPandas(sort_block, "v long, sh long, runs array<int>, c int"), "suffix-marked")
+    out, level_marks = marks.select("v", "sh", "runs"), marks
+    for back in reversed(maps):  # marks of parts, as marks of what was split
+        whole = F.coalesce("runs", F.array(F.lit(0), F.col("c")))
+        level_marks = level_marks.join(back, ["v", "sh"]).select(
+            F.col("pv").alias("v"), F.col("psh").alias("sh"), F.transform(whole, lambda x: x + F.col("off")).alias("runs"), "c")
+        out = out.unionByName(level_marks.select("v", "sh", "runs"))
+        level_marks = level_marks.unionByName(marks)
+    return cut_lineage(out, "suffix-partly") if maps else out

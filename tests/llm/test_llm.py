@@ -263,11 +263,18 @@ def test_two_stage_order():
         assert suffixes.two_stage_order(t, n + 8).tolist() == sorted(range(n), key=lambda i: b[i:])
 
 
-@pytest.mark.parametrize("hot", [2000, 2])
-def test_suffix_dedup_equals_brute_force(spark, docs, odd, monkeypatch, hot):
-    monkeypatch.setattr(suffixes, "HOT", hot)
-    df = docs.select("doc_id", "text").union(plain(odd).where("doc_id < 7").select(F.col("doc_id") + 10**6, "text"))
-    df = df.union(spark.createDataFrame([(10**7, "ab " * 200), (10**7 + 1, "é" * 150)], "doc_id long, text string"))
+@pytest.mark.parametrize("block,piece", [(2 << 20, 4096), (900, 300)])
+def test_suffix_dedup_equals_brute_force(spark, docs, odd, monkeypatch, block, piece):
+    monkeypatch.setattr(suffixes, "BLOCK_BYTES", block)
+    monkeypatch.setattr(suffixes, "PIECE", piece)
+    df = docs.select("doc_id", "text").union(plain(odd).where("doc_id < 7 or doc_id is null").select(F.col("doc_id") + 10**6, "text"))
+    df = df.union(spark.createDataFrame([(10**7, "ab " * 200), (10**7 + 1, "é" * 150), (None, LONG[:9000]), (10**7 + 2, LONG[300:9300])],
+                                        "doc_id long, text string"))
+    # runs of spaces of several lengths; a passage with other words before and behind it in each text
+    rng, passage = random.Random(4), LONG[20_000:20_400]
+    own = [f"{rng.random()}{' ' * (700 + i)}{rng.random()}" for i in range(4)]
+    own += [" ".join([*(str(rng.random()) for _ in range(12)), passage, *(str(rng.random()) for _ in range(12))]) for _ in range(25)]
+    df = df.union(spark.createDataFrame(list(enumerate(own, 10**8)), "doc_id long, text string"))
     rows = [(r[0], (r[1] or "").encode()) for r in df.collect()]
     seen = Counter(b[j:j + 200] for _, b in rows for j in range(len(b) - 199))
     want = Counter()
