@@ -151,16 +151,25 @@ def _words(t: np.ndarray, extra: int) -> np.ndarray:
 
 
 def _sort_direct(t: np.ndarray, pos: np.ndarray, depth: int) -> np.ndarray:
-    """Sort suffixes by their first ``depth`` bytes, eight at a time; only groups that differ are sorted again."""
+    """Sort suffixes by their first ``depth`` bytes, eight at a time; only groups that differ are sorted again.
+
+    A group with one hash of these bytes has no order to find. (Its members'
+    common prefixes are still computed from the bytes.)
+    """
     if len(pos) < 2:
         return pos
     w = _words(t, depth)
+    whole = Spans(np.concatenate((t, np.zeros(depth, np.uint8)))).windows(depth)
     pos = pos[np.argsort(w[pos], kind="stable")]
     new = np.concatenate(([True], w[pos[1:]] != w[pos[:-1]]))  # starts of groups equal so far
     live = np.arange(len(pos))  # places in ``pos`` whose group is not single
     for o in range(8, depth, 8):
         alone = new[live] & np.concatenate((new[live][1:], [True]))
         live = live[~alone]
+        if o in (8, 32, 104) and len(live):
+            first, h = np.flatnonzero(new[live]), whole[pos[live]]
+            differ = np.append(h[1:] != h[:-1], False) & ~np.append(new[live][1:], True)
+            live = live[np.repeat(np.logical_or.reduceat(differ, first), np.diff(np.append(first, len(live))))]
         if not len(live):
             break
         key = w[pos[live] + o]
@@ -193,10 +202,28 @@ def repeated_in(parts: list[np.ndarray], length: int) -> list[np.ndarray]:
     # common prefixes of neighbours, as far as the wanted length
     w = _words(t, length)
     same = np.arange(len(order) - 1)
-    for o in [*range(0, length - 7, 8), length - 8]:
-        same = same[w[order[same] + o] == w[order[same + 1] + o]]
+    for o in (0, 64, 128, length - 8):
+        if o <= length - 8:
+            same = same[w[order[same] + o] == w[order[same + 1] + o]]
+    far = np.zeros(len(t) + 1, np.int64)  # how far from a suffix its neighbour starts
+    far[order[same]] = order[same + 1] - order[same]
+    x = np.flatnonzero(far)
     hit = np.zeros(len(t), bool)
-    hit[order[same]] = hit[order[same + 1]] = True
+    if len(x):  # suffixes one after the other in the text, with equally far neighbours, share their bytes: compared once
+        start = np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1] + 1) | (far[x[1:]] != far[x[:-1]]))))
+        size = np.diff(np.append(start, len(x)))
+        reach = size - 1 + length - 8
+        n = -(-reach // 8) + 1
+        begins = np.cumsum(n) - n
+        nth = np.arange(n.sum()) - np.repeat(begins, n)
+        at = np.repeat(x[start], n) + np.minimum(8 * nth, np.repeat(reach, n))
+        equal = np.logical_and.reduceat(w[at] == w[at + np.repeat(far[x[start]], n)], begins)
+        equal = np.repeat(equal, size)
+        rest = x[~equal]
+        for o in [*range(0, length - 7, 8), length - 8]:
+            rest = rest[w[rest + o] == w[rest + far[rest] + o]]
+        x = np.concatenate((x[equal], rest))
+        hit[x] = hit[x + far[x]] = True
     return [hit[b:b + max(0, n - length + 1)] for b, n in zip(begin, sizes, strict=False)]
 
 
