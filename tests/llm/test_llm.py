@@ -291,6 +291,13 @@ def test_suffix_dedup_equals_brute_force(spark, docs, odd, monkeypatch, block, p
     assert suffixes.dedup(df.limit(0)).count() == 0
 
 
+def test_suffix_dedup_long_texts_null_ids_clashing_columns(spark, odd):
+    n = len(LONG.encode())
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffixes.dedup(odd).collect())
+    assert got == Counter((i, len((t or "").encode()), n if i in (7, 8) else 0, int(i in (7, 8)),
+                           b" end" if i == 8 else b"" if i == 7 else (t or "").encode()) for i, t in ODD)
+
+
 # ------------------------------------------------------------------ pieces
 
 def test_pieces_equal_the_library(spark, odd):
