@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.order import on_side
 from ..functions.text import falsy, integer_like
-from .usage import substring_join
+from .usage import spread, substring_join
 
 
 def to_long(glossary: DataFrame) -> DataFrame:
@@ -111,7 +111,7 @@ def search_many(glossary: DataFrame, queries: DataFrame, query_col: str = "query
     texts = (glossary.select("term", F.lower("term").alias("text"))
              .unionByName(to_long(glossary).select("term", F.lower("translation").alias("text"))))
     qs = queries.select(F.lower(F.col(query_col)).alias("needle"), F.col(query_col).alias("query"))
-    hits = substring_join(qs, texts, needle_col="needle", hay_col="text").select("query", "term").distinct()
+    hits = substring_join(qs, spread(texts), needle_col="needle", hay_col="text").select("query", "term").distinct()
     empty = qs.where(F.col("query") == "").select("query").distinct().withColumn("all", F.lit(1))
     every = glossary.withColumn("all", F.lit(1)).join(F.broadcast(empty), "all").select("query", *glossary.columns)  # one row at most
     return hits.join(glossary, "term").select("query", *glossary.columns).unionByName(every)
@@ -166,7 +166,7 @@ def apply_terms(texts: DataFrame, glossary_long: DataFrame, text_col: str = "tex
     g = (glossary_long.where(~falsy("term")).groupBy(F.lower("term").alias("needle"), *langs)
          .agg(F.max_by(F.struct("term", "translation"), last).alias("t")).select("needle", *langs, "t.term", "t.translation"))
     lt = texts.select(id_col, *([F.col(lang_col).alias("_tlang")] if lang_col else []), F.lower(F.col(text_col)).alias("_low"))
-    cands = substring_join(g, lt, needle_col="needle", hay_col="_low")
+    cands = substring_join(g, spread(lt), needle_col="needle", hay_col="_low")
     if lang_col:
         cands = cands.where(F.col("lang") == F.col("_tlang"))
     per = cands.groupBy(id_col).agg(F.collect_set(F.struct("term", "translation")).alias("_c"))  # bounded by one text
@@ -203,7 +203,7 @@ def relevant_lists(texts: DataFrame, glossary: DataFrame, id_col: str = "_qid",
     fl = for_language(glossary).select("lang", "term", "translation", "seq",
                                        F.lower("term").alias("needle"))
     t = texts.select(id_col, F.col("lang").alias("_tlang"), F.lower(text_col).alias("_low"))
-    hits = (substring_join(fl, t, needle_col="needle", hay_col="_low")
+    hits = (substring_join(fl, spread(t), needle_col="needle", hay_col="_low")
             .where(F.col("lang") == F.col("_tlang")))
     order = F.struct((~integer_like("term")).alias("a"),
                      F.when(integer_like("term"), F.col("term").cast("bigint")).alias("b"), F.col("seq").alias("c"))

@@ -105,3 +105,30 @@ def test_substring_join_in_blocks_by_bytes(spark):
     n = spark.createDataFrame([(f"part.{i}.name", i) for i in range(0, 200, 5)], "needle string, nid int")
     got = rows(U.substring_join(n, hay, broadcast_bytes=100).select("nid", "hid"))
     assert got == [(i, i) for i in range(0, 200, 5)]
+
+
+def test_substring_join_goes_through_the_hay_twice_at_most(spark):
+    hay = spark.range(400).selectExpr("id as hid", "concat('t(part.', id, '.name) red ring') as text")
+    n = spark.createDataFrame([(f"part.{i}.name",) for i in range(400)] + [("ring",), ("r",)], "needle string")
+    found = U.substring_join(n, hay, broadcast_rows=2, broadcast_bytes=100)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Range (") <= 2
+    got = rows(found.select("needle", "hid"))
+    assert got == sorted([(f"part.{i}.name", i) for i in range(400)] + [(x, i) for x in ("ring", "r") for i in range(400)])
+
+
+def test_needles_are_looked_up_by_a_gram_of_their_own(spark):
+    nd = spark.range(1000, 3000).selectExpr("concat('part.', id, '.name') as _n")
+    grams = U._needle_grams(nd, U._gram_sizes(3))
+    assert grams.count() == grams.select("_gram").distinct().count() == 2000
+
+
+def test_substring_join_of_bytes_matches_brute_force(spark):
+    rnd = random.Random(11)
+    word = lambda n, letters: "".join(rnd.choice(letters) for _ in range(n))
+    hay = [word(rnd.randint(0, 90), "ab\u00e9\u6587\U0001f600 ") for _ in range(150)] + ["a" * 200, "", None, "x" * (U.CUT_BYTES + 5)]
+    needles = {t[i:i + rnd.randint(1, 60)] for t in hay[:150] if t for i in [rnd.randrange(len(t))]}
+    needles |= {"aaa", "a" * 120, "x" * 50, "zz", word(45, "ab")}
+    h = spark.createDataFrame(list(enumerate(hay)), "hid int, text string")
+    n = spark.createDataFrame([(x,) for x in sorted(needles)] + [("",), (None,), ("aaa",)], "needle string")
+    got = rows(U.substring_join(n, h, broadcast_rows=40).select("needle", "hid"))
+    assert got == sorted((x, i) for x in needles for i, t in enumerate(hay) if t and x in t)
