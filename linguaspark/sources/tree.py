@@ -9,7 +9,7 @@ themselves. Here
   the tasks, and one that cannot be read is a row with the reason;
 * ``write_files`` puts each ``(path, content)`` row in its place: Spark writes
   them all to a staging folder under the root, and only when that job is done
-  each file takes its place by a rename. A failed job leaves the old files.
+  each file takes its place by a rename, in the tasks of a second job. A failed job leaves the old files.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -138,6 +139,10 @@ def write_files(files: DataFrame, root: str, order: str | None = None) -> int:
     Files that stand there under the same paths are replaced one by one by
     a rename, after all rows are safely written; others stay. A path that
     occurs twice is an error, found before any file is replaced.
+
+    On a path that all tasks share, they write the files and, in a second
+    job, rename them. Elsewhere Spark's writer makes a folder a file, and the
+    driver renames.
     """
     spark = files.sparkSession
     new_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
@@ -147,26 +152,82 @@ def write_files(files: DataFrame, root: str, order: str | None = None) -> int:
         placed = files.withColumnRenamed("path", "place")
         if order:
             placed = placed.repartition("place").sortWithinPartitions("place", order)
-        placed.select("place", "content").write.option("maxRecordsPerFile", 0).partitionBy("place").text(stage)
-        moves = []
-        for folder in _names(fs, new_path, stage):
-            if not folder.startswith("place="):
-                continue
-            parts = [n for n in _names(fs, new_path, f"{stage}/{folder}") if not n.startswith((".", "_"))]
-            place = re.sub("%([0-9A-Fa-f]{2})", lambda m: chr(int(m[1], 16)), folder[len("place="):])
-            if len(parts) != 1:
-                raise ValueError(f"{place} occurs more than once")
-            moves.append((f"{stage}/{folder}/{parts[0]}", f"{root.rstrip('/')}/{place}"))
-        with ThreadPoolExecutor(16) as pool:  # renames only: no content passes here
-            list(pool.map(_renamer(spark, fs), moves))
-        return len(moves)
+        put = _put_local if is_local_path(stage) else _put_remote
+        return put(placed.select("place", "content"), root.rstrip("/"), stage, bool(order), fs, new_path)
     finally:
         fs.delete(new_path(stage), True)
 
 
+NO_NAME = "__HIVE_DEFAULT_PARTITION__"  # what Spark's writer calls a null or empty path
+
+
+def _put_local(placed: DataFrame, root: str, stage: str, pieces: bool, fs, new_path) -> int:
+    spark, folder, base = placed.sparkSession, local_fs_path(stage), local_fs_path(root)
+    os.makedirs(folder, exist_ok=True)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = f"{folder}/{uuid.uuid4().hex}"  # of this attempt of the task
+        os.makedirs(own)
+        last, out, n = None, None, 0
+        try:
+            for batch in batches:
+                done = []
+                for place, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if out is None or not pieces or place != last:
+                        if out:
+                            out.close()
+                        last, n = place, n + 1
+                        out = open(f"{own}/{n}", "wb")
+                        done.append((place, f"{own}/{n}"))
+                    out.write((content or "").encode("utf-8", "surrogatepass") + b"\n")
+                yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], pa.string()) for i in (0, 1)], ["place", "staged"])
+        finally:
+            if out:
+                out.close()
+
+    def rename(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = set()
+        for batch in batches:
+            for place, staged in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                above, name = os.path.split(f"{base}/{place}")
+                if above not in made:
+                    os.makedirs(above, exist_ok=True)
+                    made.add(above)
+                with contextlib.suppress(FileNotFoundError):  # Hadoop's checksum of an older file
+                    os.remove(f"{above}/.{name}.crc")
+                try:
+                    os.replace(staged, f"{above}/{name}")
+                except FileNotFoundError:  # an earlier attempt of this task has been here
+                    if not os.path.exists(f"{above}/{name}"):
+                        raise
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    (placed.mapInArrow(write, "place string, staged string")
+     .withColumn("place", F.when(F.col("place") != "", F.col("place")).otherwise(NO_NAME)).write.parquet(f"{stage}/moves"))
+    moves = spark.read.parquet(f"{stage}/moves")
+    twice = moves.groupBy("place").count().where("count > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"{twice[0]['place']} occurs more than once")
+    return moves.mapInArrow(rename, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+
+
+def _put_remote(placed: DataFrame, root: str, stage: str, pieces: bool, fs, new_path) -> int:
+    placed.write.option("maxRecordsPerFile", 0).partitionBy("place").text(stage)
+    moves = []
+    for folder in _names(fs, new_path, stage):
+        if not folder.startswith("place="):
+            continue
+        parts = [n for n in _names(fs, new_path, f"{stage}/{folder}") if not n.startswith((".", "_"))]
+        place = re.sub("%([0-9A-Fa-f]{2})", lambda m: chr(int(m[1], 16)), folder[len("place="):])
+        if len(parts) != 1:
+            raise ValueError(f"{place} occurs more than once")
+        moves.append((f"{stage}/{folder}/{parts[0]}", f"{root}/{place}"))
+    with ThreadPoolExecutor(16) as pool:  # renames only: no content passes here
+        list(pool.map(_renamer(placed.sparkSession, fs), moves))
+    return len(moves)
+
+
 def _names(fs, new_path, folder: str) -> list[str]:
-    if is_local_path(folder):
-        return os.listdir(local_fs_path(folder))
     return [f.getPath().getName() for f in fs.listStatus(new_path(folder))]
 
 
@@ -174,13 +235,6 @@ def _renamer(spark: SparkSession, fs):
     """A function that puts a file in the place of another, in one step."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
 
-    def place_local(move):
-        source, target = map(local_fs_path, move)
-        os.makedirs(os.path.dirname(target), exist_ok=True)
-        with contextlib.suppress(FileNotFoundError):  # Hadoop's checksum of an older file
-            os.remove(os.path.join(os.path.dirname(target), f".{os.path.basename(target)}.crc"))
-        os.replace(source, target)
-
     def place(move):
         source, target = (fs.makeQualified(jvm.org.apache.hadoop.fs.Path(p)) for p in move)
         fs.mkdirs(target.getParent())
@@ -188,4 +242,4 @@ def _renamer(spark: SparkSession, fs):
 
     over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
     over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    return place_local if str(fs.getUri()).startswith("file:") else place
+    return place

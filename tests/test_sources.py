@@ -147,3 +147,25 @@ def test_writing_one_language_leaves_the_others(spark, tmp_dir):
     files.write_catalogs(row("ja"), f"{tmp_dir}/out")
     files.write_catalogs(row("fr"), f"{tmp_dir}/out")
     assert {r.lang for r in files.read_catalog_files(spark, f"{tmp_dir}/out").collect()} == {"ja", "fr"}
+
+
+def test_tasks_write_and_rename_the_files(spark, tmp_dir, monkeypatch):
+    def on_the_driver(*args):
+        raise AssertionError("the driver renames files")
+
+    monkeypatch.setattr(tree, "ThreadPoolExecutor", on_the_driver)
+    long = "/".join(["folder" * 10] * 6)  # more than one name may have
+    made = [(f"d{i % 7}/f{i}.txt", f"text {i}") for i in range(300)] + [(f"{long}/x", "é\ny"), ("empty", None)]
+    df = spark.createDataFrame(made, "path string, content string")
+    assert tree.write_files(df, f"{tmp_dir}/out") == len(made)
+    found = tree.scan(spark, f"{tmp_dir}/out")
+    assert rows(found.files) == sorted((p, f"{c or ''}\n") for p, c in made)
+    assert [n for n in os.listdir(f"{tmp_dir}/out") if n.startswith(tree.STAGE)] == []
+    assert tree.write_files(df.limit(0), f"{tmp_dir}/out") == 0
+
+
+def test_a_path_twice_in_one_task_is_an_error(spark, tmp_dir):
+    twice = spark.createDataFrame([("a", "1"), ("a", "2")], "path string, content string").coalesce(1)
+    with pytest.raises(ValueError, match="more than once"):
+        tree.write_files(twice, f"{tmp_dir}/out")
+    assert os.listdir(f"{tmp_dir}/out") == []
