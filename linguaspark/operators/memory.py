@@ -128,25 +128,32 @@ def embed(df: DataFrame, text_col: str, embedder=None, out: str = "embedding") -
 # ---------------------------------------------------------------------------
 
 
+SCORES = 1 << 21  # similarities held at once in a task
+
+
 def _top_block(k: int, exclude_self: bool):
     def score(qdf: pd.DataFrame, mdf: pd.DataFrame) -> pd.DataFrame:
         cols = ["part", "query_id", "hit_id", "similarity"]
         if qdf.empty or mdf.empty:
             return pd.DataFrame({c: [] for c in cols})
-        Q = np.stack(qdf["vec"].to_numpy()).astype(np.float64)
         M = np.stack(mdf["vec"].to_numpy()).astype(np.float64)
-        top = _batch_topk(qdf["qid"].to_numpy(), Q, np.linalg.norm(Q, axis=1), mdf["mid"].to_numpy(), M,
-                          k, exclude_self)
+        top = pd.concat(_batch_topk(qdf["qid"].to_numpy(), np.stack(qdf["vec"].to_numpy()), mdf["mid"].to_numpy(), M, k, exclude_self))
         return top.assign(part=qdf["part"].iloc[0])[cols]
     return score
 
 
-def _batch_topk(qids, Q, qn, mids, M, k: int, exclude_self: bool) -> pd.DataFrame:
-    """Top-k (ties at the k-th value kept) of every query over one memory batch."""
+def _batch_topk(qids, Q, mids, M, k: int, exclude_self: bool) -> Iterator[pd.DataFrame]:
+    """Top-k of every query over one memory batch, for so many queries at a time that ``SCORES`` holds their scores."""
     mn = np.linalg.norm(M, axis=1)
+    some = max(1, SCORES // len(M))
+    for at in range(0, len(Q), some):
+        yield _some_topk(qids[at:at + some], Q[at:at + some].astype(np.float64), mids, M, mn, k, exclude_self)
+
+
+def _some_topk(qids, Q, mids, M, mn, k: int, exclude_self: bool) -> pd.DataFrame:
     with np.errstate(divide="ignore", invalid="ignore"):
-        S = (Q @ M.T) / np.outer(qn, mn)
-    S = np.nan_to_num(S, nan=0.0)
+        S = (Q @ M.T) / np.outer(np.linalg.norm(Q, axis=1), mn)
+    S = np.nan_to_num(S, copy=False, nan=0.0)
     if exclude_self:
         S[qids[:, None] == mids[None, :]] = -np.inf
     kk = min(k, S.shape[1])
@@ -199,8 +206,7 @@ def _knn_broadcast(local: pd.DataFrame, m: DataFrame, k: int, exclude_self: bool
     spark = m.sparkSession
     payload = {}
     for part, g in local.groupby("part"):
-        Q = np.stack(g["vec"].to_numpy()).astype(np.float64)
-        payload[part] = (g["qid"].to_numpy(), Q, np.linalg.norm(Q, axis=1))
+        payload[part] = (g["qid"].to_numpy(), np.stack(g["vec"].to_numpy()))
     bc = spark.sparkContext.broadcast(payload)
 
     def run(batches):
@@ -209,10 +215,9 @@ def _knn_broadcast(local: pd.DataFrame, m: DataFrame, k: int, exclude_self: bool
             for part, g in pdf.groupby("part"):
                 if part not in qs or g.empty:
                     continue
-                qids, Q, qn = qs[part]
                 M = np.stack(g["vec"].to_numpy()).astype(np.float64)
-                top = _batch_topk(qids, Q, qn, g["mid"].to_numpy(), M, k, exclude_self)
-                yield top.assign(part=part)[["part", "query_id", "hit_id", "similarity"]]
+                for top in _batch_topk(*qs[part], g["mid"].to_numpy(), M, k, exclude_self):
+                    yield top.assign(part=part)[["part", "query_id", "hit_id", "similarity"]]
 
     return m.mapInPandas(run, schema)
 

@@ -67,3 +67,22 @@ def test_knn_ranks_before_rounding_and_skips_null_vectors(spark):
                                "id string, lang string, embedding array<double>")
     got = M.knn(df.where("id = 'q'").withColumnRenamed("id", "query_id"), df, 3, exclude_self=True)
     assert [r.hit_id for r in got.orderBy("rank").collect()] == ["b", "a"]
+
+
+def test_scores_of_many_queries_are_held_a_few_at_a_time(monkeypatch):
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+    rnd = np.random.default_rng(3)
+    Q, Mem = rnd.standard_normal((20_000, 8)).astype(np.float32), rnd.standard_normal((1000, 8))
+    pairs = pd.DataFrame({"qid": np.arange(len(Q)), "vec": list(Q)}), pd.DataFrame({"mid": np.arange(len(Mem)), "vec": list(Mem)})
+    score = M._top_block(3, True)
+    tracemalloc.start()
+    got = score(pairs[0].assign(part="p"), pairs[1])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 130 << 20  # all scores are 160 MB, and were held four times
+    monkeypatch.setattr(M, "SCORES", 1 << 30)
+    whole = score(pairs[0].assign(part="p"), pairs[1])
+    assert got[["query_id", "hit_id"]].values.tolist() == whole[["query_id", "hit_id"]].values.tolist()
