@@ -73,7 +73,7 @@ def translate(source: DataFrame, target: DataFrame, langs: list[str] | None = No
     that is repeated, after a failure say, sends only what is missing.
     """
     provider = provider or mock_translation_provider()
-    missing = C.missing_entries(source, target, langs)
+    missing = cut_lineage(C.missing_entries(source, target, langs), "missing")  # worked on, and merged in the end
     cols = ["value", "ord"] + (["context"] if "context" in missing.columns else [])
     # The work list is materialised once: it feeds several lookups and the
     # (expensive) provider calls must never be recomputed.

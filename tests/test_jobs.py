@@ -97,3 +97,23 @@ def test_review_relevant_glossary_scope(spark):
                               "term string, translations map<string,string>, context string, notes string, seq bigint")
     p = J.review(src, tgt, ["ja"], glossary=g, glossary_scope="relevant").results.collect()[0].prompt
     assert '"file" should be translated as "ファイル"' in p and "menu" not in p
+
+
+def test_missing_entries_are_found_once(spark, monkeypatch):
+    from linguaspark.operators import catalog as C
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(v):
+        seen.add(1)
+        return v
+
+    E = "catalog string, lang string, key string, value string, ord bigint"
+    src = spark.createDataFrame([("app", "en", f"k{i}", f"v{i}", i) for i in range(20)], E)
+    tgt = spark.createDataFrame([("app", "ja", "k0", "x", 0)], E)
+    found = C.missing_entries
+    monkeypatch.setattr(C, "missing_entries", lambda *a: found(*a).withColumn("value", counted("value")))
+    assert J.translate(src, tgt, ["ja"]).entries.count() == 20
+    res = J.translate(src, tgt, ["ja"])
+    before = seen.value
+    assert len(res.entries.collect()) == 20 and seen.value == before
