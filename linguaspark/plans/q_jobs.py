@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.order import positions
 from ..operators import catalog as C
 from ..operators.imports import TRANSLATION_FIELDS, parse_delimited
-from ..session import new_work_path
+from ..session import cut_lineage, new_work_path
 from ..sources import files, memory_store
 from . import fixtures as fx
 from . import jobs as J
@@ -18,8 +18,8 @@ from .sql_fixtures import INCOMING, SRC_DUP, TGT_DUP, TGT_LAST, with_
 
 
 def _as_files(entries):
-    """Entries -> nested JSON documents -> entries again (the catalog file round trip)."""
-    return C.flatten_catalogs(C.nest_catalogs(entries)).entries
+    """Entries -> nested JSON documents -> entries again (the catalog file round trip), gone through once however often they are read."""
+    return cut_lineage(C.flatten_catalogs(C.nest_catalogs(entries)).entries, "catalog-entries")
 
 
 def _memory(spark, sf):
@@ -138,8 +138,8 @@ select catalog, 'ja' as lang, key, value,
 from done""")
 def job_import_translate(spark, sf):
     """Import, translate what is still missing, write the catalog files, read them: keys keep their order all the way."""
-    imported = J.import_translations(fx.target_entries_dup(spark, sf), fx.incoming_translations(spark, sf)).entries
-    done = J.translate(fx.source_entries_dup(spark, sf), imported, ["ja"]).entries
+    imported = cut_lineage(J.import_translations(fx.target_entries_dup(spark, sf), fx.incoming_translations(spark, sf)).entries, "imported")
+    done = cut_lineage(J.translate(fx.source_entries_dup(spark, sf), imported, ["ja"]).entries, "translated")
     root = new_work_path(spark, "catalogs")
     files.write_catalogs(done, root)
     back = files.read_catalogs(spark, root, required=True).entries
