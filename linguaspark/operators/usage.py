@@ -12,7 +12,6 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -160,24 +159,41 @@ def _size_of(length: Column, sizes: list[int]) -> Column:
     return reduce(lambda c, g: F.when(length >= g, F.lit(g)).otherwise(c), sizes[1:], F.lit(sizes[0]))
 
 
+def _lists(n: int, rows: list[np.ndarray], values: list[np.ndarray]) -> pa.Array:
+    """For each of ``n`` rows the distinct values (64-bit hashes) found in it, as an Arrow list of bigints."""
+    row, h = (np.concatenate([np.zeros(0, t), *x]) for t, x in ((np.int64, rows), (np.uint64, values)))
+    order = np.lexsort((h, row))
+    row, h = row[order], h[order].view(np.int64)
+    if len(row):
+        new = np.concatenate([[True], (row[1:] != row[:-1]) | (h[1:] != h[:-1])])
+        row, h = row[new], h[new]
+    ends = np.searchsorted(row, np.arange(n + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(h))
+
+
 def _needle_grams(nd: DataFrame, sizes: list[int]) -> DataFrame:
     """``(_n, _size, _gram)``: every needle with the gram it is looked up by, of the longest size that fits into it.
 
-    Of its grams it is the one that the fewest needles hold, so that a place of the hay meets few needles.
+    Of its grams it is the one that the fewest needles hold, so that a place of the hay meets few needles. A needle
+    of just a gram's length has no choice, and as needles are distinct it adds one at most to the count of a gram:
+    only longer ones are counted. The counts are as many as the grams, so they are joined by shuffle, never broadcast
+    (size estimates know nothing of the grams to a needle).
     """
     nd = nd.withColumn("_size", _size_of(F.octet_length("_n"), sizes))
 
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            want = batch.column("_size").to_numpy(zero_copy_only=False)
-            for g, row, h in _grams_of(batch.column("_n"), np.unique(want).tolist()):
-                own = want[row] == g
-                part = batch.take(pa.array(row[own]))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(h[own].view(np.int64))], [*part.schema.names, "_gram"])
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def grams(texts: pa.Array, size: pa.Array) -> pa.Array:
+        want = size.to_numpy(zero_copy_only=False)
+        found = [(row[own], h[own]) for g, row, h in _grams_of(texts, np.unique(want).tolist()) for own in [want[row] == g]]
+        return _lists(len(texts), [row for row, _ in found], [h for _, h in found])
 
-    every = nd.mapInArrow(grams, T.StructType([*nd.schema.fields, T.StructField("_gram", T.LongType())]))
-    held = every.groupBy("_gram").agg(F.count(F.lit(1)).alias("_c"))
-    return every.join(held, "_gram").groupBy("_n", "_size").agg(F.min_by("_gram", F.struct("_c", "_gram")).alias("_gram"))
+    every = lambda df: df.select("*", F.explode(grams("_n", "_size")).alias("_gram"))
+    choice = every(nd.where(F.octet_length("_n") > F.col("_size")))
+    held = choice.groupBy("_gram").agg(F.count(F.lit(1)).alias("_c"))
+    # the count, ties by half the gram, in one bigint: buffers of plain numbers are aggregated by hash
+    rank = F.shiftleft(F.least("_c", F.lit(1 << 30)), 32) + F.col("_gram").bitwiseAND(0xFFFFFFFF)
+    chosen = choice.join(held.hint("shuffle_hash"), "_gram").groupBy("_n", "_size").agg(F.min_by("_gram", rank).alias("_gram"))
+    return every(nd.where(F.octet_length("_n") == F.col("_size"))).unionByName(chosen)
 
 
 def _places(h, bits: int) -> tuple:
@@ -201,25 +217,31 @@ def _bit_table(grams: DataFrame, n: int) -> np.ndarray:
 
 
 def _hits(hay: DataFrame, hay_col: str, grams: DataFrame, n: int, sizes: list[int]) -> DataFrame:
-    """The hay rows once per gram in them that is in the table of the needles' grams, with it as ``_gram``."""
+    """The hay rows once per gram in them that is in the table of the needles' grams, with it as ``_gram``.
+
+    Python sees the searched text alone; the other columns stay in the JVM.
+    """
     table = hay.sparkSession.sparkContext.broadcast(_bit_table(grams, n))
-    schema = T.StructType([*hay.schema.fields, T.StructField("_gram", T.LongType())])
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, eight = table.value, np.uint64(7)
-        for batch in batches:
-            for _, row, h in _grams_of(batch.column(hay_col), sizes):
-                for probed in (0, 1):
-                    at = _places(h, len(bits) * 8)[probed]
-                    inside = np.flatnonzero(bits[at >> np.uint64(3)] >> (at & eight).astype(np.uint8) & 1)
-                    row, h = row[inside], h[inside]
-                if not len(h):
-                    continue
-                found = pd.DataFrame({"row": row, "h": h.view(np.int64)}).drop_duplicates()
-                part = batch.take(pa.array(found["row"].to_numpy()))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found["h"].to_numpy())], [*part.schema.names, "_gram"])
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def probe(texts: pa.Array) -> pa.Array:
+        bits, rows, hashes = table.value, [], []
+
+        def passing(h, at, probed):
+            place = _places(h, len(bits) * 8)[probed]
+            ok = np.flatnonzero(bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1)
+            return h[ok], ok if at is None else at[ok]
+
+        for first, codes, ends in _cuts(texts):
+            for g, h in _hashed(codes, sizes):
+                h, at = passing(*passing(h, None, 0), 1)
+                row = np.searchsorted(ends, at, "right") - 1
+                inside = at + g <= ends[row + 1]
+                rows.append(row[inside] + first)
+                hashes.append(h[inside])
+        return _lists(len(texts), rows, hashes)
 
-    return hay.mapInArrow(probe, schema)
+    return hay.select("*", F.explode(probe(hay_col)).alias("_gram"))
 
 
 def spread(hay: DataFrame) -> DataFrame:
@@ -291,11 +313,12 @@ def key_contexts(keys: DataFrame, files: DataFrame, n: int = CONTEXT_LINES, q: i
     """``(key, file, line_no, context)`` for every usage of every key.
 
     The context is the lines ``line_no-n .. line_no+n`` of the file, clipped,
-    joined by newlines. Each line carries its neighbours into the substring
+    joined by newlines. Each line carries its context into the substring
     join, so the usages need no second look at the files.
     """
-    found = substring_join(keys.select("key").distinct(), lines_in_context(spread(files), n), needle_col="key", hay_col="line", q=q)
-    return found.select("key", "file", "line_no", F.array_join("around", "\n").alias("context"))
+    lines = lines_in_context(spread(files), n).select("file", "line_no", "line", F.array_join("around", "\n").alias("context"))
+    found = substring_join(keys.select("key").distinct(), lines, needle_col="key", hay_col="line", q=q)
+    return found.select("key", "file", "line_no", "context")
 
 
 def first_contexts(contexts: DataFrame, k: int = MAX_CONTEXTS_PER_KEY) -> DataFrame:

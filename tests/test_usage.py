@@ -132,3 +132,20 @@ def test_substring_join_of_bytes_matches_brute_force(spark):
     n = spark.createDataFrame([(x,) for x in sorted(needles)] + [("",), (None,), ("aaa",)], "needle string")
     got = rows(U.substring_join(n, h, broadcast_rows=40).select("needle", "hid"))
     assert got == sorted((x, i) for x in needles for i, t in enumerate(hay) if t and x in t)
+
+
+def test_gram_counts_are_joined_by_shuffle_however_small_the_estimate(spark):
+    # longer than their gram, so that they have a choice; the estimate of the range is far below any broadcast bound
+    nd = spark.range(1000, 1400).selectExpr("concat('some.key.', id, '.title') as _n").union(spark.createDataFrame([("ab",), ("zz",)], "_n string"))
+    grams = U._needle_grams(nd, U._gram_sizes(3))
+    assert "Broadcast" not in grams._jdf.queryExecution().executedPlan().toString()
+    assert grams.count() == grams.select("_n").distinct().count() == grams.select("_gram").distinct().count() == 402
+
+
+def test_hay_sends_the_searched_text_alone_to_python(spark):
+    hay = spark.createDataFrame([(1, "red ring", "around"), (2, None, "x"), (3, "", "red"), (4, "red red", None)], "hid int, text string, ctx string")
+    n = spark.createDataFrame([("red",), ("ring",), ("red ring",)], "needle string")
+    found = U.substring_join(n, hay)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "[probe(text" in plan and plan.count("probe(") <= 2
+    assert rows(found.select("needle", "hid")) == [("red", 1), ("red", 4), ("red ring", 1), ("ring", 1)]
